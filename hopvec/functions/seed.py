@@ -104,3 +104,17 @@ def dense_seed(id_col, d: int, rng: str = "java", seed: int = 42) -> Column:
         F.sequence(F.lit(0), F.lit(d - 1)),
         lambda k: F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u(k * 2)))
         * F.cos(F.lit(2 * math.pi) * u(k * 2 + 1)))
+
+
+class JavaRandom:
+    """Driver-side ``java.util.Random`` (for literal constants such as LSH matrices)."""
+
+    def __init__(self, seed: int):
+        self.s = (int(seed) ^ LCG_MULTIPLIER) & LCG_MASK
+
+    def _next(self, bits: int) -> int:
+        self.s = (self.s * LCG_MULTIPLIER + LCG_INCREMENT) & LCG_MASK
+        return self.s >> (48 - bits)
+
+    def next_double(self) -> float:
+        return ((self._next(26) << 27) + self._next(27)) * _TWO_M53

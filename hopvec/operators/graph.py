@@ -77,10 +77,11 @@ def rank_filter(ranks: DataFrame, limit: int) -> DataFrame:
 
 def ranked_vertices(vertices: DataFrame, ranks: DataFrame, limit: int,
                     name_col: str = "host") -> DataFrame:
-    """Vertices whose name is among the top ``limit`` ranks (inner join on the name).
-    The ranks side is bounded by ``limit`` rows; AQE broadcasts it when it measures small."""
+    """Vertices whose name is among the top ``limit`` ranks (each vertex once, also when
+    names repeat). The ranks side is bounded by ``limit`` rows; AQE broadcasts it when it
+    measures small."""
     top = rank_filter(ranks, limit).select(F.col("host_rev").alias(name_col))
-    return vertices.join(top, name_col, "inner").select("id", name_col)
+    return vertices.join(top, name_col, "left_semi").select("id", name_col)
 
 
 def edges_within(edges: DataFrame, keep: DataFrame) -> DataFrame:
