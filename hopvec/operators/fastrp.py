@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seed import sparse_seed
 from ..functions.vectors import vec_add_normalized, vec_normalize, vec_scale
-from ..session import cut_lineage, materialize
+from ..session import conf_override, cut_lineage, materialize
 from .graph import complete_vertices, in_degrees, out_degrees
 
 MODES = ("carry", "freeze")
@@ -54,17 +54,39 @@ def init_vectors(vertices: DataFrame, d: int, sparsity: int = 3, init: bool = Tr
     return vertices.select(F.col("id").cast("bigint").alias("id"), x.alias("x"))
 
 
+COLUMNS_MAX_D = 512  # widest vector summed as one column per dimension
+
+
 def neighbor_mean(state: DataFrame, edges: DataFrame, heavy_edges: DataFrame | None = None,
-                  heavy_ids: DataFrame | None = None) -> DataFrame:
+                  heavy_ids: DataFrame | None = None, d: int | None = None, layout: str = "auto") -> DataFrame:
     """``(id, x, n)``: weighted in-neighbour sum divided by the in-edge count ``n``, for
     vertices with at least one in-edge. Every edge counts, also weight 0 and negative
-    weights (the vector is pre-scaled, ``Summarizer`` gets no weight column)."""
+    weights.
+
+    ``layout="columns"`` sums one column per dimension (a code-generated hash aggregate
+    with a ``d + 1`` double buffer, exact sums); ``layout="summarizer"`` sums the
+    pre-scaled vector with ``Summarizer`` (no weight column, so every edge is counted),
+    which keeps the plan small for very wide vectors. ``auto`` picks columns up to
+    ``COLUMNS_MAX_D`` dimensions (``fastrp`` lifts ``spark.sql.codegen.maxFields`` so the
+    aggregate stays in whole-stage codegen)."""
     src_state = state.select(F.col("id").alias("src"), F.col("x").alias("xs"))
     msgs = edges.select("src", "dst", "weight").join(src_state, "src")
     if heavy_edges is not None:
         hub_state = F.broadcast(src_state.join(F.broadcast(heavy_ids.withColumnRenamed("id", "src")),
                                                "src", "left_semi"))
         msgs = msgs.unionByName(heavy_edges.select("src", "dst", "weight").join(hub_state, "src"))
+    if layout == "auto":
+        layout = "columns" if d is not None and d <= COLUMNS_MAX_D else "summarizer"
+    if layout == "columns":
+        if d is None:
+            raise ValueError("layout='columns' needs d")
+        w, xs = F.col("weight"), F.col("xs")
+        agg = msgs.groupBy("dst").agg(*[F.sum(xs[i] * w).alias(f"_s{i}") for i in range(d)],
+                                      F.count(F.lit(1)).alias("n"))
+        n = F.col("n")
+        return agg.select(F.col("dst").alias("id"), F.array(*[F.col(f"_s{i}") / n for i in range(d)]).alias("x"), "n")
+    if layout != "summarizer":
+        raise ValueError(f"unknown layout {layout!r}")
     summary = Summarizer.metrics("sum", "count").summary(
         array_to_vector(vec_scale("xs", F.col("weight"))))
     agg = msgs.groupBy("dst").agg(summary.alias("m"))
@@ -74,23 +96,41 @@ def neighbor_mean(state: DataFrame, edges: DataFrame, heavy_edges: DataFrame | N
                       n.alias("n"))
 
 
-def _split_hubs(edges: DataFrame, num_partitions: int, max_heavy: int, heavy_degree: int | None):
-    """Light edges (partitioned by src, persisted) and hub edges with the hub id table.
-    The hub table has at most ``max_heavy`` rows by construction of the threshold."""
-    n_edges = edges.count()
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def hop_partitions(spark, n_edges: int, d: int, num_partitions: int | None = None) -> int:
+    """Partitions for the hop loop: enough that one partition's messages (``8 d + 24``
+    bytes per edge) stay near 128 MB, never fewer than the cluster's default parallelism."""
+    if num_partitions:
+        return int(num_partitions)
+    need = math.ceil(n_edges * (8 * d + 24) / TARGET_PARTITION_BYTES)
+    return max(spark.sparkContext.defaultParallelism, need, 1)
+
+
+def _split_hubs(edges: DataFrame, num_partitions: int, max_heavy: int, heavy_degree: int | None,
+                outdeg: DataFrame | None = None):
+    """Light edges (partitioned by src, sorted, persisted) and hub edges with the hub id
+    table. A hub has at least ``edges / min(max_heavy, partitions)`` out-edges, so there
+    are at most that many hubs and their state is a bounded broadcast."""
+    own = outdeg is None
+    if own:
+        outdeg = materialize(out_degrees(edges))           # one scan of the edges
+    n_edges = outdeg.agg(F.sum("out_degree")).first()[0] or 0
     threshold = heavy_degree or max(1, math.ceil(n_edges / max(1, min(max_heavy, num_partitions))))
-    hubs = out_degrees(edges).filter(F.col("out_degree") >= threshold).select("id")
-    hubs = materialize(hubs)
+    hubs = materialize(outdeg.filter(F.col("out_degree") >= threshold).select("id"))
+    if own:
+        outdeg.unpersist()
     n_hubs = hubs.count()
     if n_hubs == 0:
-        light = materialize(edges.repartition(num_partitions, "src").sortWithinPartitions("src"))
         hubs.unpersist()
+        light = materialize(edges.repartition(num_partitions, "src").sortWithinPartitions("src"))
         return light, None, None
-    if n_hubs > max(max_heavy, n_edges // max(threshold, 1)):
+    if heavy_degree is None and n_hubs > max_heavy:
         raise AssertionError("hub table exceeds its bound")
     hub_src = F.broadcast(hubs.withColumnRenamed("id", "src"))
     light = materialize(edges.join(hub_src, "src", "left_anti")
-                            .repartition(num_partitions, "src").sortWithinPartitions("src"))
+                        .repartition(num_partitions, "src").sortWithinPartitions("src"))
     heavy = materialize(edges.join(hub_src, "src", "left_semi"))
     return light, heavy, hubs
 
@@ -98,7 +138,7 @@ def _split_hubs(edges: DataFrame, num_partitions: int, max_heavy: int, heavy_deg
 def fastrp(vertices: DataFrame, edges: DataFrame, d: int, weights, sparsity: int = 3,
            r0: float = 0.0, init: bool = True, mode: str = "carry", rng: str = "java",
            x_col: str = "x", num_partitions: int | None = None, checkpoint_interval: int = 3,
-           max_heavy: int = 4096, heavy_degree: int | None = None) -> DataFrame:
+           max_heavy: int = 4096, heavy_degree: int | None = None, layout: str = "auto") -> DataFrame:
     """FastRP embeddings ``(id, x array<double>)`` for every vertex of the graph (given
     vertices plus all edge endpoints).
 
@@ -112,12 +152,14 @@ def fastrp(vertices: DataFrame, edges: DataFrame, d: int, weights, sparsity: int
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     spark = edges.sparkSession
-    P = int(num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
     while weights and weights[-1] == 0.0:   # trailing zero hops add nothing
         weights.pop()
 
     edges = edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"),
                          F.col("weight").cast("double"))
+    outdeg = materialize(out_degrees(edges))
+    n_edges = outdeg.agg(F.sum("out_degree")).first()[0] or 0
+    P = hop_partitions(spark, n_edges, d, num_partitions)
     verts = complete_vertices(vertices if x_col in vertices.columns else vertices.select("id"), edges)
     x0 = init_vectors(verts, d, sparsity, init, x_col, rng)
     acc0 = (vec_normalize("x", r0) if r0 != 0.0 else F.array_repeat(F.lit(0.0), F.size("x")))
@@ -128,30 +170,33 @@ def fastrp(vertices: DataFrame, edges: DataFrame, d: int, weights, sparsity: int
             "id", "x", "acc", F.coalesce("has_in", F.lit(False)).alias("has_in"))
     state = materialize(state.repartition(P, "id"))
     if not weights:
-        out = state.select("id", F.col("acc").alias("x"))
-        return out
-
-    light, heavy, hubs = _split_hubs(edges, P, max_heavy, heavy_degree)
-    for t, w in enumerate(weights, start=1):
-        msg = neighbor_mean(state, light, heavy, hubs).select("id", F.col("x").alias("xm"))
-        joined = state.join(msg, "id", "left")
-        x_new = F.coalesce(F.col("xm"), F.col("x"))
-        if w == 0.0:
-            acc_new = F.col("acc")
-        elif mode == "carry":
-            acc_new = vec_add_normalized("acc", x_new, w)
-        else:  # freeze: only vertices that receive messages are updated
-            acc_new = F.when(F.col("has_in"), vec_add_normalized("acc", x_new, w)).otherwise(F.col("acc"))
-        cols = [F.col("id"), x_new.alias("x"), acc_new.alias("acc")]
-        if mode == "freeze":
-            cols.append(F.col("has_in"))
-        nxt = materialize(joined.select(*cols))
-        if checkpoint_interval and t % checkpoint_interval == 0 and t < len(weights):
-            nxt_ck = cut_lineage(nxt)
-            nxt.unpersist()
-            nxt = materialize(nxt_ck)
-        state.unpersist()
-        state = nxt
+        outdeg.unpersist()
+        return state.select("id", F.col("acc").alias("x"))
+
+    light, heavy, hubs = _split_hubs(edges, P, max_heavy, heavy_degree, outdeg)
+    outdeg.unpersist()
+    max_fields = max(int(spark.conf.get("spark.sql.codegen.maxFields", "100")), d + 64)
+    with conf_override(spark, {"spark.sql.codegen.maxFields": max_fields}):
+        for t, w in enumerate(weights, start=1):
+            msg = neighbor_mean(state, light, heavy, hubs, d, layout).select("id", F.col("x").alias("xm"))
+            joined = state.join(msg, "id", "left")
+            x_new = F.coalesce(F.col("xm"), F.col("x"))
+            if w == 0.0:
+                acc_new = F.col("acc")
+            elif mode == "carry":
+                acc_new = vec_add_normalized("acc", x_new, w)
+            else:  # freeze: only vertices that receive messages are updated
+                acc_new = F.when(F.col("has_in"), vec_add_normalized("acc", x_new, w)).otherwise(F.col("acc"))
+            cols = [F.col("id"), x_new.alias("x"), acc_new.alias("acc")]
+            if mode == "freeze":
+                cols.append(F.col("has_in"))
+            nxt = materialize(joined.select(*cols))
+            if checkpoint_interval and t % checkpoint_interval == 0 and t < len(weights):
+                nxt_ck = cut_lineage(nxt)
+                nxt.unpersist()
+                nxt = materialize(nxt_ck)
+            state.unpersist()
+            state = nxt
     for df in (light, heavy, hubs):
         if df is not None:
             df.unpersist()

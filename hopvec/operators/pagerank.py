@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, materialize
-from .fastrp import _split_hubs
+from .fastrp import _split_hubs, hop_partitions
 from .graph import out_degrees, vertices_from_edges
 
 
@@ -20,12 +20,15 @@ def pagerank(edges: DataFrame, num_iter: int = 5, reset: float = 0.0, num_partit
              checkpoint_interval: int = 3, max_heavy: int = 4096) -> DataFrame:
     """``(id, rank)`` for every endpoint of ``edges``."""
     spark = edges.sparkSession
-    P = int(num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
     e = edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"))
-    outdeg = out_degrees(e).withColumnRenamed("id", "src")
-    weighted = e.join(outdeg, "src").select("src", "dst", (F.lit(1.0) / F.col("out_degree")).alias("weight"))
+    outdeg = materialize(out_degrees(e))
+    n_edges = outdeg.agg(F.sum("out_degree")).first()[0] or 0
+    P = hop_partitions(spark, n_edges, 1, num_partitions)
+    weighted = e.join(outdeg.withColumnRenamed("id", "src"), "src").select(
+        "src", "dst", (F.lit(1.0) / F.col("out_degree")).alias("weight"))
     verts = materialize(vertices_from_edges(e).repartition(P, "id"))
-    light, heavy, hubs = _split_hubs(weighted, P, max_heavy, None)
+    light, heavy, hubs = _split_hubs(weighted, P, max_heavy, None, outdeg)
+    outdeg.unpersist()
 
     ranks = materialize(verts.select("id", F.lit(1.0).alias("rank")))
     for t in range(1, num_iter + 1):
