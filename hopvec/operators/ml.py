@@ -55,11 +55,18 @@ def random_split(df: DataFrame, fractions=(0.7, 0.3), seed: int = 42):
     return df.randomSplit(list(fractions), seed)
 
 
-def labelled_points(embeddings: DataFrame, labels: DataFrame, x_col: str = "x", label_col: str = "label") -> DataFrame:
-    """Inner join (unlabelled vertices dropped): ``(id, label double, features vector)``."""
+def labelled_points(embeddings: DataFrame, labels: DataFrame, x_col: str = "x", label_col: str = "label",
+                    num_classes: int | None = None) -> DataFrame:
+    """Inner join (unlabelled vertices dropped): ``(id, label double, features vector)``.
+    With ``num_classes`` the label carries nominal metadata, so classifiers take the class
+    count from it (no inference limit of 100 classes)."""
+    label = F.col(label_col).cast("double")
+    if num_classes is not None:
+        label = label.alias("label", metadata={"ml_attr": {"type": "nominal", "num_vals": int(num_classes)}})
+    else:
+        label = label.alias("label")
     return (embeddings.select("id", x_col).join(labels.select("id", label_col), "id")
-            .select("id", F.col(label_col).cast("double").alias("label"),
-                    array_to_vector(F.col(x_col).cast("array<double>")).alias("features")))
+            .select("id", label, array_to_vector(F.col(x_col).cast("array<double>")).alias("features")))
 
 
 def scale_features(points: DataFrame) -> DataFrame:
@@ -113,9 +120,9 @@ def classify_binary(embeddings: DataFrame, labels: DataFrame, kind: str = "svm",
 def classify_multiclass(embeddings: DataFrame, labels: DataFrame, kind: str = "forest", seed: int = 42,
                         label_col: str = "label", num_classes: int | None = None, **kw) -> dict:
     """Multiclass chain of the host pipeline (labels already indexed 0..n-1)."""
-    points = labelled_points(embeddings, labels, label_col=label_col)
     if num_classes is None:
-        num_classes = int(points.agg(F.max("label")).first()[0]) + 1
+        num_classes = int(labels.agg(F.max(label_col)).first()[0]) + 1
+    points = labelled_points(embeddings, labels, label_col=label_col, num_classes=num_classes)
     pred = train_and_predict(points, kind, num_classes, seed, **kw)
     return {"predictions": pred, "multiclass": multiclass_metrics(pred)}
 

@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The reference reads bounded files only and has no watermark, window, stateful or
+late-data operator (SURVEY section 2.11), so no Structured Streaming job is built.
+"""
