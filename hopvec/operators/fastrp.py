@@ -171,12 +171,15 @@ def fastrp(vertices: DataFrame, edges: DataFrame, d: int, weights, sparsity: int
     state = materialize(state.repartition(P, "id"))
     if not weights:
         outdeg.unpersist()
-        return state.select("id", F.col("acc").alias("x"))
+        out = cut_lineage(state.select("id", F.col("acc").alias("x")))
+        state.unpersist()
+        return out
 
     light, heavy, hubs = _split_hubs(edges, P, max_heavy, heavy_degree, outdeg)
     outdeg.unpersist()
     max_fields = max(int(spark.conf.get("spark.sql.codegen.maxFields", "100")), d + 64)
-    with conf_override(spark, {"spark.sql.codegen.maxFields": max_fields}):
+    # the message aggregate shuffles into the state's P partitions, so the state join needs no exchange
+    with conf_override(spark, {"spark.sql.codegen.maxFields": max_fields, "spark.sql.shuffle.partitions": P}):
         for t, w in enumerate(weights, start=1):
             msg = neighbor_mean(state, light, heavy, hubs, d, layout).select("id", F.col("x").alias("xm"))
             joined = state.join(msg, "id", "left")
@@ -197,10 +200,13 @@ def fastrp(vertices: DataFrame, edges: DataFrame, d: int, weights, sparsity: int
                 nxt = materialize(nxt_ck)
             state.unpersist()
             state = nxt
-    for df in (light, heavy, hubs):
+    # the result is written to the checkpoint folder: it survives executor loss, holds no
+    # cache and its plan does not carry the hop lineage
+    out = cut_lineage(state.select("id", F.col("acc").alias("x")))
+    for df in (light, heavy, hubs, state):
         if df is not None:
             df.unpersist()
-    return state.select("id", F.col("acc").alias("x"))
+    return out
 
 
 def explain_hop(state: DataFrame, light: DataFrame, heavy=None, hubs=None, mode: str = "formatted") -> str:

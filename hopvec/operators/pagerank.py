@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, materialize
+from ..session import conf_override, cut_lineage, materialize
 from .fastrp import _split_hubs, hop_partitions
 from .graph import out_degrees, vertices_from_edges
 
@@ -31,6 +31,12 @@ def pagerank(edges: DataFrame, num_iter: int = 5, reset: float = 0.0, num_partit
     outdeg.unpersist()
 
     ranks = materialize(verts.select("id", F.lit(1.0).alias("rank")))
+    with conf_override(spark, {"spark.sql.shuffle.partitions": P}):
+        ranks = _iterate(ranks, verts, light, heavy, hubs, num_iter, reset, checkpoint_interval)
+    return _normalized(ranks, [light, heavy, hubs, verts])
+
+
+def _iterate(ranks, verts, light, heavy, hubs, num_iter, reset, checkpoint_interval):
     for t in range(1, num_iter + 1):
         src_rank = ranks.select(F.col("id").alias("src"), F.col("rank").alias("r"))
         contrib = light.join(src_rank, "src").select("dst", (F.col("r") * F.col("weight")).alias("c"))
@@ -48,14 +54,18 @@ def pagerank(edges: DataFrame, num_iter: int = 5, reset: float = 0.0, num_partit
             nxt = materialize(ck)
         ranks.unpersist()
         ranks = nxt
+    return ranks
+
 
+def _normalized(ranks, cached):
     # one global aggregate, two numbers to the driver
     tot = ranks.agg(F.sum("rank").alias("s"), F.count(F.lit(1)).alias("n")).first()
     factor = float("inf") if tot["s"] == 0 else float(tot["n"]) / float(tot["s"])
-    for df in (light, heavy, hubs, verts):
+    out = cut_lineage(ranks.select("id", (F.col("rank") * F.lit(factor)).alias("rank")))
+    for df in cached + [ranks]:
         if df is not None:
             df.unpersist()
-    return ranks.select("id", (F.col("rank") * F.lit(factor)).alias("rank"))
+    return out
 
 
 def top_ranked(ranks: DataFrame, n: int = 25) -> DataFrame:

@@ -16,7 +16,7 @@ def spark():
 
     from hopvec.session import DEFAULT_CONF
     b = (SparkSession.builder.master("local[*]").appName("hopvec-tests")
-         .config("spark.sql.shuffle.partitions", "8"))
+         .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "6g"))
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
     s = b.getOrCreate()
