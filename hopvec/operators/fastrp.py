@@ -96,12 +96,14 @@ def neighbor_mean(state: DataFrame, edges: DataFrame, heavy_edges: DataFrame | N
                       n.alias("n"))
 
 
-TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+TARGET_PARTITION_BYTES = 512 * 1024 * 1024
 
 
 def hop_partitions(spark, n_edges: int, d: int, num_partitions: int | None = None) -> int:
     """Partitions for the hop loop: enough that one partition's messages (``8 d + 24``
-    bytes per edge) stay near 128 MB, never fewer than the cluster's default parallelism."""
+    bytes per edge) stay near 512 MB, never fewer than the cluster's default parallelism.
+    Larger partitions let the partial aggregation fold more messages per destination
+    before the shuffle (measured: 8 partitions beat 20 at sf0.1, d=256)."""
     if num_partitions:
         return int(num_partitions)
     need = math.ceil(n_edges * (8 * d + 24) / TARGET_PARTITION_BYTES)
