@@ -27,9 +27,12 @@ MAX_QUERIES = 4096
 
 
 def _top_per_group(df: DataFrame, group: str, k: int, order=("dist", "id")) -> DataFrame:
+    """``k`` best rows per group with a 0-based ``rank``. The filter is on the raw
+    ``row_number`` so the optimizer plans a partial WindowGroupLimit before the shuffle
+    (each map task sends at most ``k`` rows per group)."""
     w = Window.partitionBy(group).orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    return (df.withColumn("rank", F.row_number().over(w) - 1)
-            .filter(F.col("rank") < F.lit(k)))
+    return (df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.lit(k))
+            .withColumn("rank", F.col("_rn") - 1).drop("_rn"))
 
 
 def _distances_to_queries(vectors: DataFrame, qvecs, x_col: str = "x") -> DataFrame:
@@ -140,8 +143,7 @@ def knn_all_pairs(vectors: DataFrame, k: int = 10, names: DataFrame | None = Non
     cands = blk.select(others.alias("a"), F.col("blk").alias("b"), "id", "x", F.lit(1).alias("side"))
     cand_rows = (queries.unionByName(cands).groupBy("a", "b")
                  .applyInPandas(_block_topk(k, d), "src long, dst long, dist double"))
-    w = Window.partitionBy("src").orderBy(F.col("dist").asc_nulls_last(), F.col("dst"))
-    out = cand_rows.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < F.lit(k))
+    out = _top_per_group(cand_rows, "src", k, ("dist", "dst"))
     if names is not None:
         nm = names.select("id", "name")
         out = (out.join(nm.select(F.col("id").alias("src"), F.col("name").alias("src_name")), "src")
