@@ -24,6 +24,7 @@ from ..functions.seed import JavaRandom
 from ..functions.vectors import cosine_distance, vec_dot
 
 MAX_QUERIES = 4096
+LITERAL_QUERIES = 64   # up to this many query vectors enter the plan as literals
 
 
 def _top_per_group(df: DataFrame, group: str, k: int, order=("dist", "id")) -> DataFrame:
@@ -82,16 +83,24 @@ def knn_by_name(names: DataFrame, vectors: DataFrame, sites, k: int = 10, x_col:
     if missing:
         raise ValueError(f"unknown names: {missing[:10]}")
     qrows = sorted(qrows, key=lambda r: (r["name"], r["id"]))
-    dist = _distances_to_queries(vectors, [r[x_col] for r in qrows], x_col)
-    qmap = names.sparkSession.createDataFrame(
+    spark = names.sparkSession
+    qmap = spark.createDataFrame(
         [(i, r["name"], int(r["id"])) for i, r in enumerate(qrows)], "qid int, query string, query_id long")
+    if len(qrows) <= LITERAL_QUERIES:
+        dist = _distances_to_queries(vectors, [r[x_col] for r in qrows], x_col)
+    else:
+        d = len(qrows[0][x_col])
+        qv = spark.createDataFrame([(i, [float(v) for v in r[x_col]]) for i, r in enumerate(qrows)],
+                                   "id long, x array<double>")
+        dist = _blocked_candidates(qv, vectors, k + 1, d, exclude_self=False, x_col=x_col).select(
+            F.col("src").cast("int").alias("qid"), F.col("dst").alias("id"), "dist")
     top = _top_per_group(dist, "qid", k + 1)
     return (top.join(F.broadcast(qmap), "qid")  # qmap: at most max_queries rows
             .join(names.select("id", "name"), "id")
             .select("query", "query_id", "rank", "dist", "id", "name"))
 
 
-def _block_topk(k: int, d: int):
+def _block_topk(k: int, d: int, exclude_self: bool = True):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         q = pdf[pdf["side"] == 0]
         c = pdf[pdf["side"] == 1].sort_values("id", kind="stable")
@@ -112,7 +121,8 @@ def _block_topk(k: int, d: int):
                 den = np.outer(qn[s:s + step], cn)
                 D = 1.0 - dot / den
             D[den == 0] = np.nan
-            D[qid[s:s + step, None] == cid[None, :]] = np.inf     # self excluded
+            if exclude_self:
+                D[qid[s:s + step, None] == cid[None, :]] = np.inf     # self excluded
             kk = min(k, len(c))
             order = np.argsort(D, axis=1, kind="stable")[:, :kk]  # ties keep id order
             rows = np.repeat(np.arange(order.shape[0]), kk)
@@ -127,6 +137,29 @@ def _block_topk(k: int, d: int):
     return fn
 
 
+def _blocked_candidates(queries: DataFrame, cands: DataFrame, k: int, d: int, exclude_self: bool = True,
+                        block_rows: int = 4000, n: int | None = None, x_col: str = "x") -> DataFrame:
+    """``(src, dst, dist)``: for each query, its ``k`` nearest candidates inside each
+    candidate block. Candidates are hashed into ``ceil(n / block_rows)`` blocks; queries
+    are hashed the same way when both sides are the same table (all pairs) and every
+    query meets every candidate block. One ``applyInPandas`` group per (query block,
+    candidate block) holds about ``block_rows`` vectors per side."""
+    q = queries.select(F.col("id").cast("bigint").alias("id"), F.col(x_col).cast("array<double>").alias("x"))
+    c = cands.select(F.col("id").cast("bigint").alias("id"), F.col(x_col).cast("array<double>").alias("x"))
+    n_c = n if n is not None else c.count()
+    n_q = n if n is not None else q.count()
+    Bc = max(1, math.ceil(n_c / block_rows))
+    Bq = max(1, math.ceil(n_q / block_rows))
+    qb = q.withColumn("a", F.pmod(F.xxhash64("id"), F.lit(Bq)).cast("int"))
+    cb = c.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(Bc)).cast("int"))
+    qrep = qb.select("a", F.explode(F.sequence(F.lit(0), F.lit(Bc - 1))).alias("b"), "id", "x",
+                     F.lit(0).alias("side"))
+    crep = cb.select(F.explode(F.sequence(F.lit(0), F.lit(Bq - 1))).alias("a"), "b", "id", "x",
+                     F.lit(1).alias("side"))
+    return (qrep.unionByName(crep).groupBy("a", "b")
+            .applyInPandas(_block_topk(k, d, exclude_self), "src long, dst long, dist double"))
+
+
 def knn_all_pairs(vectors: DataFrame, k: int = 10, names: DataFrame | None = None, x_col: str = "x",
                   block_rows: int = 4000, d: int | None = None) -> DataFrame:
     """Exact k nearest (cosine) of every vector among all others:
@@ -136,13 +169,7 @@ def knn_all_pairs(vectors: DataFrame, k: int = 10, names: DataFrame | None = Non
     if d is None:
         first = v.select(F.size("x")).first()
         d = int(first[0]) if first else 0
-    B = max(1, math.ceil(n / block_rows))
-    blk = v.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(B)).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(B - 1)))
-    queries = blk.select(F.col("blk").alias("a"), others.alias("b"), "id", "x", F.lit(0).alias("side"))
-    cands = blk.select(others.alias("a"), F.col("blk").alias("b"), "id", "x", F.lit(1).alias("side"))
-    cand_rows = (queries.unionByName(cands).groupBy("a", "b")
-                 .applyInPandas(_block_topk(k, d), "src long, dst long, dist double"))
+    cand_rows = _blocked_candidates(v, v, k, d, block_rows=block_rows, n=n)
     out = _top_per_group(cand_rows, "src", k, ("dist", "dst"))
     if names is not None:
         nm = names.select("id", "name")

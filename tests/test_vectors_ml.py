@@ -136,3 +136,14 @@ def test_classifiers_on_planted_labels(spark):
     f = classify_multiclass(emb, ym, kind="forest", num_classes=3)
     acc = {r.metric: r.value for r in f["multiclass"].collect() if r.label is None}["accuracy"]
     assert acc > 0.6
+
+
+def test_knn_by_name_blocked_equals_literal(spark, monkeypatch):
+    import hopvec.operators.knn as K
+    v = _vec(spark)
+    names = spark.createDataFrame([(i, f"n{i}") for i in range(1000)], "id long, name string")
+    sites = [f"n{i}" for i in range(0, 200, 2)]            # 100 queries: the blocked path
+    blocked = {(r.query, r.rank): (r.id, round(r.dist, 9)) for r in K.knn_by_name(names, v, sites, 4).collect()}
+    monkeypatch.setattr(K, "LITERAL_QUERIES", 1000)
+    literal = {(r.query, r.rank): (r.id, round(r.dist, 9)) for r in K.knn_by_name(names, v, sites, 4).collect()}
+    assert blocked == literal and len(blocked) == 100 * 5
