@@ -16,7 +16,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
 
 from hopvec.operators.fastrp import fastrp  # noqa: E402
 from hopvec.operators.graph import symmetrize, vertices_from_edges  # noqa: E402

@@ -211,9 +211,10 @@ def fastrp(vertices: DataFrame, edges: DataFrame, d: int, weights, sparsity: int
     return out
 
 
-def explain_hop(state: DataFrame, light: DataFrame, heavy=None, hubs=None, mode: str = "formatted") -> str:
-    """Physical plan of one hop's message step (for inspection and tests)."""
-    msg = neighbor_mean(state, light, heavy, hubs)
+def explain_hop(state: DataFrame, light: DataFrame, heavy=None, hubs=None, d: int | None = None,
+                mode: str = "formatted") -> str:
+    """Physical plan of one hop's message step (for inspection)."""
+    msg = neighbor_mean(state, light, heavy, hubs, d)
     plan = state.join(msg.select("id", F.col("x").alias("xm")), "id", "left")
     return plan._jdf.queryExecution().explainString(
         plan.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
