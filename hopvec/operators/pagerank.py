@@ -60,7 +60,10 @@ def _iterate(ranks, verts, light, heavy, hubs, num_iter, reset, checkpoint_inter
 def _normalized(ranks, cached):
     # one global aggregate, two numbers to the driver
     tot = ranks.agg(F.sum("rank").alias("s"), F.count(F.lit(1)).alias("n")).first()
-    factor = float("inf") if tot["s"] == 0 else float(tot["n"]) / float(tot["s"])
+    if not tot["n"]:
+        factor = 1.0                                     # no vertices: nothing to scale
+    else:
+        factor = float("inf") if tot["s"] == 0 else float(tot["n"]) / float(tot["s"])
     out = cut_lineage(ranks.select("id", (F.col("rank") * F.lit(factor)).alias("rank")))
     for df in cached + [ranks]:
         if df is not None:

@@ -135,3 +135,10 @@ def test_pagerank_fixture(spark):
     # with reset: ranks still sum to the vertex count
     s = pagerank(e, 5, 0.15).agg(F.sum("rank")).first()[0]
     assert abs(s - 5) < 1e-9
+
+
+def test_empty_graphs(spark):
+    e = spark.createDataFrame([], E_SCHEMA)
+    assert pagerank(e, 3, 0.0).count() == 0
+    v = spark.createDataFrame([(1, [1.0, 0.0])], V_SCHEMA)
+    assert _emb(fastrp(v, e, 2, [1.0], r0=0.5)) == {1: [1.5, 0.0]}
