@@ -142,3 +142,15 @@ def test_empty_graphs(spark):
     assert pagerank(e, 3, 0.0).count() == 0
     v = spark.createDataFrame([(1, [1.0, 0.0])], V_SCHEMA)
     assert _emb(fastrp(v, e, 2, [1.0], r0=0.5)) == {1: [1.5, 0.0]}
+
+
+def test_layouts_agree(spark):
+    """Per-dimension columns and the Summarizer layout (used above 512 dimensions) agree."""
+    e = symmetrize(_edges_cp(spark, "/root/testdata/sf0.001"))
+    v = vertices_from_edges(e)
+    a = _emb(fastrp(v, e, 8, [0.0, 1.0, 0.5], r0=0.1, layout="columns"))
+    b = _emb(fastrp(v, e, 8, [0.0, 1.0, 0.5], r0=0.1, layout="summarizer"))
+    assert a.keys() == b.keys()
+    assert all(abs(x - y) < 2e-6 for k in a for x, y in zip(a[k], b[k]))
+    h = _emb(fastrp(v, e, 8, [1.0], rng="hash"))
+    assert h.keys() == a.keys() and h != _emb(fastrp(v, e, 8, [1.0]))
