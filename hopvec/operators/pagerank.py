@@ -17,7 +17,7 @@ from .graph import out_degrees, vertices_from_edges
 
 
 def pagerank(edges: DataFrame, num_iter: int = 5, reset: float = 0.0, num_partitions: int | None = None,
-             checkpoint_interval: int = 3, max_heavy: int = 4096) -> DataFrame:
+             checkpoint_interval: int = 3, max_heavy: int = 4096, heavy_degree: int | None = None) -> DataFrame:
     """``(id, rank)`` for every endpoint of ``edges``."""
     spark = edges.sparkSession
     e = edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"))
@@ -27,7 +27,7 @@ def pagerank(edges: DataFrame, num_iter: int = 5, reset: float = 0.0, num_partit
     weighted = e.join(outdeg.withColumnRenamed("id", "src"), "src").select(
         "src", "dst", (F.lit(1.0) / F.col("out_degree")).alias("weight"))
     verts = materialize(vertices_from_edges(e).repartition(P, "id"))
-    light, heavy, hubs = _split_hubs(weighted, P, max_heavy, None, outdeg)
+    light, heavy, hubs = _split_hubs(weighted, P, max_heavy, heavy_degree, outdeg)
     outdeg.unpersist()
 
     ranks = materialize(verts.select("id", F.lit(1.0).alias("rank")))

@@ -128,6 +128,8 @@ def test_pagerank_fixture(spark):
     e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 1, 1.0), (3, 4, 1.0), (5, 1, 1.0), (1, 2, 1.0)], E_SCHEMA)
     r = {x.id: round(x.rank, 6) for x in pagerank(e, 5, 0.0).collect()}
     assert r == {1: 0.714286, 2: 2.142857, 3: 1.428571, 4: 0.714286, 5: 0.0}
+    hub = {x.id: round(x.rank, 6) for x in pagerank(e, 5, 0.0, heavy_degree=2, num_partitions=3).collect()}
+    assert hub == r                                      # hub sources (1 and 3) by broadcast
     top = [x.id for x in top_ranked(pagerank(e, 5, 0.0), 2).collect()]
     assert top == [2, 3]
     dag = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0)], E_SCHEMA)
