@@ -134,10 +134,17 @@ def class_share(df: DataFrame, label_col: str = "label") -> DataFrame:
     return c.select("label", "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
 
 
-def label_index(df: DataFrame, label_col: str = "label") -> DataFrame:
+MAX_LABELS = 100_000
+
+
+def label_index(df: DataFrame, label_col: str = "label", max_labels: int = MAX_LABELS) -> DataFrame:
     """``(label, label_idx double)``: labels numbered 0..n-1 in alphabetical order (a
-    deterministic version of ``distinct().zipWithIndex()``), like ``StringIndexer``."""
+    deterministic version of ``distinct().zipWithIndex()``), like ``StringIndexer``. The
+    label table is small by nature (it is broadcast to attach indexes); more than
+    ``max_labels`` distinct labels raise."""
     from pyspark.ml.feature import StringIndexer
     d = df.select(F.col(label_col).alias("label")).filter(F.col("label").isNotNull()).distinct()
+    if d.limit(max_labels + 1).count() > max_labels:
+        raise ValueError(f"more than {max_labels} distinct labels")
     model = StringIndexer(inputCol="label", outputCol="label_idx", stringOrderType="alphabetAsc").fit(d)
     return model.transform(d)
