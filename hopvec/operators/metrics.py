@@ -16,6 +16,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def _as_double(c):
     return F.col(c).cast("double")
@@ -82,6 +84,9 @@ def cumulative_label_counts(scored: DataFrame, score: str = "score", label: str
                  .groupBy("threshold")
                  .agg(F.sum(F.when(F.col("y") > 0.5, 1).otherwise(0)).cast("bigint").alias("pos"),
                       F.sum(F.when(F.col("y") > 0.5, 0).otherwise(1)).cast("bigint").alias("neg")))
+    # written once (one row per distinct score): the quantile cut, the ranged rows and the
+    # range totals all read it instead of scanning the scored table three times
+    per_score = cut_lineage(per_score)
     probs = [i / P for i in range(1, P)]
     cuts = sorted({float(c) for c in per_score.approxQuantile("threshold", probs, 0.001)}) if probs else []
     splits = [float("-inf")] + cuts + [float("inf")]
