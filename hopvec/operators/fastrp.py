@@ -157,8 +157,10 @@ def fastrp(vertices: DataFrame, edges: DataFrame, d: int, weights, sparsity: int
     while weights and weights[-1] == 0.0:   # trailing zero hops add nothing
         weights.pop()
 
-    edges = edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"),
-                         F.col("weight").cast("double"))
+    # the input edge table (often a join or a union) is computed once: degrees, the vertex
+    # set and the hub split all read this copy
+    edges = materialize(edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"),
+                                     F.col("weight").cast("double")))
     outdeg = materialize(out_degrees(edges))
     n_edges = outdeg.agg(F.sum("out_degree")).first()[0] or 0
     P = hop_partitions(spark, n_edges, d, num_partitions)
@@ -173,12 +175,14 @@ def fastrp(vertices: DataFrame, edges: DataFrame, d: int, weights, sparsity: int
     state = materialize(state.repartition(P, "id"))
     if not weights:
         outdeg.unpersist()
+        edges.unpersist()
         out = cut_lineage(state.select("id", F.col("acc").alias("x")))
         state.unpersist()
         return out
 
     light, heavy, hubs = _split_hubs(edges, P, max_heavy, heavy_degree, outdeg)
     outdeg.unpersist()
+    edges.unpersist()
     max_fields = max(int(spark.conf.get("spark.sql.codegen.maxFields", "100")), d + 64)
     # the message aggregate shuffles into the state's P partitions, so the state join needs no exchange
     with conf_override(spark, {"spark.sql.codegen.maxFields": max_fields, "spark.sql.shuffle.partitions": P}):

@@ -20,7 +20,7 @@ def pagerank(edges: DataFrame, num_iter: int = 5, reset: float = 0.0, num_partit
              checkpoint_interval: int = 3, max_heavy: int = 4096, heavy_degree: int | None = None) -> DataFrame:
     """``(id, rank)`` for every endpoint of ``edges``."""
     spark = edges.sparkSession
-    e = edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"))
+    e = materialize(edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")))  # input computed once
     outdeg = materialize(out_degrees(e))
     n_edges = outdeg.agg(F.sum("out_degree")).first()[0] or 0
     P = hop_partitions(spark, n_edges, 1, num_partitions)
@@ -29,6 +29,7 @@ def pagerank(edges: DataFrame, num_iter: int = 5, reset: float = 0.0, num_partit
     verts = materialize(vertices_from_edges(e).repartition(P, "id"))
     light, heavy, hubs = _split_hubs(weighted, P, max_heavy, heavy_degree, outdeg)
     outdeg.unpersist()
+    e.unpersist()
 
     ranks = materialize(verts.select("id", F.lit(1.0).alias("rank")))
     with conf_override(spark, {"spark.sql.shuffle.partitions": P}):
