@@ -156,3 +156,46 @@ def test_layouts_agree(spark):
     assert all(abs(x - y) < 2e-6 for k in a for x, y in zip(a[k], b[k]))
     h = _emb(fastrp(v, e, 8, [1.0], rng="hash"))
     assert h.keys() == a.keys() and h != _emb(fastrp(v, e, 8, [1.0]))
+
+
+def _numpy_fastrp(n, edges, x0, weights, r0, mode):
+    """Brute-force FastRP on a small graph (independent of the Spark code)."""
+    import numpy as np
+
+    def norm(m):
+        nn = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.where(nn == 0, m, m / np.where(nn == 0, 1, nn))
+
+    x = np.array(x0, dtype=float)
+    has_in = np.zeros(n, bool)
+    for _, v, _ in edges:
+        has_in[v] = True
+    acc = r0 * norm(x)
+    for w in weights:
+        s = np.zeros_like(x)
+        c = np.zeros(n)
+        for u, v, ew in edges:
+            s[v] += ew * x[u]
+            c[v] += 1
+        x = np.where(has_in[:, None], s / np.maximum(c, 1)[:, None], x)
+        term = w * norm(x)
+        acc = acc + (term if mode == "carry" else np.where(has_in[:, None], term, 0))
+    return acc
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_fastrp_against_numpy(spark, seed):
+    import numpy as np
+    rng = np.random.default_rng(seed)
+    n, d = 12, 3
+    edges = [(int(rng.integers(n)), int(rng.integers(n)), float(rng.choice([-1.0, 0.0, 0.5, 1.0, 2.0])))
+             for _ in range(30)]
+    edges += [(3, 3, 1.0), (4, 5, 1.0), (4, 5, 1.0)]        # a self-loop and a parallel edge
+    x0 = rng.normal(size=(n, d)).round(3)
+    v = spark.createDataFrame([(i, x0[i].tolist()) for i in range(n)], V_SCHEMA)
+    e = spark.createDataFrame(edges, E_SCHEMA)
+    for mode in ("carry", "freeze"):
+        want = _numpy_fastrp(n, edges, x0, [0.5, 1.0, 0.25], 0.3, mode)
+        got = _emb(fastrp(v, e, d, [0.5, 1.0, 0.25], r0=0.3, mode=mode))
+        for i in range(n):
+            assert np.allclose(got[i], want[i], atol=2e-6), (mode, i, got[i], want[i])
