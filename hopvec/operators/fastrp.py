@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seed import sparse_seed
 from ..functions.vectors import vec_add_normalized, vec_normalize, vec_scale
-from ..session import conf_override, cut_lineage, materialize
+from ..session import conf_override, cut_lineage, default_parallelism, materialize
 from .graph import complete_vertices, in_degrees, out_degrees
 
 MODES = ("carry", "freeze")
@@ -107,7 +107,7 @@ def hop_partitions(spark, n_edges: int, d: int, num_partitions: int | None = Non
     if num_partitions:
         return int(num_partitions)
     need = math.ceil(n_edges * (8 * d + 24) / TARGET_PARTITION_BYTES)
-    return max(spark.sparkContext.defaultParallelism, need, 1)
+    return max(default_parallelism(spark), need, 1)
 
 
 def _split_hubs(edges: DataFrame, num_partitions: int, max_heavy: int, heavy_degree: int | None,

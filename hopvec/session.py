@@ -57,8 +57,26 @@ def conf_override(spark: SparkSession, settings: dict):
                 spark.conf.set(k, v)
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session, ``None`` for a Spark Connect session."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        return None
+
+
+def default_parallelism(spark: SparkSession) -> int:
+    sc = _context(spark)
+    if sc is not None:
+        return int(sc.defaultParallelism)
+    return int(spark.conf.get("spark.default.parallelism", None)
+               or spark.conf.get("spark.sql.shuffle.partitions", "8"))
+
+
 def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    sc = _context(spark)
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    return master.startswith("local")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -69,7 +87,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     temp dir; a cluster session without one is an error, because a machine-local
     folder does not survive the loss of an executor.
     """
-    sc = spark.sparkContext
+    sc = _context(spark)
+    if sc is None:   # Spark Connect: the server's spark.checkpoint.dir is used by checkpoint()
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder for this job")
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
