@@ -58,7 +58,8 @@ COLUMNS_MAX_D = 512  # widest vector summed as one column per dimension
 
 
 def neighbor_mean(state: DataFrame, edges: DataFrame, heavy_edges: DataFrame | None = None,
-                  heavy_ids: DataFrame | None = None, d: int | None = None, layout: str = "auto") -> DataFrame:
+                  heavy_ids: DataFrame | None = None, d: int | None = None, layout: str = "auto",
+                  unit_weights: bool = False) -> DataFrame:
     """``(id, x, n)``: weighted in-neighbour sum divided by the in-edge count ``n``, for
     vertices with at least one in-edge. Every edge counts, also weight 0 and negative
     weights.
@@ -68,7 +69,8 @@ def neighbor_mean(state: DataFrame, edges: DataFrame, heavy_edges: DataFrame | N
     pre-scaled vector with ``Summarizer`` (no weight column, so every edge is counted),
     which keeps the plan small for very wide vectors. ``auto`` picks columns up to
     ``COLUMNS_MAX_D`` dimensions (``fastrp`` lifts ``spark.sql.codegen.maxFields`` so the
-    aggregate stays in whole-stage codegen)."""
+    aggregate stays in whole-stage codegen). ``unit_weights=True`` (every weight is 1.0,
+    checked by the caller) skips the multiplication."""
     src_state = state.select(F.col("id").alias("src"), F.col("x").alias("xs"))
     msgs = edges.select("src", "dst", "weight").join(src_state, "src")
     if heavy_edges is not None:
@@ -81,14 +83,15 @@ def neighbor_mean(state: DataFrame, edges: DataFrame, heavy_edges: DataFrame | N
         if d is None:
             raise ValueError("layout='columns' needs d")
         w, xs = F.col("weight"), F.col("xs")
-        agg = msgs.groupBy("dst").agg(*[F.sum(xs[i] * w).alias(f"_s{i}") for i in range(d)],
+        agg = msgs.groupBy("dst").agg(*[F.sum(xs[i] if unit_weights else xs[i] * w).alias(f"_s{i}")
+                                        for i in range(d)],
                                       F.count(F.lit(1)).alias("n"))
         n = F.col("n")
         return agg.select(F.col("dst").alias("id"), F.array(*[F.col(f"_s{i}") / n for i in range(d)]).alias("x"), "n")
     if layout != "summarizer":
         raise ValueError(f"unknown layout {layout!r}")
-    summary = Summarizer.metrics("sum", "count").summary(
-        array_to_vector(vec_scale("xs", F.col("weight"))))
+    scaled = F.col("xs") if unit_weights else vec_scale("xs", F.col("weight"))
+    summary = Summarizer.metrics("sum", "count").summary(array_to_vector(scaled))
     agg = msgs.groupBy("dst").agg(summary.alias("m"))
     n = F.col("m.count")
     return agg.select(F.col("dst").alias("id"),
@@ -164,6 +167,8 @@ def fastrp(vertices: DataFrame, edges: DataFrame, d: int, weights, sparsity: int
     outdeg = materialize(out_degrees(edges))
     n_edges = outdeg.agg(F.sum("out_degree")).first()[0] or 0
     P = hop_partitions(spark, n_edges, d, num_partitions)
+    wmin, wmax = edges.agg(F.min("weight"), F.max("weight")).first()
+    unit = n_edges > 0 and wmin == 1.0 and wmax == 1.0
     verts = complete_vertices(vertices if x_col in vertices.columns else vertices.select("id"), edges)
     x0 = init_vectors(verts, d, sparsity, init, x_col, rng)
     acc0 = (vec_normalize("x", r0) if r0 != 0.0 else F.array_repeat(F.lit(0.0), F.size("x")))
@@ -187,7 +192,7 @@ def fastrp(vertices: DataFrame, edges: DataFrame, d: int, weights, sparsity: int
     # the message aggregate shuffles into the state's P partitions, so the state join needs no exchange
     with conf_override(spark, {"spark.sql.codegen.maxFields": max_fields, "spark.sql.shuffle.partitions": P}):
         for t, w in enumerate(weights, start=1):
-            msg = neighbor_mean(state, light, heavy, hubs, d, layout).select("id", F.col("x").alias("xm"))
+            msg = neighbor_mean(state, light, heavy, hubs, d, layout, unit).select("id", F.col("x").alias("xm"))
             joined = state.join(msg, "id", "left")
             x_new = F.coalesce(F.col("xm"), F.col("x"))
             if w == 0.0:
