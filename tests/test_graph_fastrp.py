@@ -199,3 +199,16 @@ def test_fastrp_against_numpy(spark, seed):
         got = _emb(fastrp(v, e, d, [0.5, 1.0, 0.25], r0=0.3, mode=mode))
         for i in range(n):
             assert np.allclose(got[i], want[i], atol=2e-6), (mode, i, got[i], want[i])
+
+
+def test_star_hub_detected_and_exact(spark):
+    """A source holding half of all edges is split out automatically; results are unchanged."""
+    from hopvec.operators.fastrp import _split_hubs
+    edges = [(0, i, 1.0) for i in range(1, 201)] + [(i, i % 200 + 1, 1.0) for i in range(1, 201)]
+    e = spark.createDataFrame(edges, E_SCHEMA)
+    light, heavy, hubs = _split_hubs(e, 8, 4096, None)
+    assert heavy is not None and [r.id for r in hubs.collect()] == [0] and heavy.count() == 200
+    v = vertices_from_edges(e)
+    auto = _emb(fastrp(v, e, 4, [1.0, 1.0], num_partitions=8))
+    plain = _emb(fastrp(v, e, 4, [1.0, 1.0], num_partitions=8, heavy_degree=10 ** 9))
+    assert auto == plain
