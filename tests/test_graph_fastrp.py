@@ -212,3 +212,25 @@ def test_star_hub_detected_and_exact(spark):
     auto = _emb(fastrp(v, e, 4, [1.0, 1.0], num_partitions=8))
     plain = _emb(fastrp(v, e, 4, [1.0, 1.0], num_partitions=8, heavy_degree=10 ** 9))
     assert auto == plain
+
+
+def test_pagerank_against_numpy(spark):
+    import numpy as np
+    rng = np.random.default_rng(7)
+    edges = [(int(rng.integers(15)), int(rng.integers(15)), 1.0) for _ in range(60)]
+    ids = sorted({u for u, _, _ in edges} | {v for _, v, _ in edges})
+    pos = {v: i for i, v in enumerate(ids)}
+    outdeg = np.zeros(len(ids))
+    for u, _, _ in edges:
+        outdeg[pos[u]] += 1
+    e = spark.createDataFrame(edges, E_SCHEMA)
+    for reset in (0.0, 0.15):
+        r = np.ones(len(ids))
+        for _ in range(5):
+            s = np.zeros(len(ids))
+            for u, v, _ in edges:
+                s[pos[v]] += r[pos[u]] / outdeg[pos[u]]
+            r = reset + (1 - reset) * s
+        r = r * len(ids) / r.sum()
+        got = {x.id: x.rank for x in pagerank(e, 5, reset).collect()}
+        assert all(abs(got[v] - r[pos[v]]) < 1e-9 for v in ids)
