@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import stored
 
 GRAM = 4
 BUCKETS = 1 << 16
@@ -134,7 +134,7 @@ def identify(pages: DataFrame, model: TextModel, temper_strength: float = STRENG
     page = text_evidence(pages, model).withColumn("host", host).withColumn(
         "domain", F.array_join(F.slice(parts, -F.least(F.size(parts), F.when(deep, 3).otherwise(2)), F.size(parts)), ".")).withColumn(
         "suffix", F.element_at(parts, -1)).withColumn("post", _softmax(F.col("ll")) if n else F.array().cast("array<double>"))
-    page = cut_lineage(page)
+    page = stored(page)
     if n == 0:
         return page.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"),
                            F.lit(None).cast("string").alias("text_lang"), "declared", "host")

@@ -20,11 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut_lineage
+from .common import SPACES, stored
 
 NUM, DEN = 4, 5          # least Jaccard similarity as a fraction
 MIN_WORDS = 5
 BUCKETS = 1 << 18
+PIVOT_WORDS = 3          # rarest words by which the first round looks
 BROADCAST_ROWS = 200_000
 
 
@@ -73,11 +74,12 @@ def occurrences(rows: DataFrame, levels: bytes) -> DataFrame:
     empty = F.xxhash64(F.lit(""))
     code = F.transform("h", lambda h: F.shiftleft(level(h).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
     found = lines(rows).where(F.length("content") >= 2 * MIN_WORDS - 1).withColumn("h", F.array_remove(hashes, empty))
-    found = found.where(F.size("h") >= MIN_WORDS).withColumn("code", F.sort_array(F.array_distinct(code))).withColumn("n", F.size("code"))
+    found = found.withColumn("code", F.sort_array(F.array_distinct(code))).withColumn("n", F.size("code"))
     one = F.lit(1).cast("bigint")
     parity = F.aggregate("code", F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int"))))
     prefix = F.transform(F.slice("code", F.lit(1), F.col("n") - _ceil(NUM * F.col("n"), DEN) + 1), lambda c: F.hash(c))
-    return found.where(F.col("n") >= MIN_WORDS).select(
+    # no filter on n here: pushed down, it would compute the codes of every line once more
+    return found.select(
         "doc", "row_hash", "line", F.xxhash64("code").alias("a"), F.xxhash64("code", F.lit(1)).alias("b"), "n", parity.alias("parity"), prefix.alias("prefix"))
 
 
@@ -109,14 +111,14 @@ def checked_broadcast(small: DataFrame) -> DataFrame:
 def verified(rows: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(y)``: the lines of ``pairs (x, y)`` (set hashes ``a``) whose exact word sets match. Only the
     lines in question are cut into words again."""
-    ids = cut_lineage(pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct())
-    places = cut_lineage(reps.select("a", "doc", "row_hash", "line").join(checked_broadcast(ids), "a"))
+    ids = stored(pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct())
+    places = stored(reps.select("a", "doc", "row_hash", "line").join(checked_broadcast(ids), "a"))
     wanted = places.groupBy("doc", "row_hash").agg(F.collect_set("line").alias("wanted"))
-    texts = rows.join(checked_broadcast(cut_lineage(wanted)), ["doc", "row_hash"]).dropDuplicates(["doc", "row_hash"])
+    texts = rows.join(checked_broadcast(stored(wanted)), ["doc", "row_hash"]).dropDuplicates(["doc", "row_hash"])
     cut = F.split("text", "\n")
     sets = texts.select("doc", "row_hash", F.explode(F.transform("wanted", lambda k: F.struct(
         k.alias("line"), F.get(cut, k).alias("content")))).alias("l")).select("doc", "row_hash", "l.line", word_set(F.col("l.content")).alias("words"))
-    sets = cut_lineage(sets.join(places, ["doc", "row_hash", "line"]).select("a", "words"))
+    sets = stored(sets.join(places, ["doc", "row_hash", "line"]).select("a", "words"))
     both = pairs.join(sets.select(F.col("a").alias("x"), F.col("words").alias("u")), "x").join(sets.select(F.col("a").alias("y"), F.col("words").alias("v")), "y")
     common = F.size(F.array_intersect("u", "v"))
     return both.where((NUM + DEN) * common >= NUM * (F.size("u") + F.size("v"))).select("y").distinct()
@@ -124,23 +126,23 @@ def verified(rows: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def later_matches(rows: DataFrame) -> DataFrame:
     """``(doc, row_hash, line)`` of the lines to remove, for ``rows (doc, row_hash, text)``."""
-    occ = cut_lineage(occurrences(rows, rarity(rows)))
+    occ = stored(occurrences(rows, rarity(rows))).where(F.col("n") >= MIN_WORDS)
     # equal sets: every occurrence but the first goes, whatever else matches
     place = F.struct("doc", "line", "row_hash")
-    firsts = cut_lineage(occ.groupBy("a", "b").agg(F.min(place).alias("first")))
+    firsts = stored(occ.groupBy("a", "b").agg(F.min(place).alias("first")))
     joined = occ.join(firsts, ["a", "b"])
     copies = joined.where(place != F.col("first")).select("a", "doc", "row_hash", "line")
     reps = joined.where(place == F.col("first")).dropDuplicates(["a", "b"]).drop("first", "b").withColumn("open", F.lit(True))
-    reps = cut_lineage(reps)
+    reps = stored(reps)
 
     short = F.col("n") - _ceil(2 * NUM * F.col("n"), NUM + DEN) + 1
-    # round 1: each line against the earliest line that shares a word of the short prefix. Most
-    # variants of one passage are settled here, by as many pairs as there are prefix words.
-    index = _postings(reps, short)
+    # round 1: each line against the earliest line that shares one of its rarest words. Most
+    # variants of one passage are settled here, by a few pairs for each line.
+    index = _postings(reps, F.least(short, F.lit(PIVOT_WORDS)))
     pivot = index.groupBy("token").agg(F.min(F.struct("doc", "line", "a", "n", "i", "parity")).alias("p"), F.count("*").alias("k")).where("k > 1").select("token", "p.*")
     near = index.alias("y").join(pivot.alias("x"), (F.col("x.token") == F.col("y.token")) & _passes("x", "y") & _earlier("x", "y"))
     near = near.groupBy(F.col("y.a").alias("y")).agg(F.min(F.struct("x.doc", "x.line", "x.a")).alias("x")).select("y", F.col("x.a").alias("x"))
-    done = cut_lineage(verified(rows, reps, cut_lineage(near)))
+    done = stored(verified(rows, reps, stored(near)))
 
     # round 2: all other pairs whose later line is still open
     left = reps.join(done.select(F.col("y").alias("a"), F.lit(False).alias("still")), "a", "left").withColumn("open", F.coalesce("still", F.lit(True))).drop("still")
@@ -148,8 +150,8 @@ def later_matches(rows: DataFrame) -> DataFrame:
     order = (F.col("s.n") < F.col("t.n")) | ((F.col("s.n") == F.col("t.n")) & (F.col("s.a") < F.col("t.a")))
     t_later = _earlier("s", "t")
     pairs = s.join(t, (F.col("s.token") == F.col("t.token")) & order & _passes("s", "t") & F.when(t_later, F.col("t.open")).otherwise(F.col("s.open")))
-    pairs = cut_lineage(pairs.select(F.when(t_later, F.col("s.a")).otherwise(F.col("t.a")).alias("x"), F.when(t_later, F.col("t.a")).otherwise(F.col("s.a")).alias("y")).distinct())
-    gone = cut_lineage(done.union(verified(rows, reps, pairs)).withColumnRenamed("y", "a"))
+    pairs = stored(pairs.select(F.when(t_later, F.col("s.a")).otherwise(F.col("t.a")).alias("x"), F.when(t_later, F.col("t.a")).otherwise(F.col("s.a")).alias("y")).distinct())
+    gone = stored(done.union(verified(rows, reps, pairs)).withColumnRenamed("y", "a"))
     firsts_gone = reps.join(gone, "a", "left_semi").select("doc", "row_hash", "line")
     return copies.select("doc", "row_hash", "line").union(firsts_gone)
 
@@ -162,7 +164,7 @@ def dedup_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", r
     lose the same lines.
     """
     rows = keyed(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    gone = cut_lineage(later_matches(rows).groupBy("doc", "row_hash").agg(F.collect_set("line").alias("lines")))
+    gone = stored(later_matches(rows).groupBy("doc", "row_hash").agg(F.collect_set("line").alias("lines")))
     gone = gone.select(F.col("doc").alias("_doc"), F.col("row_hash").alias("_hash"), F.col("lines").alias("_lines"))
     same = ((F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))) == F.col("_doc"))
             & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("_hash")))

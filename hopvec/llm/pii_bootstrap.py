@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import stored
 
 KINDS = ["email", "ip", "card", "phone"]
 # Possessive quantifiers change no match here (nothing behind them could use what they hold) but
@@ -119,18 +119,18 @@ def score_patterns(occ: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     an instance that is no seed scores the weighted mean of its patterns; seeds stay at 1 for
     their kind and 0 for others.
     """
-    edges = cut_lineage(occ.where("kind is null or kind <> ''").select(F.explode("pats").alias("pat"), "core", "kind")
+    edges = stored(occ.where("kind is null or kind <> ''").select(F.explode("pats").alias("pat"), "core", "kind")
                         .groupBy("pat", "core").agg(F.count("*").alias("w"), F.max("kind").alias("kind")))
     seed = edges.groupBy("core").agg(F.max("kind").alias("seed"))
-    inst = cut_lineage(seed.select("core", "seed", *[F.when(F.col("seed") == k, 1.0).otherwise(0.0).alias(f"s_{k}") for k in KINDS]))
+    inst = stored(seed.select("core", "seed", *[F.when(F.col("seed") == k, 1.0).otherwise(0.0).alias(f"s_{k}") for k in KINDS]))
     for i in range(rounds):
-        pats = cut_lineage(edges.select("pat", "core", "w").join(inst, "core").groupBy("pat").agg(
+        pats = stored(edges.select("pat", "core", "w").join(inst, "core").groupBy("pat").agg(
             *[(F.sum(F.col("w") * F.col(f"s_{k}")) / (F.sum("w") + 1)).alias(f"p_{k}") for k in KINDS],
             *[F.count(F.when(F.col("seed") == k, 1)).alias(f"n_{k}") for k in KINDS]))
         if i + 1 < rounds:
             back = edges.select("pat", "core", "w").join(pats, "pat").groupBy("core").agg(
                 *[(F.sum(F.col("w") * F.col(f"p_{k}")) / F.sum("w")).alias(f"b_{k}") for k in KINDS])
-            inst = cut_lineage(inst.join(back, "core").select("core", "seed", *[
+            inst = stored(inst.join(back, "core").select("core", "seed", *[
                 F.when(F.col("seed").isNull(), F.col(f"b_{k}")).otherwise(F.col(f"s_{k}")).alias(f"s_{k}") for k in KINDS]))
     return pats
 
@@ -144,8 +144,8 @@ def find_pii(docs: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_SCORE
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id"), F.xxhash64(text).alias("row_hash"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    base = cut_lineage(rows.select("doc_id", "row_hash", "base"))
-    occ = cut_lineage(_occurrences(rows.where(F.col("text").rlike("[0-9@]"))))
+    base = stored(rows.select("doc_id", "row_hash", "base"))
+    occ = stored(_occurrences(rows.where(F.col("text").rlike("[0-9@]"))))
     pats = score_patterns(occ, rounds)
     good = pats.select("pat", F.explode(F.filter(F.array(*[
         F.when((F.col(f"p_{k}") >= min_score) & (F.col(f"n_{k}") >= min_seeds), F.struct(F.lit(n).alias("no"), F.lit(k).alias("kind")))

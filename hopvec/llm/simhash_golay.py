@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import stored
 from .components import components
 
 SHINGLE = 3
@@ -157,9 +157,9 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_
     and link like any other. Rows with a null doc_id are grouped but never name a group (a group
     of such rows only has a null component_id). An empty table gives an empty result.
     """
-    prints = cut_lineage(fingerprints(docs, shingle))
+    prints = stored(fingerprints(docs, shingle))
     # equal fingerprints meet here first, summed map-side, so copies cost one row each task
-    least = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    least = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(least, max_bits))
     rooted = least.join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut_lineage
+from .common import stored
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -51,9 +51,9 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     p = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
                      F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     p = p.withColumn("bytes", F.octet_length("payload").cast("bigint")).withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
-    ids = cut_lineage(p.where(F.col("bytes") >= min_bytes).groupBy("digest", "page_id").count())
+    ids = stored(p.where(F.col("bytes") >= min_bytes).groupBy("digest", "page_id").count())
     first = ids.groupBy("digest").agg(F.min("page_id").alias("refers_to"))
-    revisits = cut_lineage(ids.join(first, "digest").where("refers_to is not null and not page_id <=> refers_to")
+    revisits = stored(ids.join(first, "digest").where("refers_to is not null and not page_id <=> refers_to")
                            .select(F.col("digest").alias("d"), F.col("page_id").alias("id"), "refers_to"))
     same = (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("id"))
     return p.join(checked_broadcast(revisits), same, "left").select("page_id", "url", "payload", "bytes", "digest", "refers_to")
@@ -108,16 +108,16 @@ def reachable(candidates: DataFrame) -> DataFrame:
     about log2(n) rounds of joins.
     """
     jump = candidates.select("file", "at", "next")
-    reached = cut_lineage(jump.where("at = 0").select("file", "at"))
+    reached = stored(jump.where("at = 0").select("file", "at"))
     while True:
         ahead = reached.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))
         new = ahead.join(candidates.select("file", "at"), ["file", "at"], "left_semi").distinct()
-        more = cut_lineage(new.join(reached, ["file", "at"], "left_anti"))
+        more = stored(new.join(reached, ["file", "at"], "left_anti"))
         if more.isEmpty():
             return reached
-        reached = cut_lineage(reached.union(more))
+        reached = stored(reached.union(more))
         far = jump.select("file", F.col("at").alias("next"), F.col("next").alias("far"))
-        jump = cut_lineage(jump.join(far, ["file", "next"]).select("file", "at", F.col("far").alias("next")))
+        jump = stored(jump.join(far, ["file", "next"]).select("file", "at", F.col("far").alias("next")))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -132,15 +132,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     length = F.regexp_extract(header, r"(?:^|\r\n)Content-Length: ([0-9]{1,18})(?:\r\n|$)", 1)
     size = F.when(F.col("seg").contains(END) & (length != ""),
                   F.octet_length(header) + len(MAGIC) + 2 * len(END) + length.cast("bigint"))
-    found = cut_lineage(segs.select("file", "start", "inside", "len", size.alias("size")))
+    found = stored(segs.select("file", "start", "inside", "len", size.alias("size")))
     ranges = found.groupBy("file", "start").agg(F.sum("len").alias("sum"))
     before = F.sum("sum").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     # the first segment of a file ends where its first magic line starts, hence the shift
     ranges = ranges.select("file", "start", (F.coalesce(before, F.lit(0)) - len(MAGIC)).alias("base"))
     placed = found.join(ranges, ["file", "start"]).select("file", "start", "inside", (F.col("base") + F.col("inside")).alias("at"), "size")
-    cand = cut_lineage(placed.select("file", "start", "inside", "at", (F.col("at") + F.col("size")).alias("next")))
+    cand = stored(placed.select("file", "start", "inside", "at", (F.col("at") + F.col("size")).alias("next")))
     true = reachable(cand.where("next is not null"))
-    rest = cut_lineage(cand.join(true, ["file", "at"], "left_anti").select("file", "start", "inside", "at"))
+    rest = stored(cand.join(true, ["file", "at"], "left_anti").select("file", "start", "inside", "at"))
     stray = rest.where("at >= 0")
     key = ["file", "start", "inside"]
     whole = segs.join(checked_broadcast(rest.select(*key)), key, "left_anti").select(*key, "seg")
