@@ -17,6 +17,8 @@ and parity filters before the exact check:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,9 @@ from .common import SPACES, stored
 NUM, DEN = 4, 5          # least Jaccard similarity as a fraction
 MIN_WORDS = 5
 BUCKETS = 1 << 18
-PIVOT_WORDS = 3          # rarest words by which the first round looks
+PIVOT_WORDS = 2          # rarest words by which the first round looks
+PARTS = 2                # shares of the words that the second round joins one after the other (bounds disk)
+BLANKS = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 200_000
 
 
@@ -55,8 +59,9 @@ def word_set(content: Column) -> Column:
 
 
 def rarity(rows: DataFrame) -> bytes:
-    """A byte for each bucket of hashed words: twice the binary logarithm of its count, from 33."""
-    words = rows.select(F.explode(F.split(F.lower("text"), SPACES)).alias("w"))
+    """A byte for each bucket of hashed words: twice the binary logarithm of its count, from 33.
+    Counted in the words' own case: the order serves the filters, not the result."""
+    words = rows.select(F.explode(F.split("text", SPACES)).alias("w"))
     counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
     level = counts.select("bucket", F.least(F.lit(93), F.floor(2 * F.log2("n"))).cast("int").alias("level")).toPandas()
     out = bytearray([33]) * BUCKETS
@@ -70,10 +75,9 @@ def occurrences(rows: DataFrame, levels: bytes) -> DataFrame:
     rarest words that the longer line of a pair needs, as 32-bit hashes)."""
     table = F.lit(levels)
     level = lambda h: F.ascii(F.substring(table, (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int"), F.lit(1)).cast("string"))
-    hashes = F.transform(F.split(F.trim(F.lower("content")), SPACES), lambda w: F.xxhash64(w))
-    empty = F.xxhash64(F.lit(""))
+    hashes = F.transform(F.split(F.btrim(F.lower("content"), F.lit(BLANKS)), SPACES), lambda w: F.xxhash64(w))
     code = F.transform("h", lambda h: F.shiftleft(level(h).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
-    found = lines(rows).where(F.length("content") >= 2 * MIN_WORDS - 1).withColumn("h", F.array_remove(hashes, empty))
+    found = lines(rows).where(F.length("content") >= 2 * MIN_WORDS - 1).withColumn("h", hashes)
     found = found.withColumn("code", F.sort_array(F.array_distinct(code))).withColumn("n", F.size("code"))
     one = F.lit(1).cast("bigint")
     parity = F.aggregate("code", F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int"))))
@@ -114,11 +118,11 @@ def verified(rows: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = stored(pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct())
     places = stored(reps.select("a", "doc", "row_hash", "line").join(checked_broadcast(ids), "a"))
     wanted = places.groupBy("doc", "row_hash").agg(F.collect_set("line").alias("wanted"))
-    texts = rows.join(checked_broadcast(stored(wanted)), ["doc", "row_hash"]).dropDuplicates(["doc", "row_hash"])
+    texts = rows.join(checked_broadcast(stored(wanted)), ["doc", "row_hash"])
     cut = F.split("text", "\n")
     sets = texts.select("doc", "row_hash", F.explode(F.transform("wanted", lambda k: F.struct(
         k.alias("line"), F.get(cut, k).alias("content")))).alias("l")).select("doc", "row_hash", "l.line", word_set(F.col("l.content")).alias("words"))
-    sets = stored(sets.join(places, ["doc", "row_hash", "line"]).select("a", "words"))
+    sets = stored(sets.join(places, ["doc", "row_hash", "line"]).select("a", "words").dropDuplicates(["a"]))
     both = pairs.join(sets.select(F.col("a").alias("x"), F.col("words").alias("u")), "x").join(sets.select(F.col("a").alias("y"), F.col("words").alias("v")), "y")
     common = F.size(F.array_intersect("u", "v"))
     return both.where((NUM + DEN) * common >= NUM * (F.size("u") + F.size("v"))).select("y").distinct()
@@ -146,11 +150,17 @@ def later_matches(rows: DataFrame) -> DataFrame:
 
     # round 2: all other pairs whose later line is still open
     left = reps.join(done.select(F.col("y").alias("a"), F.lit(False).alias("still")), "a", "left").withColumn("open", F.coalesce("still", F.lit(True))).drop("still")
-    s, t = _postings(left, short).alias("s"), _postings(left, F.size("prefix")).alias("t")
+    left = stored(left)
     order = (F.col("s.n") < F.col("t.n")) | ((F.col("s.n") == F.col("t.n")) & (F.col("s.a") < F.col("t.a")))
     t_later = _earlier("s", "t")
-    pairs = s.join(t, (F.col("s.token") == F.col("t.token")) & order & _passes("s", "t") & F.when(t_later, F.col("t.open")).otherwise(F.col("s.open")))
-    pairs = stored(pairs.select(F.when(t_later, F.col("s.a")).otherwise(F.col("t.a")).alias("x"), F.when(t_later, F.col("t.a")).otherwise(F.col("s.a")).alias("y")).distinct())
+    open_later = F.when(t_later, F.col("t.open")).otherwise(F.col("s.open"))
+    found = []
+    for part in range(PARTS):
+        s, t = (_postings(left, n).where(F.pmod("token", F.lit(PARTS)) == part).alias(name) for name, n in (("s", short), ("t", F.size("prefix"))))
+        pairs = s.join(t, (F.col("s.token") == F.col("t.token")) & order & _passes("s", "t") & open_later)
+        found.append(stored(pairs.select(F.when(t_later, F.col("s.a")).otherwise(F.col("t.a")).alias("x"),
+                                         F.when(t_later, F.col("t.a")).otherwise(F.col("s.a")).alias("y")).distinct()))
+    pairs = reduce(DataFrame.union, found).distinct()
     gone = stored(done.union(verified(rows, reps, pairs)).withColumnRenamed("y", "a"))
     firsts_gone = reps.join(gone, "a", "left_semi").select("doc", "row_hash", "line")
     return copies.select("doc", "row_hash", "line").union(firsts_gone)
