@@ -10,8 +10,9 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 from operator import add
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE = 600_000        # segments whose pieces a worker remembers
+CACHE = 1_000_000        # segments whose pieces a worker remembers
 CACHED_CHARS = 40      # longest segment that it remembers
 SCANNED_CHARS = 32     # longer segments merge with a heap, in n log n steps
 # Piece types and field numbers of the model file.
@@ -107,7 +108,7 @@ class Model:
         # text of a piece, for all that need no look at their neighbours
         self.plain = [p if t == NORMAL else "" if t == CONTROL else chr(int(p[3:5], 16)) if t == BYTE and p < "<0x80>" else None
                       for p, t in zip(self.pieces, self.types)]
-        self.cache: dict[str, tuple[list[int], list[int]]] = {}
+        self.segments = Segments(self)
 
     def normalize(self, text: str) -> tuple[str, np.ndarray]:
         """Normalised text, and for each of its characters and the end the byte of the source
@@ -179,21 +180,14 @@ class Model:
             offer(i)
         return [p for p in parts if p is not None]
 
-    def segment(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids of a segment, and how many characters each takes (a character of several byte
-        pieces counts at the last)."""
-        hit = self.cache.get(text)
-        if hit is None:
-            parts = self.merge(text)
-            ids, size = list(map(self.ids.get, parts)), list(map(len, parts))
-            if None in ids:
-                ids, size = self._with_bytes(parts)
-            hit = ids, size
-            if len(text) <= CACHED_CHARS:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[text] = hit
-        return hit
+    def segment(self, text: str) -> bytes:
+        """Pairs of 32-bit numbers: the ids of a segment, and how many characters each takes (a
+        character of several byte pieces counts at the last)."""
+        parts = self.merge(text)
+        ids, size = list(map(self.ids.get, parts)), list(map(len, parts))
+        if None in ids:
+            ids, size = self._with_bytes(parts)
+        return array("i", chain.from_iterable(zip(ids, size))).tobytes()
 
     def _with_bytes(self, parts: list[str]) -> tuple[list[int], list[int]]:
         ids, size = [], []
@@ -208,19 +202,14 @@ class Model:
                 size.extend([0] * (len(raw) - 1) + [len(p)])
         return ids, size
 
-    def encode(self, text: str) -> tuple[list[int], np.ndarray]:
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids with an end id, and for each the byte of the source text where its span ends (it
         starts where the one before ends)."""
         norm, start = self.normalize(text)
-        ids: list[int] = []
-        size: list[int] = []
-        for part in (self.cut.findall(norm) if self.cut else [norm] if norm else []):
-            i, n = self.segment(part)
-            ids += i
-            size += n
-        ends = start[np.cumsum(size)] if ids else np.zeros(0, np.int64)
-        ids.append(self.eos)
-        return ids, np.append(ends, len(text.encode()) if not len(start) else start[-1]).astype(np.int32)
+        found = self.cut.findall(norm) if self.cut else [norm] if norm else []
+        coded = np.frombuffer(b"".join(map(self.segments.__getitem__, found)), np.int32).reshape(-1, 2)
+        ends = start[np.cumsum(coded[:, 1])]
+        return np.append(coded[:, 0], np.int32(self.eos)), np.append(ends, start[-1]).astype(np.int32)
 
     def decode(self, ids: list[int]) -> str:
         """Text of pieces: one space mark at the start is the dummy prefix; runs of byte pieces are
@@ -254,6 +243,22 @@ class Model:
         return "".join(out).replace(SPACE, " ")
 
 
+class Segments(dict):
+    """Segments met so far, up to ``CACHE`` of them."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, text: str) -> bytes:
+        coded = self.model.segment(text)
+        if len(text) <= CACHED_CHARS:
+            if len(self) >= CACHE:
+                self.clear()
+            self[text] = coded
+        return coded
+
+
 def _utf8(raw: bytes) -> str:
     try:
         return raw.decode()
@@ -301,9 +306,9 @@ def encode_decode(docs: DataFrame, model: bytes) -> DataFrame:
                 ids, ends, texts = [], [], []
                 for t in part["text"].to_pylist():
                     i, e = m.encode(t or "")
-                    ids.append(np.array(i, np.int32))
+                    ids.append(i)
                     ends.append(e)
-                    texts.append(m.decode(i))
+                    texts.append(m.decode(i.tolist()))
                 where = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [part["doc_id"], pa.ListArray.from_arrays(where, np.concatenate(ids)),
