@@ -175,27 +175,43 @@ class Finder:
         bucket = buckets(h)
         weight = self.weight[bucket]
         mass = np.concatenate([[0], np.cumsum(np.add.reduceat(weight, start))])
+        place = np.arange(len(text))
         for no, block in enumerate(self.blocks):
             row = block.row[bucket]
-            known = np.flatnonzero(row >= 0)
             inside = np.concatenate([[0], np.cumsum(np.add.reduceat(np.where(row >= 0, weight, 0.0), start))])
-            kept = np.concatenate([[0], np.cumsum(np.add.reduceat((row >= 0).astype(np.int64), start))])
+            wanted = []
             for size in np.unique(self.windows[no]):
-                k = size // STRIDE
-                end = np.minimum(np.arange(len(text)) + k, first[text + 1])
-                whole = (np.arange(len(text)) + k <= first[text + 1]) | (np.arange(len(text)) == first[text])
+                end = np.minimum(place + size // STRIDE, first[text + 1])
+                whole = (place + size // STRIDE <= first[text + 1]) | (place == first[text])
                 full = mass[end] - mass[:-1]
                 # words that no passage holds add to a window's length only
-                may = np.flatnonzero(whole & (inside[end] - inside[:-1] >= self.min_cosine ** 2 * full) & (full > 0))
-                may = may[kept[end[may]] > kept[may]]
-                if len(may) == 0:
-                    continue
-                a, z = kept[may], kept[end[may]]
-                count = z - a
-                at = np.repeat(a - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-                sums = np.add.reduceat(block.word[row[known[at]]], np.concatenate([[0], np.cumsum(count)[:-1]]), axis=0)
+                own = inside[end] - inside[:-1]
+                may = np.flatnonzero(whole & (own >= self.min_cosine ** 2 * full) & (own > 0))
+                if len(may):
+                    wanted.append((size, may, end[may], np.sqrt(full[may])))
+            if not wanted:
+                continue
+            # latent vectors of the steps that some window needs, each word looked up once
+            need = np.zeros(len(text) + 1, np.int64)
+            for _, may, end, _ in wanted:
+                np.add.at(need, may, 1)
+                np.add.at(need, end, -1)
+            steps_used = np.flatnonzero(np.cumsum(need[:-1]) > 0)
+            at = start[steps_used]
+            until = begin[text[steps_used] + 1]
+            vector = np.zeros((len(steps_used) + 1, block.word.shape[1]), np.float32)      # the last one stays zero
+            for c in range(STRIDE):
+                r = np.where(at + c < until, row[np.minimum(at + c, len(row) - 1)], -1)
+                hit = np.flatnonzero(r >= 0)
+                vector[hit] += block.word[r[hit]]
+            number = np.full(len(text) + 1, len(steps_used))
+            number[steps_used] = np.arange(len(steps_used))
+            for size, may, end, length in wanted:
+                sums = vector[number[may]]
+                for c in range(1, size // STRIDE):
+                    sums += vector[np.where(may + c < end, number[np.minimum(may + c, len(text))], len(steps_used))]
                 own = np.flatnonzero(self.windows[no] == size)
-                cosine = (sums @ block.passage[own].T) / np.sqrt(full[may])[:, None]
+                cosine = (sums @ block.passage[own].T) / length[:, None]
                 for w, p in zip(*np.nonzero(cosine >= self.min_cosine)):
                     yield int(text[may[w]]), no, int(own[p]), int(start[may[w]]), int(size), float(cosine[w, p])
 
