@@ -11,7 +11,7 @@ and parity filters before the exact check:
 
 * a pair needs an overlap of ``ceil(4/9 (n + m))``, so the shorter line is found by its first
   ``n - ceil(8/9 n) + 1`` words among the first ``m - ceil(4/5 m) + 1`` of the longer one;
-* the parity of the words that fall on each bit of a 64-bit signature differs in at most
+* the parity of the words that fall on each bit of a 128-bit signature differs in at most
   ``n + m - 2 overlap`` bits.
 """
 
@@ -28,7 +28,7 @@ NUM, DEN = 4, 5          # least Jaccard similarity as a fraction
 MIN_WORDS = 5
 BUCKETS = 1 << 18
 PIVOT_WORDS = 2          # rarest words by which the first round looks
-PARTS = 2                # shares of the words that the second round joins one after the other (bounds disk)
+PARTS = 3                # shares of the words that the second round joins one after the other (bounds disk)
 BLANKS = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 200_000
 
@@ -71,7 +71,7 @@ def rarity(rows: DataFrame) -> bytes:
 
 
 def occurrences(rows: DataFrame, levels: bytes) -> DataFrame:
-    """doc, row_hash, line, a and b (two hashes of the set), n (its size), parity, prefix (the
+    """doc, row_hash, line, a and b (two hashes of the set), n (its size), its parity signature, prefix (the
     rarest words that the longer line of a pair needs, as 32-bit hashes)."""
     table = F.lit(levels)
     level = lambda h: F.ascii(F.substring(table, (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int"), F.lit(1)).cast("string"))
@@ -80,16 +80,22 @@ def occurrences(rows: DataFrame, levels: bytes) -> DataFrame:
     found = lines(rows).where(F.length("content") >= 2 * MIN_WORDS - 1).withColumn("h", hashes)
     found = found.withColumn("code", F.sort_array(F.array_distinct(code))).withColumn("n", F.size("code"))
     one = F.lit(1).cast("bigint")
-    parity = F.aggregate("code", F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int"))))
+    bit = lambda c: F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int"))
+
+    def parity(half: int) -> Column:
+        """Parity of the words on each of 64 bits, of the words whose next bit is ``half``."""
+        return F.aggregate("code", F.lit(0).cast("bigint"), lambda acc, c: F.when(
+            c.bitwiseAND(F.lit(64)) == 64 * half, acc.bitwiseXOR(bit(c))).otherwise(acc))
+
     prefix = F.transform(F.slice("code", F.lit(1), F.col("n") - _ceil(NUM * F.col("n"), DEN) + 1), lambda c: F.hash(c))
     # no filter on n here: pushed down, it would compute the codes of every line once more
     return found.select(
-        "doc", "row_hash", "line", F.xxhash64("code").alias("a"), F.xxhash64("code", F.lit(1)).alias("b"), "n", parity.alias("parity"), prefix.alias("prefix"))
+        "doc", "row_hash", "line", F.xxhash64("code").alias("a"), F.xxhash64("code", F.lit(1)).alias("b"), "n", parity(0).alias("parity0"), parity(1).alias("parity1"), prefix.alias("prefix"))
 
 
 def _postings(reps: DataFrame, length: Column) -> DataFrame:
     p = F.posexplode(F.slice("prefix", F.lit(1), length)).alias("i", "token")
-    return reps.select("a", "doc", "line", "n", "parity", "open", p)
+    return reps.select("a", "doc", "line", "n", "parity0", "parity1", "open", p)
 
 
 def _earlier(x: str, y: str) -> Column:
@@ -102,8 +108,9 @@ def _passes(s: str, t: str) -> Column:
     """Length, positional and parity filter for postings ``s`` and ``t`` of one word."""
     n, m, i, j = F.col(f"{s}.n"), F.col(f"{t}.n"), F.col(f"{s}.i"), F.col(f"{t}.i")
     need = overlap(n + m)
+    differ = sum(F.bit_count(F.col(f"{s}.parity{k}").bitwiseXOR(F.col(f"{t}.parity{k}"))) for k in (0, 1))
     return ((DEN * F.least(n, m) >= NUM * F.greatest(n, m)) & (F.least(n - i, m - j) >= need)
-            & (F.bit_count(F.col(f"{s}.parity").bitwiseXOR(F.col(f"{t}.parity"))) <= n + m - 2 * need))
+            & (differ <= n + m - 2 * need))
 
 
 def checked_broadcast(small: DataFrame) -> DataFrame:
@@ -132,25 +139,23 @@ def later_matches(rows: DataFrame) -> DataFrame:
     """``(doc, row_hash, line)`` of the lines to remove, for ``rows (doc, row_hash, text)``."""
     occ = stored(occurrences(rows, rarity(rows))).where(F.col("n") >= MIN_WORDS)
     # equal sets: every occurrence but the first goes, whatever else matches
+    kept = F.min(F.struct("doc", "line", "row_hash", "n", "parity0", "parity1", "prefix")).alias("r")
+    reps = stored(occ.groupBy("a", "b").agg(kept).select("a", "b", "r.*")).withColumn("open", F.lit(True))
     place = F.struct("doc", "line", "row_hash")
-    firsts = stored(occ.groupBy("a", "b").agg(F.min(place).alias("first")))
-    joined = occ.join(firsts, ["a", "b"])
-    copies = joined.where(place != F.col("first")).select("a", "doc", "row_hash", "line")
-    reps = joined.where(place == F.col("first")).dropDuplicates(["a", "b"]).drop("first", "b").withColumn("open", F.lit(True))
-    reps = stored(reps)
+    copies = (occ.select("a", "b", "doc", "line", "row_hash").join(reps.select("a", "b", place.alias("first")), ["a", "b"])
+              .where(place != F.col("first")))
 
     short = F.col("n") - _ceil(2 * NUM * F.col("n"), NUM + DEN) + 1
     # round 1: each line against the earliest line that shares one of its rarest words. Most
     # variants of one passage are settled here, by a few pairs for each line.
     index = _postings(reps, F.least(short, F.lit(PIVOT_WORDS)))
-    pivot = index.groupBy("token").agg(F.min(F.struct("doc", "line", "a", "n", "i", "parity")).alias("p"), F.count("*").alias("k")).where("k > 1").select("token", "p.*")
+    pivot = index.groupBy("token").agg(F.min(F.struct("doc", "line", "a", "n", "i", "parity0", "parity1")).alias("p"), F.count("*").alias("k")).where("k > 1").select("token", "p.*")
     near = index.alias("y").join(pivot.alias("x"), (F.col("x.token") == F.col("y.token")) & _passes("x", "y") & _earlier("x", "y"))
     near = near.groupBy(F.col("y.a").alias("y")).agg(F.min(F.struct("x.doc", "x.line", "x.a")).alias("x")).select("y", F.col("x.a").alias("x"))
     done = stored(verified(rows, reps, stored(near)))
 
     # round 2: all other pairs whose later line is still open
-    left = reps.join(done.select(F.col("y").alias("a"), F.lit(False).alias("still")), "a", "left").withColumn("open", F.coalesce("still", F.lit(True))).drop("still")
-    left = stored(left)
+    left = reps.join(checked_broadcast(done.select(F.col("y").alias("a"), F.lit(False).alias("still"))), "a", "left").withColumn("open", F.coalesce("still", F.lit(True))).drop("still")
     order = (F.col("s.n") < F.col("t.n")) | ((F.col("s.n") == F.col("t.n")) & (F.col("s.a") < F.col("t.a")))
     t_later = _earlier("s", "t")
     open_later = F.when(t_later, F.col("t.open")).otherwise(F.col("s.open"))
