@@ -28,7 +28,7 @@ NUM, DEN = 4, 5          # least Jaccard similarity as a fraction
 MIN_WORDS = 5
 BUCKETS = 1 << 18
 PIVOT_WORDS = 2          # rarest words by which the first round looks
-HOT_LINES = 1000         # lines that a further look must settle for another one to follow
+HOT_LINES = 2            # words of more lines of a class get the second look
 CLASSES = 8
 PARTS = 3                # shares of the words that the second round joins one after the other (bounds disk)
 BLANKS = " \t\n\x0b\x0c\r"
@@ -137,11 +137,11 @@ def verified(rows: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where((NUM + DEN) * common >= NUM * (F.size("u") + F.size("v"))).select("y").distinct()
 
 
-def _against_earliest(rows: DataFrame, reps: DataFrame, some: DataFrame, words: Column, more_than: int = 1, classes: int = 1, look: int = 0) -> DataFrame:
+def _against_earliest(rows: DataFrame, reps: DataFrame, some: DataFrame, words: Column, more_than: int = 1, classes: int = 1) -> DataFrame:
     """``(y)``: lines of ``some`` that match the earliest line of ``reps`` (of each of ``classes``
     classes by hash) with one of their first ``words`` words, for words of more than ``more_than``
     lines of a class."""
-    part = F.pmod(F.xxhash64("a", F.lit(look)), F.lit(classes))
+    part = F.pmod(F.xxhash64("a"), F.lit(classes))
     pivot = _postings(reps, words).groupBy("token", part).agg(F.min(F.struct("doc", "line", "a", "n", "i", "parity0", "parity1")).alias("p"), F.count("*").alias("k"))
     pivot = pivot.where(F.col("k") > more_than).select("token", "p.*")
     near = _postings(some, words).alias("y").join(pivot.alias("x"), (F.col("x.token") == F.col("y.token")) & _passes("x", "y") & _earlier("x", "y"))
@@ -161,17 +161,12 @@ def later_matches(rows: DataFrame) -> DataFrame:
 
     short = F.col("n") - _ceil(2 * NUM * F.col("n"), NUM + DEN) + 1
     # round 1: each line against the earliest line that shares one of its rarest words. Most
-    # variants of one passage are settled here, by a few pairs for each line. Words of many lines
-    # get further looks, with the earliest lines of some classes, as long as that settles many open
-    # lines; what is left is for round 2.
+    # variants of one passage are settled here, by a few pairs for each line. Lines still open look
+    # once more, at the earliest lines of some classes for words of many lines; what is left is for
+    # round 2.
     done = _against_earliest(rows, reps, reps, F.least(short, F.lit(PIVOT_WORDS)))
-    look, settled = 0, HOT_LINES
-    while settled >= HOT_LINES:
-        look += 1
-        still = reps.join(checked_broadcast(done.select(F.col("y").alias("a"))), "a", "left_anti")
-        more = _against_earliest(rows, reps, still, short, 2, CLASSES, look)
-        settled = more.count()
-        done = stored(done.union(more))
+    still = reps.join(checked_broadcast(done.select(F.col("y").alias("a"))), "a", "left_anti")
+    done = stored(done.union(_against_earliest(rows, reps, still, short, HOT_LINES, CLASSES)))
 
     # round 2: all other pairs whose later line is still open
     left = reps.join(checked_broadcast(done.select(F.col("y").alias("a"), F.lit(False).alias("still"))), "a", "left").withColumn("open", F.coalesce("still", F.lit(True))).drop("still")
