@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 # Licence and a text that states it. Order is the order of matching.
 RULES = [
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\nNeither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -38,9 +38,9 @@ RULES = [
     ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
 ]
-# A sentence ends behind . ! ? : or before Unless; a line break ends one unless a lower-case letter
-# follows (a wrapped line).
-SENTENCE_END = r"(?<=[.!?:])\s+|\s+(?=Unless )|\r?\n\s*(?![a-z])"
+# A sentence ends behind . ! ? or before Unless; a line break ends one unless a lower-case letter
+# follows (a wrapped line) and the line is no SPDX tag.
+SENTENCE_END = r"(?<=[.!?])\s+|\s+(?=Unless )|(?<=SPDX-License-Identifier: [A-Za-z0-9.-]{1,40})\r?\n\s*|\r?\n\s*(?![\sa-z])"
 
 
 def sentences(text: Column) -> Column:
