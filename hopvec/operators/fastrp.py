@@ -149,7 +149,8 @@ def fastrp(vertices: DataFrame, edges: DataFrame, d: int, weights, sparsity: int
 
     ``mode="carry"``: a vertex without in-edges keeps its vector and adds
     ``weights[t] * norm(x_0)`` every hop. ``mode="freeze"``: such a vertex only gets
-    ``r0 * norm(x_0)``. Both agree when every vertex has an in-edge.
+    ``r0 * norm(x_0)``. Both agree when every vertex has an in-edge. A null weight counts as 1.0;
+    of several vertex rows of an id one stays (see ``complete_vertices``).
     """
     weights = [float(w) for w in weights]
     if not weights:
@@ -163,7 +164,7 @@ def fastrp(vertices: DataFrame, edges: DataFrame, d: int, weights, sparsity: int
     # the input edge table (often a join or a union) is computed once: degrees, the vertex
     # set and the hub split all read this copy
     edges = materialize(edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"),
-                                     F.col("weight").cast("double")))
+                                     F.coalesce(F.col("weight").cast("double"), F.lit(1.0)).alias("weight")))
     outdeg = materialize(out_degrees(edges))
     n_edges = outdeg.agg(F.sum("out_degree")).first()[0] or 0
     P = hop_partitions(spark, n_edges, d, num_partitions)

@@ -41,7 +41,13 @@ def vertices_from_edges(edges: DataFrame) -> DataFrame:
 
 
 def complete_vertices(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """Given vertex rows plus every endpoint without a row (its attributes null)."""
+    """Given vertex rows, one for each id, plus every endpoint without a row (its attributes
+    null). Of several rows of an id the smallest stays (by the columns in order, nulls first)."""
+    rest = [c for c in vertices.columns if c != "id"]
+    if rest:
+        vertices = vertices.groupBy("id").agg(F.min(F.struct(*rest)).alias("_r")).select("id", *[F.col(f"_r.{c}").alias(c) for c in rest])
+    else:
+        vertices = vertices.distinct()
     missing = vertices_from_edges(edges).join(vertices.select("id"), "id", "left_anti")
     return vertices.unionByName(missing, allowMissingColumns=True)
 

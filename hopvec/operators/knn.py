@@ -1,10 +1,9 @@
 """Cosine nearest neighbours: one query, many named queries, all pairs; LSH codes.
 
-* ``knn_query`` / ``knn_by_name``: the query vectors are a bounded table (checked against
-  ``max_queries``); they enter the plan as literal arrays, every vector row computes its
-  distance to each query (no join), and the top ``k+1`` per query are kept with
-  ``row_number() <= k+1`` - planned as a partial WindowGroupLimit before the shuffle, so
-  no task ever holds more than ``k+1`` candidates per query and map task.
+* ``knn_query``: one query vector enters the plan as a literal; every vector row computes its
+  distance (no join) and ``k+1`` rows are kept.
+* ``knn_by_name``: the named query vectors are a table and meet the vectors block by block, as
+  in the all-pairs form, whatever their number.
 * ``knn_all_pairs``: exact blocked all-pairs. Vectors are hashed into ``B`` blocks; each
   (query block, candidate block) pair is one ``applyInPandas`` group holding about
   ``2 n / B`` vectors, where numpy multiplies the normalised blocks and emits only ``k``
@@ -23,9 +22,6 @@ from pyspark.sql import functions as F
 from ..functions.seed import JavaRandom
 from ..functions.vectors import cosine_distance, vec_dot
 
-MAX_QUERIES = 4096
-LITERAL_QUERIES = 64   # up to this many query vectors enter the plan as literals
-
 
 def _top_per_group(df: DataFrame, group: str, k: int, order=("dist", "id")) -> DataFrame:
     """``k`` best rows per group with a 0-based ``rank``. The filter is on the raw
@@ -65,42 +61,34 @@ def vector_of(vectors: DataFrame, vid: int, x_col: str = "x"):
 
 
 def knn_by_name(names: DataFrame, vectors: DataFrame, sites, k: int = 10, x_col: str = "x",
-                max_queries: int = MAX_QUERIES) -> DataFrame:
-    """Many by-name queries in one job: ``(query, rank, dist, id, name)``, ``k+1`` rows
+                block_rows: int = 4000) -> DataFrame:
+    """Many by-name queries in one job: ``(query, query_id, rank, dist, id, name)``, ``k+1`` rows
     per query. ``sites`` is a list of names or a one-column DataFrame of names; every
-    name must exist (the reference's ``lookup(..).head`` throws otherwise)."""
+    name must exist (the reference's ``lookup(..).head`` throws otherwise). Vectors without a
+    name are left out before the top-k, so they take no places. Queries stay distributed and
+    meet the vectors block by block."""
     if isinstance(sites, DataFrame):
         site_df = sites.select(F.col(sites.columns[0]).alias("name"))
     else:
         site_df = names.sparkSession.createDataFrame([(s,) for s in sites], "name string")
-    qrows = (names.join(site_df, "name", "inner").join(vectors.select("id", x_col), "id")
-             .select("name", "id", x_col).limit(max_queries + 1).collect())
-    if len(qrows) > max_queries:
-        raise ValueError(f"more than {max_queries} query vectors")
-    wanted = [r[0] for r in site_df.limit(max_queries + 1).collect()]
-    found = {r["name"] for r in qrows}
-    missing = [s for s in wanted if s not in found]
+    known = names.select("id", "name")
+    v = vectors.select(F.col("id").cast("bigint").alias("id"), x_col).join(known.select("id"), "id", "left_semi")
+    named = known.join(site_df, "name").join(v, "id").select(F.col("name").alias("query"), F.col("id").alias("query_id"), x_col)
+    missing = site_df.join(named.select(F.col("query").alias("name")), "name", "left_anti").limit(10).collect()
     if missing:
-        raise ValueError(f"unknown names: {missing[:10]}")
-    qrows = sorted(qrows, key=lambda r: (r["name"], r["id"]))
-    spark = names.sparkSession
-    qmap = spark.createDataFrame(
-        [(i, r["name"], int(r["id"])) for i, r in enumerate(qrows)], "qid int, query string, query_id long")
-    if len(qrows) <= LITERAL_QUERIES:
-        dist = _distances_to_queries(vectors, [r[x_col] for r in qrows], x_col)
-    else:
-        d = len(qrows[0][x_col])
-        qv = spark.createDataFrame([(i, [float(v) for v in r[x_col]]) for i, r in enumerate(qrows)],
-                                   "id long, x array<double>")
-        dist = _blocked_candidates(qv, vectors, k + 1, d, exclude_self=False, x_col=x_col).select(
-            F.col("src").cast("int").alias("qid"), F.col("dst").alias("id"), "dist")
-    top = _top_per_group(dist, "qid", k + 1)
-    return (top.join(F.broadcast(qmap), "qid")  # qmap: at most max_queries rows
-            .join(names.select("id", "name"), "id")
+        raise ValueError(f"unknown names: {[r['name'] for r in missing]}")
+    first = v.select(F.size(x_col)).first()
+    queries = named.select(F.col("query_id").alias("id"), x_col).dropDuplicates(["id"])
+    cands = _blocked_candidates(queries, v, k + 1, int(first[0]) if first else 0, exclude_self=False, block_rows=block_rows, x_col=x_col)
+    top = _top_per_group(cands, "src", k + 1, ("dist", "dst"))
+    return (top.select(F.col("src").alias("query_id"), "rank", "dist", F.col("dst").alias("id"))
+            .join(named.select("query", "query_id"), "query_id").join(known, "id")
             .select("query", "query_id", "rank", "dist", "id", "name"))
 
 
 def _block_topk(k: int, d: int, exclude_self: bool = True):
+    exclude_self = np.bool_(exclude_self)
+
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         q = pdf[pdf["side"] == 0]
         c = pdf[pdf["side"] == 1].sort_values("id", kind="stable")
@@ -121,14 +109,13 @@ def _block_topk(k: int, d: int, exclude_self: bool = True):
                 den = np.outer(qn[s:s + step], cn)
                 D = 1.0 - dot / den
             D[den == 0] = np.nan
-            if exclude_self:
-                D[qid[s:s + step, None] == cid[None, :]] = np.inf     # self excluded
-            kk = min(k, len(c))
+            # one more than asked, as the query itself may be among them; it is dropped by id
+            kk = min(k + exclude_self, len(c))
             order = np.argsort(D, axis=1, kind="stable")[:, :kk]  # ties keep id order
             rows = np.repeat(np.arange(order.shape[0]), kk)
             cols = order.reshape(-1)
             dist = D[rows, cols]
-            keep = ~np.isposinf(dist)
+            keep = ~exclude_self | (qid[s:s + step][rows] != cid[cols])
             out_src.append(qid[s:s + step][rows][keep])
             out_dst.append(cid[cols][keep])
             out_dist.append(dist[keep])
@@ -156,15 +143,20 @@ def _blocked_candidates(queries: DataFrame, cands: DataFrame, k: int, d: int, ex
                      F.lit(0).alias("side"))
     crep = cb.select(F.explode(F.sequence(F.lit(0), F.lit(Bq - 1))).alias("a"), "b", "id", "x",
                      F.lit(1).alias("side"))
-    return (qrep.unionByName(crep).groupBy("a", "b")
-            .applyInPandas(_block_topk(k, d, exclude_self), "src long, dst long, dist double"))
+    found = (qrep.unionByName(crep).groupBy("a", "b")
+             .applyInPandas(_block_topk(k, d, exclude_self), "src long, dst long, dist double"))
+    return found.withColumn("dist", F.coalesce("dist", F.lit(float("nan"))))   # pandas hands NaN over as null
 
 
 def knn_all_pairs(vectors: DataFrame, k: int = 10, names: DataFrame | None = None, x_col: str = "x",
                   block_rows: int = 4000, d: int | None = None) -> DataFrame:
     """Exact k nearest (cosine) of every vector among all others:
-    ``(src, dst, dist, rank)`` (+ ``src_name``, ``dst_name``), rank 0-based, ties by id."""
+    ``(src, dst, dist, rank)`` (+ ``src_name``, ``dst_name``), rank 0-based, ties by id. With
+    ``names``, vectors without a name are left out before the top-k. Distances to zero vectors
+    are NaN and come last."""
     v = vectors.select(F.col("id").cast("bigint").alias("id"), F.col(x_col).cast("array<double>").alias("x"))
+    if names is not None:
+        v = v.join(names.select("id"), "id", "left_semi")
     n = v.count()
     if d is None:
         first = v.select(F.size("x")).first()
@@ -179,16 +171,6 @@ def knn_all_pairs(vectors: DataFrame, k: int = 10, names: DataFrame | None = Non
     return out.select("src", "dst", "dist", "rank")
 
 
-def knn_all_pairs_cross(vectors: DataFrame, k: int = 10, x_col: str = "x") -> DataFrame:
-    """Brute-force reference for small inputs only (tests): every pair, then top k."""
-    a = vectors.select(F.col("id").alias("src"), F.col(x_col).alias("xa"))
-    b = vectors.select(F.col("id").alias("dst"), F.col(x_col).alias("xb"))
-    pairs = a.crossJoin(b).filter(F.col("src") != F.col("dst")).select(
-        "src", "dst", cosine_distance("xa", "xb").alias("dist"))
-    w = Window.partitionBy("src").orderBy(F.col("dist").asc_nulls_last(), F.col("dst"))
-    return pairs.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < F.lit(k))
-
-
 # ---------------------------------------------------------------- LSH
 
 def lsh_matrix(d: int, n_ht: int = 10, seed: int | None = None, redraw_first_column: bool = True):

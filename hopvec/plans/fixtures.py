@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import global_row_number
 
-# Id offsets that keep customers, parts and suppliers apart in one graph.
-PART_OFFSET = 1_000_000
-SUPP_OFFSET = 2_000_000
+# Id offsets that keep customers, parts and suppliers apart in one graph, up to
+# 2^40 keys of a kind (some five million times scale factor 1).
+PART_OFFSET = 1 << 40
+SUPP_OFFSET = 1 << 41
 
 URL_HOST_PATTERN = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)"
 
@@ -42,8 +43,8 @@ def edges_ps(spark, sf_dir) -> DataFrame:
 
 
 def edges_sc(spark, sf_dir) -> DataFrame:
-    """supplier -> customer for the first line of each order (closes the cycle)."""
-    li = table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") == 1).select("l_orderkey", "l_suppkey")
+    """supplier -> customer, one edge per line item (closes the cycle)."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return (li.join(o, li.l_orderkey == o.o_orderkey)
             .select((F.lit(SUPP_OFFSET) + F.col("l_suppkey")).cast("bigint").alias("src"),
@@ -135,9 +136,11 @@ def customers_with_vectors(spark, sf_dir) -> DataFrame:
     return names_c(spark, sf_dir).join(vec(spark, sf_dir), "id", "left")
 
 
-def top_sites(spark, sf_dir, n: int = 17) -> DataFrame:
-    """Names of the ``n`` customers with the highest balance among those with a vector."""
+def top_sites(spark, sf_dir, n: int = 17, ids: DataFrame | None = None) -> DataFrame:
+    """Names of the ``n`` customers with the highest balance among those with a vector (and
+    among ``ids (id)``, if given)."""
     c = table(spark, sf_dir, "customer")
-    v = vec(spark, sf_dir).select(F.col("id").alias("c_custkey"))
+    v = vec(spark, sf_dir).select("id") if ids is None else vec(spark, sf_dir).select("id").join(ids.select("id"), "id", "left_semi")
+    v = v.withColumnRenamed("id", "c_custkey")
     return (c.join(v, "c_custkey", "left_semi").orderBy(F.col("c_acctbal").desc(), F.col("c_custkey"))
             .limit(n).select(F.col("c_name").alias("name")))

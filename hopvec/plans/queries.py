@@ -220,6 +220,20 @@ def q_knn_all_pairs(spark, sf):
     return r.select("src", "dst", rnd("dist").alias("dist"), "rank", "src_name", "dst_name")
 
 
+def q_knn_by_name_some(spark, sf):
+    """Every second vector has no name; those take no places."""
+    names = fx.names_c(spark, sf).where("id % 2 = 0")
+    r = knn_by_name(names, fx.vec(spark, sf), fx.top_sites(spark, sf, ids=names), KNN_K)
+    return r.select("query", "query_id", "rank", rnd("dist").alias("dist"), "id", "name")
+
+
+def q_knn_all_pairs_zero(spark, sf):
+    """Every fiftieth vector is zero: its distances are NaN (shown as -1) and rank last, by id."""
+    zero = F.when(F.col("id") % 50 == 0, F.transform("x", lambda e: F.lit(0.0))).otherwise(F.col("x"))
+    r = knn_all_pairs(fx.vec(spark, sf).withColumn("x", zero), KNN_K, block_rows=200)
+    return r.select("src", "dst", F.when(F.isnan("dist"), -1.0).otherwise(rnd("dist")).alias("dist"), "rank")
+
+
 def q_lsh_codes(spark, sf):
     return lsh_codes(fx.vec(spark, sf), D_VEC, 10)
 
@@ -355,7 +369,7 @@ def oracle_sql() -> dict:
                       f"d AS (SELECT {_cos('v.x', 'q.qx')} AS dist, v.id FROM v, q) "
                       f"SELECT {O.R('dist')} AS dist, id, name FROM d JOIN ({O.NAMES_C}) USING (id) "
                       f"ORDER BY d.dist, id LIMIT {KNN_K + 1}"),
-        "knn_by_name": (f"WITH v AS ({O.VEC}), c AS ({O.NAMES_C}), "
+        "knn_by_name": (f"WITH c AS ({O.NAMES_C}), v AS (SELECT * FROM ({O.VEC}) WHERE id IN (SELECT id FROM c)), "
                         "s AS (SELECT c_name AS name FROM customer WHERE c_custkey IN (SELECT id FROM v) "
                         "ORDER BY c_acctbal DESC, c_custkey LIMIT 17), "
                         "q AS (SELECT c.name AS query, c.id AS query_id, v.x AS qx FROM s JOIN c USING (name) JOIN v USING (id)), "
@@ -363,7 +377,20 @@ def oracle_sql() -> dict:
                         "r AS (SELECT *, (row_number() OVER (PARTITION BY query ORDER BY dist, id) - 1)::INTEGER AS rank FROM d) "
                         f"SELECT r.query, r.query_id, r.rank, {O.R('r.dist')} AS dist, r.id, c.name FROM r JOIN c USING (id) "
                         f"WHERE r.rank < {KNN_K + 1}"),
-        "knn_all_pairs": (f"WITH v AS ({O.VEC}), c AS ({O.NAMES_C}), "
+        "knn_by_name_some": (f"WITH c AS (SELECT * FROM ({O.NAMES_C}) WHERE id % 2 = 0), v AS (SELECT * FROM ({O.VEC}) WHERE id IN (SELECT id FROM c)), "
+                             "s AS (SELECT c_name AS name FROM customer WHERE c_custkey IN (SELECT id FROM v) "
+                             "ORDER BY c_acctbal DESC, c_custkey LIMIT 17), "
+                             "q AS (SELECT c.name AS query, c.id AS query_id, v.x AS qx FROM s JOIN c USING (name) JOIN v USING (id)), "
+                             f"d AS (SELECT q.query, q.query_id, v.id, {_cos('v.x', 'q.qx')} AS dist FROM q, v), "
+                             "r AS (SELECT *, (row_number() OVER (PARTITION BY query ORDER BY dist, id) - 1)::INTEGER AS rank FROM d) "
+                             f"SELECT r.query, r.query_id, r.rank, {O.R('r.dist')} AS dist, r.id, c.name FROM r JOIN c USING (id) "
+                             f"WHERE r.rank < {KNN_K + 1}"),
+        "knn_all_pairs_zero": (f"WITH v AS (SELECT id, x, id % 50 = 0 AS z FROM ({O.VEC})), "
+                               f"d AS (SELECT a.id AS src, b.id AS dst, CASE WHEN a.z OR b.z THEN 'NaN'::DOUBLE ELSE {_cos('a.x', 'b.x')} END AS dist "
+                               "FROM v a, v b WHERE a.id <> b.id), "
+                               "r AS (SELECT *, (row_number() OVER (PARTITION BY src ORDER BY dist, dst) - 1)::INTEGER AS rank FROM d) "
+                               f"SELECT src, dst, CASE WHEN isnan(dist) THEN -1.0 ELSE {O.R('dist')} END::DOUBLE AS dist, rank FROM r WHERE rank < {KNN_K}"),
+        "knn_all_pairs": (f"WITH c AS ({O.NAMES_C}), v AS (SELECT * FROM ({O.VEC}) WHERE id IN (SELECT id FROM c)), "
                           f"d AS (SELECT a.id AS src, b.id AS dst, {_cos('a.x', 'b.x')} AS dist FROM v a, v b WHERE a.id <> b.id), "
                           "r AS (SELECT *, (row_number() OVER (PARTITION BY src ORDER BY dist, dst) - 1)::INTEGER AS rank FROM d) "
                           f"SELECT r.src, r.dst, {O.R('r.dist')} AS dist, r.rank, ca.name AS src_name, cb.name AS dst_name "
@@ -453,6 +480,8 @@ def queries() -> dict:
         "knn_query": q_knn_query,
         "knn_by_name": q_knn_by_name,
         "knn_all_pairs": q_knn_all_pairs,
+        "knn_by_name_some": q_knn_by_name_some,
+        "knn_all_pairs_zero": q_knn_all_pairs_zero,
         "lsh_codes": q_lsh_codes,
         "hash_split": q_hash_split,
         "confusion_counts": q_confusion_counts,

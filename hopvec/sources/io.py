@@ -7,6 +7,8 @@ index; with ANSI on, a field that is not a number raises (``mode="FAILFAST"``),
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,19 +18,33 @@ from ..operators.graph import symmetrize
 MODES = ("FAILFAST", "DROPMALFORMED")
 
 
-def _positional(spark, path, sep, header, picks, mode):
+def parse_fields(lines: DataFrame, sep: str, picks, mode: str = "FAILFAST") -> DataFrame:
+    """Fields of ``lines (value)`` by position: the line is split plainly (quotes are ordinary
+    characters) and each pick ``(position, name, type)`` is trimmed and cast. ``FAILFAST``: a line
+    with too few fields or a field that does not cast raises; ``DROPMALFORMED``: it is dropped.
+    Empty lines are skipped."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    raw = spark.read.option("header", header).option("sep", sep).csv(path)
-    cols = raw.columns
-    out = []
-    for pos, name, typ in picks:
-        c = F.trim(F.col(f"`{cols[pos]}`"))
-        out.append((c.cast(typ) if mode == "FAILFAST" else c.try_cast(typ)).alias(name))
-    df = raw.select(*out)
-    if mode == "DROPMALFORMED":
-        df = df.dropna(subset=[p[1] for p in picks if p[2] != "string"])
-    return df
+    parts = F.split(F.regexp_replace("value", "\r$", ""), re.escape(sep), -1)
+    need = max(p[0] for p in picks) + 1
+    rows = lines.where("value <> ''").withColumn("_f", parts)
+    if mode == "FAILFAST":
+        said = F.concat(F.lit(f"line with fewer than {need} fields: "), F.col("value"))
+        rows = rows.withColumn("_f", F.when(F.size("_f") >= need, F.col("_f")).otherwise(F.raise_error(said).cast("array<string>")))
+        return rows.select(*[F.trim(F.col("_f")[pos]).cast(typ).alias(name) for pos, name, typ in picks])
+    rows = rows.where(F.size("_f") >= need)
+    out = rows.select(*[F.trim(F.get("_f", F.lit(pos))).try_cast(typ).alias(name) for pos, name, typ in picks])
+    return out.dropna(subset=[p[1] for p in picks if p[2] != "string"])
+
+
+def _positional(spark, path, sep, header, picks, mode):
+    """Lines of the files at ``path``; with ``header`` the first line of each file is left out (by
+    the CSV reader, which gets whole lines: its separator is a control character)."""
+    if header:
+        lines = spark.read.schema("value string").option("header", True).option("sep", "\x01").option("quote", "").csv(path)
+    else:
+        lines = spark.read.text(path)
+    return parse_fields(lines, sep, picks, mode)
 
 
 def read_edges_csv(spark: SparkSession, path: str, header: bool = True, mode: str = "FAILFAST") -> DataFrame:

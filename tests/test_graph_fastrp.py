@@ -234,3 +234,13 @@ def test_pagerank_against_numpy(spark):
         r = r * len(ids) / r.sum()
         got = {x.id: x.rank for x in pagerank(e, 5, reset).collect()}
         assert all(abs(got[v] - r[pos[v]]) < 1e-9 for v in ids)
+
+
+def test_one_row_per_vertex_and_null_weights(spark):
+    v = spark.createDataFrame([(1,), (1,), (2,)], "id long")
+    e = spark.createDataFrame([(1, 2, 1.0), (3, 2, None), (2, 3, 2.0)], "src long, dst long, weight double")
+    full = spark.createDataFrame([(1, 2, 1.0), (3, 2, 1.0), (2, 3, 2.0)], "src long, dst long, weight double")
+    a = {r.id: r.x for r in fastrp(v, e, 4, [1.0, 1.0]).collect()}
+    b = {r.id: r.x for r in fastrp(v.distinct(), full, 4, [1.0, 1.0]).collect()}
+    assert sorted(a) == [1, 2, 3] and all(max(abs(x - y) for x, y in zip(a[i], b[i])) < 1e-12 for i in a)
+    assert fastrp(v, e, 4, [1.0]).count() == 3

@@ -2,11 +2,13 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from hopvec.functions.vectors import cosine_distance
 from hopvec.operators import metrics as M
-from hopvec.operators.knn import (knn_all_pairs, knn_all_pairs_cross, knn_by_name, knn_query, lsh_codes,
-                                  lsh_matrix)
+from hopvec.operators.knn import (knn_all_pairs, knn_by_name, knn_query, lsh_codes,
+                                  lsh_matrix, vector_of)
 from hopvec.operators.ml import class_share, classify_binary, classify_multiclass, hash_bucket, label_index
 from hopvec.operators.ordered import global_row_number
 from hopvec.operators.stats import column_stats, standardize, zscore
@@ -14,6 +16,16 @@ from hopvec.operators.stats import column_stats, standardize, zscore
 SF = "/root/testdata/sf0.001"
 
 
+def knn_all_pairs_cross(vectors, k: int = 10, x_col: str = "x"):
+    """Brute force: every pair, then top k."""
+    a = vectors.select(F.col("id").alias("src"), F.col(x_col).alias("xa"))
+    b = vectors.select(F.col("id").alias("dst"), F.col(x_col).alias("xb"))
+    pairs = a.crossJoin(b).filter(F.col("src") != F.col("dst")).select(
+        "src", "dst", cosine_distance("xa", "xb").alias("dist"))
+    w = Window.partitionBy("src").orderBy(F.col("dist").asc_nulls_last(), F.col("dst"))
+    return pairs.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < F.lit(k))
+
+
 def _vec(spark, sf=SF):
     from hopvec.plans import fixtures as fx
     return fx.vec(spark, sf)
@@ -138,12 +150,24 @@ def test_classifiers_on_planted_labels(spark):
     assert acc > 0.6
 
 
-def test_knn_by_name_blocked_equals_literal(spark, monkeypatch):
-    import hopvec.operators.knn as K
+def test_knn_by_name_blocked_equals_single_queries(spark):
     v = _vec(spark)
-    names = spark.createDataFrame([(i, f"n{i}") for i in range(1000)], "id long, name string")
-    sites = [f"n{i}" for i in range(0, 200, 2)]            # 100 queries: the blocked path
-    blocked = {(r.query, r.rank): (r.id, round(r.dist, 9)) for r in K.knn_by_name(names, v, sites, 4).collect()}
-    monkeypatch.setattr(K, "LITERAL_QUERIES", 1000)
-    literal = {(r.query, r.rank): (r.id, round(r.dist, 9)) for r in K.knn_by_name(names, v, sites, 4).collect()}
-    assert blocked == literal and len(blocked) == 100 * 5
+    names = spark.createDataFrame([(i, f"n{i}") for i in range(0, 1000, 2)], "id long, name string")
+    sites = [f"n{i}" for i in range(0, 200, 2)]
+    got = {}
+    for r in knn_by_name(names, v, sites, 4, block_rows=100).collect():
+        got.setdefault(r.query, {})[r.rank] = (r.id, round(r.dist, 9))
+    assert len(got) == 100 and all(len(x) == 5 for x in got.values())
+    for i in (0, 58, 198):
+        one = knn_query(v, vector_of(v, i), 4, names).collect()
+        assert [(r.id, round(r.dist, 9)) for r in one] == [got[f"n{i}"][k] for k in range(5)]
+
+
+def test_all_pairs_with_zero_vectors(spark):
+    rows = [(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [0.0, 2.0]), (4, [0.0, 0.0])]
+    v = spark.createDataFrame(rows, "id long, x array<double>")
+    for block_rows in (2, 10):
+        got = {}
+        for r in knn_all_pairs(v, 3, block_rows=block_rows).collect():
+            got.setdefault(r.src, []).append((r.rank, r.dst))
+        assert {i: [d for _, d in sorted(x)] for i, x in got.items()} == {0: [1, 2, 3], 1: [3, 0, 2], 2: [0, 1, 3], 3: [1, 0, 2], 4: [0, 1, 2]}
