@@ -143,7 +143,7 @@ def _against_earliest(rows: DataFrame, reps: DataFrame, some: DataFrame, words:
     lines of a class."""
     part = F.pmod(F.xxhash64("a"), F.lit(classes))
     pivot = _postings(reps, words).groupBy("token", part).agg(F.min(F.struct("doc", "line", "a", "n", "i", "parity0", "parity1")).alias("p"), F.count("*").alias("k"))
-    pivot = pivot.where(F.col("k") > more_than).select("token", "p.*")
+    pivot = stored(pivot.where(F.col("k") > more_than).select("token", "p.*"))     # a table of its own bounds disk
     near = _postings(some, words).alias("y").join(pivot.alias("x"), (F.col("x.token") == F.col("y.token")) & _passes("x", "y") & _earlier("x", "y"))
     near = near.groupBy(F.col("y.a").alias("y")).agg(F.min(F.struct("x.doc", "x.line", "x.a")).alias("x")).select("y", F.col("x.a").alias("x"))
     return stored(verified(rows, reps, stored(near)))
