@@ -81,8 +81,9 @@ def main():
 
     def binary():
         s = fx.scored(spark, sf_dir)
-        run(M.binary_metrics(s))
-        run(M.binary_areas(s))
+        counts = M.cumulative_label_counts(s)
+        run(M.binary_metrics(s, cumulative=counts))
+        run(M.binary_areas(s, cumulative=counts))
 
     # untimed warm-up: JIT and file listing, one small hop loop and one scan of each input
     small = "/root/testdata/sf0.001"

@@ -3,16 +3,15 @@
 Binary metrics follow MLlib's ``BinaryClassificationMetrics`` without binning: one
 threshold per distinct score, cumulative true/false positive counts in descending score
 order. The cumulative counts are computed without a global sort in one task: scores are
-aggregated first (one row per distinct score), cut into ``P`` ranges at approximate
-quantiles (``P`` boundaries reach the driver), each range computes its running sums in
-its own task, and the per-range offsets (``P`` rows) are added. Curve areas need the
+aggregated first (one row per distinct score), dealt into ``P`` score ranges, each range
+computes its running sums in its own task, and the per-range offsets (``P`` rows) are added.
+Reports that need several tables compute the cumulative counts once and hand them over. Curve areas need the
 previous point of the curve; it follows from the cumulative counts minus the row's own
 counts, so the trapezoids are a plain sum.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,18 +83,11 @@ def cumulative_label_counts(scored: DataFrame, score: str = "score", label: str
                  .groupBy("threshold")
                  .agg(F.sum(F.when(F.col("y") > 0.5, 1).otherwise(0)).cast("bigint").alias("pos"),
                       F.sum(F.when(F.col("y") > 0.5, 0).otherwise(1)).cast("bigint").alias("neg")))
-    # written once (one row per distinct score): the quantile cut, the ranged rows and the
-    # range totals all read it instead of scanning the scored table three times
-    per_score = cut_lineage(per_score)
-    probs = [i / P for i in range(1, P)]
-    cuts = sorted({float(c) for c in per_score.approxQuantile("threshold", probs, 0.001)}) if probs else []
-    splits = [float("-inf")] + cuts + [float("inf")]
-    nb = len(splits) - 1
-    ranged = Bucketizer(splits=splits, inputCol="threshold", outputCol="_b", handleInvalid="keep") \
-        .transform(per_score)
-    # descending score order: higher bucket first; NaN (bucket nb) first, as NaN sorts highest
-    ranged = ranged.withColumn("rng", (F.lit(nb) - F.col("_b")).cast("int")).drop("_b")
-    totals = ranged.groupBy("rng").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn"))   # <= nb+1 rows
+    # written once with its range number (ranges descend; NaN sorts highest): the ranged rows and
+    # the range totals read it instead of scanning the scored table twice
+    ranged = cut_lineage(per_score.repartitionByRange(P, F.col("threshold").desc_nulls_first())
+                         .withColumn("rng", F.spark_partition_id()))
+    totals = ranged.groupBy("rng").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn"))   # <= P rows
     wo = Window.orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("rng", F.coalesce(F.sum("rp").over(wo), F.lit(0)).alias("op"),
                             F.coalesce(F.sum("rn").over(wo), F.lit(0)).alias("on"),
@@ -122,9 +114,11 @@ def _fmeasure(p, r, beta):
     return F.when(p + r == 0, F.lit(0.0)).otherwise(F.lit(1.0 + b2) * p * r / (F.lit(b2) * p + r))
 
 
-def binary_metrics(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Per threshold: ``(threshold, precision, recall, fpr, f1, f05)``."""
-    c = cumulative_label_counts(scored, score, label)
+def binary_metrics(scored: DataFrame, score: str = "score", label: str = "label",
+                   cumulative: DataFrame | None = None) -> DataFrame:
+    """Per threshold: ``(threshold, precision, recall, fpr, f1, f05)``; ``cumulative``:
+    ``cumulative_label_counts`` of the same rows, where it exists already."""
+    c = cumulative_label_counts(scored, score, label) if cumulative is None else cumulative
     P, N = F.col("total_pos").cast("double"), F.col("total_neg").cast("double")
     p, r, fpr = _rates(F.col("cum_pos").cast("double"), F.col("cum_neg").cast("double"), P, N)
     return c.select("threshold", p.alias("precision"), r.alias("recall"), fpr.alias("fpr")).select(
@@ -132,8 +126,8 @@ def binary_metrics(scored: DataFrame, score: str = "score", label: str = "label"
         _fmeasure(F.col("precision"), F.col("recall"), 0.5).alias("f05"))
 
 
-def _curve_terms(scored, score, label):
-    c = cumulative_label_counts(scored, score, label)
+def _curve_terms(scored, score, label, cumulative=None):
+    c = cumulative_label_counts(scored, score, label) if cumulative is None else cumulative
     P, N = F.col("total_pos").cast("double"), F.col("total_neg").cast("double")
     cp, cn = F.col("cum_pos").cast("double"), F.col("cum_neg").cast("double")
     pp, pn = cp - F.col("pos"), cn - F.col("neg")          # the previous curve point
@@ -147,9 +141,10 @@ def _curve_terms(scored, score, label):
                     first.alias("is_first"))
 
 
-def binary_areas(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def binary_areas(scored: DataFrame, score: str = "score", label: str = "label",
+                 cumulative: DataFrame | None = None) -> DataFrame:
     """``(metric, value)`` rows ``area_under_roc`` and ``area_under_pr`` (trapezoids)."""
-    t = _curve_terms(scored, score, label)
+    t = _curve_terms(scored, score, label, cumulative)
     a = t.agg(F.sum("roc_area").alias("area_under_roc"), F.sum("pr_area").alias("area_under_pr"))
     return a.select(F.explode(F.array(
         F.struct(F.lit("area_under_roc").alias("metric"), F.col("area_under_roc").alias("value")),
@@ -157,15 +152,17 @@ def binary_areas(scored: DataFrame, score: str = "score", label: str = "label")
     ).select("m.metric", "m.value")
 
 
-def roc_curve(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def roc_curve(scored: DataFrame, score: str = "score", label: str = "label",
+              cumulative: DataFrame | None = None) -> DataFrame:
     """``(fpr, tpr)``: (0,0), one point per threshold, then (1,1) (kept even if repeated)."""
-    t = _curve_terms(scored, score, label).select("fpr", F.col("recall").alias("tpr"))
+    t = _curve_terms(scored, score, label, cumulative).select("fpr", F.col("recall").alias("tpr"))
     ends = scored.sparkSession.createDataFrame([(0.0, 0.0), (1.0, 1.0)], "fpr double, tpr double")
     return t.unionByName(ends)
 
 
-def pr_curve(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def pr_curve(scored: DataFrame, score: str = "score", label: str = "label",
+             cumulative: DataFrame | None = None) -> DataFrame:
     """``(recall, precision)``: (0, precision at the highest threshold), then one point per threshold."""
-    t = _curve_terms(scored, score, label)
+    t = _curve_terms(scored, score, label, cumulative)
     start = t.filter(F.col("is_first")).select(F.lit(0.0).alias("recall"), "precision")
     return t.select("recall", "precision").unionByName(start)

@@ -14,7 +14,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import binary_areas, binary_metrics, confusion_counts, multiclass_metrics
+from ..session import cut_lineage
+from .metrics import binary_areas, binary_metrics, confusion_counts, cumulative_label_counts, multiclass_metrics
+from .ordered import global_row_number
 
 
 def hash_bucket(id_col="id", seed: int = 42) -> "F.Column":
@@ -92,7 +94,7 @@ def train_and_predict(points: DataFrame, kind: str, num_classes: int = 2, seed:
     """Scale on all rows, hash split 0.7 / 0.3, fit on train, predict test:
     ``(id, label, prediction, score)``; ``score`` is the margin / probability of class 1
     where the model has one, else the prediction."""
-    scaled = scale_features(points)
+    scaled = cut_lineage(scale_features(points))       # every training pass and the prediction read it
     train, test = hash_split(scaled, (0.7, 0.3), seed)
     model = make_model(kind, num_classes, seed=seed, **kw).fit(train)
     out = model.transform(test)
@@ -107,11 +109,13 @@ def train_and_predict(points: DataFrame, kind: str, num_classes: int = 2, seed:
 def classify_binary(embeddings: DataFrame, labels: DataFrame, kind: str = "svm", seed: int = 42,
                     label_col: str = "label", **kw) -> dict:
     """Binary chain of the social pipeline. Returns the predictions and the metric tables."""
-    pred = train_and_predict(labelled_points(embeddings, labels, label_col=label_col), kind, 2, seed, **kw)
+    # predicted once and counted once for all tables of the report
+    pred = cut_lineage(train_and_predict(labelled_points(embeddings, labels, label_col=label_col), kind, 2, seed, **kw))
+    counts = cumulative_label_counts(pred, "prediction", "label")
     return {
         "predictions": pred,
-        "threshold_metrics": binary_metrics(pred, "prediction", "label"),
-        "areas": binary_areas(pred, "prediction", "label"),
+        "threshold_metrics": binary_metrics(pred, "prediction", "label", counts),
+        "areas": binary_areas(pred, "prediction", "label", counts),
         "multiclass": multiclass_metrics(pred),
         "confusion": confusion_counts(pred, threshold=0.0),
     }
@@ -123,7 +127,7 @@ def classify_multiclass(embeddings: DataFrame, labels: DataFrame, kind: str = "f
     if num_classes is None:
         num_classes = int(labels.agg(F.max(label_col)).first()[0]) + 1
     points = labelled_points(embeddings, labels, label_col=label_col, num_classes=num_classes)
-    pred = train_and_predict(points, kind, num_classes, seed, **kw)
+    pred = cut_lineage(train_and_predict(points, kind, num_classes, seed, **kw))
     return {"predictions": pred, "multiclass": multiclass_metrics(pred)}
 
 
@@ -134,17 +138,9 @@ def class_share(df: DataFrame, label_col: str = "label") -> DataFrame:
     return c.select("label", "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
 
 
-MAX_LABELS = 100_000
-
-
-def label_index(df: DataFrame, label_col: str = "label", max_labels: int = MAX_LABELS) -> DataFrame:
+def label_index(df: DataFrame, label_col: str = "label") -> DataFrame:
     """``(label, label_idx double)``: labels numbered 0..n-1 in alphabetical order (a
-    deterministic version of ``distinct().zipWithIndex()``), like ``StringIndexer``. The
-    label table is small by nature (it is broadcast to attach indexes); more than
-    ``max_labels`` distinct labels raise."""
-    from pyspark.ml.feature import StringIndexer
+    deterministic version of ``distinct().zipWithIndex()``). Nulls get no number. Any number of
+    labels: they are numbered where they are, and no label reaches the driver."""
     d = df.select(F.col(label_col).alias("label")).filter(F.col("label").isNotNull()).distinct()
-    if d.limit(max_labels + 1).count() > max_labels:
-        raise ValueError(f"more than {max_labels} distinct labels")
-    model = StringIndexer(inputCol="label", outputCol="label_idx", stringOrderType="alphabetAsc").fit(d)
-    return model.transform(d)
+    return global_row_number(d, [F.col("label")], "_k", 0).select("label", F.col("_k").cast("double").alias("label_idx"))

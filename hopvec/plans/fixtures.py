@@ -7,7 +7,7 @@ size grows with the scale factor. The same definitions are written in SQL in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import global_row_number
@@ -102,25 +102,44 @@ def segments(spark, sf_dir) -> DataFrame:
                     F.when(F.col("c_mktsegment") == "FURNITURE", 1).otherwise(0).alias("flag"))
 
 
+def direction_score(c: int) -> Column:
+    """Dot product of the whole embedding, in millionths, with the fixed direction ``c`` of signs:
+    + where ``(c + 1) * (position + 1) mod 7 < 4``. Whole numbers, so no order of addition matters."""
+    sign = lambda k: F.when(F.pmod((k + 1) * (c + 1), F.lit(7)) < 4, F.lit(1)).otherwise(F.lit(-1))
+    terms = F.transform(F.col("embedding").cast("array<double>"),
+                        lambda v, k: F.floor(v * 1000000) * sign(k))
+    return F.aggregate(terms, F.lit(0).cast("bigint"), lambda acc, t: acc + t)
+
+
+def _arg_max(classes: int) -> Column:
+    scores = F.array(*[direction_score(c) for c in range(classes)])
+    return (F.array_position(scores, F.array_max(scores)) - 1).cast("double")
+
+
 def scored(spark, sf_dir) -> DataFrame:
-    """``(id, score, label)``: the first embedding coordinate as a score against the
+    """``(id, score, label)``: the embedding along a fixed direction as a score against the
     binary label ``label >= 5``."""
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").cast("bigint").alias("id"),
-                    F.col("embedding")[0].cast("double").alias("score"),
+                    (direction_score(0) / 1000000).alias("score"),
                     F.when(F.col("label") >= 5, 1.0).otherwise(0.0).alias("label"))
 
 
 def argmax_predictions(spark, sf_dir, classes: int = 10) -> DataFrame:
-    """``(id, prediction, label)``: arg-max of the first ``classes`` coordinates against
-    the embeddings' class label."""
+    """``(id, prediction, label)``: arg-max over ``classes`` fixed directions of the whole
+    embedding against its class label."""
     e = table(spark, sf_dir, "embeddings")
-    head = F.slice(F.col("embedding").cast("array<double>"), 1, classes)
-    pred = (F.array_position(head, F.array_max(head)) - 1).cast("double")
-    return e.select(F.col("vec_id").cast("bigint").alias("id"), pred.alias("prediction"),
+    return e.select(F.col("vec_id").cast("bigint").alias("id"), _arg_max(classes).alias("prediction"),
                     F.col("label").cast("double").alias("label"))
 
 
+def planted_labels(spark, sf_dir, classes: int = 2) -> DataFrame:
+    """``(id, label double)`` that the embedding decides: its side of a fixed direction (two
+    classes), or the arg-max over fixed directions."""
+    label = F.when(direction_score(0) > 0, 1.0).otherwise(0.0) if classes == 2 else _arg_max(classes)
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"), label.alias("label"))
+
+
 def copurchase_pairs(spark, sf_dir) -> DataFrame:
     """Distinct ``(a, b)`` = (customer key, part key) of line items; both ends are looked
     up in the vector table by key."""

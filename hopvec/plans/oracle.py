@@ -36,12 +36,31 @@ RANKS_CP = ("SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey)::BIGI
 VEC = "SELECT vec_id::BIGINT AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"
 HOSTS = ("SELECT page_id::BIGINT AS id, array_to_string(list_reverse(string_split("
          f"regexp_extract(url, '{URL_HOST_PATTERN}', 1), '.')), '.') AS host FROM pages")
-SCORED = ("SELECT vec_id::BIGINT AS id, CAST(embedding[1] AS DOUBLE) AS score, "
+
+
+def direction_score(c: int) -> str:
+    return (f"list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda v, k: floor(v * 1000000)::BIGINT * "
+            f"CASE WHEN (k * {c + 1}) % 7 < 4 THEN 1 ELSE -1 END))")
+
+
+def arg_max(classes: int) -> str:
+    scores = "[" + ", ".join(direction_score(c) for c in range(classes)) + "]"
+    return f"(list_position({scores}, list_max({scores})) - 1)::DOUBLE"
+
+
+def planted_labels(classes: int = 2) -> str:
+    label = f"CASE WHEN {direction_score(0)} > 0 THEN 1.0 ELSE 0.0 END::DOUBLE" if classes == 2 else arg_max(classes)
+    return f"SELECT vec_id::BIGINT AS id, {label} AS label FROM embeddings"
+
+
+def in_split(part: str) -> str:
+    """Condition that ``id`` is in the ``train`` (70 %) or ``test`` part of the hash split."""
+    return f"('0x' || substr(md5(id::VARCHAR || ':42'), 1, 8))::BIGINT % 10000 {'<' if part == 'train' else '>='} 7000"
+
+
+SCORED = (f"SELECT vec_id::BIGINT AS id, {direction_score(0)}::DOUBLE / 1000000 AS score, "
           "CASE WHEN label >= 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS label FROM embeddings")
-ARGMAX = ("SELECT vec_id::BIGINT AS id, "
-          "(list_position(list_slice(CAST(embedding AS DOUBLE[]), 1, 10), "
-          "list_max(list_slice(CAST(embedding AS DOUBLE[]), 1, 10))) - 1)::DOUBLE AS prediction, "
-          "label::DOUBLE AS label FROM embeddings")
+ARGMAX = f"SELECT vec_id::BIGINT AS id, {arg_max(10)} AS prediction, label::DOUBLE AS label FROM embeddings"
 PAIRS = ("SELECT DISTINCT o.o_custkey::BIGINT AS a, l.l_partkey::BIGINT AS b "
          "FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey")
 

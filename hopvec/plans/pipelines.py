@@ -70,8 +70,8 @@ def host_embeddings(spark: SparkSession, graph_path: str, d: int = HOST_DIM, wei
     names = vertices.select("id", F.col("host").alias("name"))
     if classify:
         labelled = names.select("id", G.tld_label("name").alias("tld"))
-        idx = label_index(labelled, "tld")        # one row per label
-        labels = labelled.join(F.broadcast(idx.withColumnRenamed("label", "tld")), "tld").select(
+        idx = label_index(labelled, "tld")
+        labels = labelled.join(idx.withColumnRenamed("label", "tld"), "tld").select(
             "id", F.col("label_idx").alias("label"))
         n_classes = idx.count()
         out["classification"] = classify_multiclass(normed, labels, kind="forest", num_classes=n_classes)

@@ -33,6 +33,10 @@ SUBSET_LIMIT = 500
 PAGERANK_ITERS = 5
 
 
+# Held-out accuracy that planted labels must reach (two classes, three, three).
+LEAST_ACCURACY = {"svm": 0.8, "logreg": 0.7, "forest": 0.45}
+
+
 def rnd(c, digits: int = 6):
     c = F.col(c) if isinstance(c, str) else c
     return F.round(c, digits) + F.lit(0.0)
@@ -111,7 +115,7 @@ def q_class_share(spark, sf):
 def q_label_index(spark, sf):
     h = fx.hosts(spark, sf).select("id", G.tld_label("host").alias("label"))
     idx = L.label_index(h, "label")
-    return h.join(F.broadcast(idx), "label").select("id", "label", "label_idx")   # one row per label
+    return h.join(idx, "label").select("id", "label", "label_idx")
 
 
 # ---------------------------------------------------------------- seeds and hops
@@ -271,7 +275,7 @@ def q_pr_curve(spark, sf):
 
 def q_classify_binary(spark, sf):
     lab = fx.scored(spark, sf).select("id", "label")
-    out = L.classify_binary(fx.vec(spark, sf), lab, kind="svm", max_iter=50)
+    out = L.classify_binary(fx.vec(spark, sf), lab, kind="svm")
     return out["multiclass"]
 
 
@@ -280,8 +284,51 @@ def q_classify_multiclass(spark, sf):
     return out["multiclass"]
 
 
+def _test_summary(pred: DataFrame, least: float) -> DataFrame:
+    """Test rows, the sum of their labels, and whether the accuracy reaches ``least``."""
+    return pred.agg(F.count("*").alias("n_test"), F.sum("label").alias("label_sum"),
+                    (F.avg((F.col("prediction") == F.col("label")).cast("double")) >= least).alias("accurate"))
+
+
+def q_classify_svm_planted(spark, sf):
+    out = L.classify_binary(fx.vec(spark, sf), fx.planted_labels(spark, sf), kind="svm")
+    return _test_summary(out["predictions"], LEAST_ACCURACY["svm"])
+
+
+def q_classify_logreg_planted(spark, sf):
+    out = L.classify_multiclass(fx.vec(spark, sf), fx.planted_labels(spark, sf, 3), kind="logreg", num_classes=3)
+    return _test_summary(out["predictions"], LEAST_ACCURACY["logreg"])
+
+
+def q_classify_forest_planted(spark, sf):
+    out = L.classify_multiclass(fx.vec(spark, sf), fx.planted_labels(spark, sf, 3), kind="forest", num_classes=3)
+    return _test_summary(out["predictions"], LEAST_ACCURACY["forest"])
+
+
+def q_classify_bayes_planted(spark, sf):
+    """Gaussian Bayes is exact, so every prediction is compared."""
+    out = L.classify_multiclass(fx.vec(spark, sf), fx.planted_labels(spark, sf, 3), kind="bayes", num_classes=3)
+    return out["predictions"].select("id", "label", "prediction")
+
+
 # ---------------------------------------------------------------- SQL
 
+def _test_summary_sql(classes: int) -> str:
+    return (f"SELECT count(*) AS n_test, sum(label) AS label_sum, true AS accurate FROM ({O.planted_labels(classes)}) "
+            f"WHERE {O.in_split('test')}")
+
+
+def _bayes_sql(classes: int) -> str:
+    return f"""
+      WITH lab AS ({O.planted_labels(classes)}), x AS (SELECT * FROM ({O.long_of(O.VEC)}) JOIN lab USING (id)),
+           st AS (SELECT label, pos, avg(val) AS m, var_pop(val) AS v FROM x WHERE {O.in_split('train')} GROUP BY label, pos),
+           prior AS (SELECT label, ln(count(*)) AS lp FROM lab WHERE {O.in_split('train')} GROUP BY label),
+           s AS (SELECT x.id, x.label, st.label AS cand, sum(-0.5 * ln(v) - (val - m) * (val - m) / (2 * v)) AS ll
+                 FROM x JOIN st USING (pos) WHERE {O.in_split('test')} GROUP BY ALL)
+      SELECT id, s.label, cand AS prediction FROM s JOIN prior ON cand = prior.label
+      QUALIFY row_number() OVER (PARTITION BY id ORDER BY ll + lp DESC, cand) = 1"""
+
+
 def _sql_long_vertices_seed(ids_sql, d, dense=False):
     s = O.dense_seed_long(ids_sql, d) if dense else O.sparse_seed_long(ids_sql, d)
     return f"SELECT id, pos::INTEGER AS pos, {O.R('val')} AS val FROM ({s})"
@@ -412,6 +459,8 @@ def oracle_sql() -> dict:
         "pr_curve": (f"WITH c AS ({O.cumulative_sql(O.SCORED)}) SELECT {O.R('recall')} AS recall, {O.R('precision')} AS precision FROM c "
                      f"UNION ALL SELECT 0.0, {O.R('precision')} FROM c WHERE prev_precision IS NULL"),
     }
+    sql |= {"classify_svm_planted": _test_summary_sql(2), "classify_logreg_planted": _test_summary_sql(3),
+            "classify_forest_planted": _test_summary_sql(3), "classify_bayes_planted": _bayes_sql(3)}
     sub = (f"WITH kept AS (SELECT id, name FROM ({O.NAMES_CP}) WHERE name IN "
            f"(SELECT host_rev FROM ({O.RANKS_CP}) WHERE hc_pos <= {SUBSET_LIMIT})), "
            f"ke AS (SELECT DISTINCT src, dst FROM ({cp}) WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept)) ")
@@ -492,4 +541,8 @@ def queries() -> dict:
         "pr_curve": q_pr_curve,
         "classify_binary": q_classify_binary,
         "classify_multiclass": q_classify_multiclass,
+        "classify_svm_planted": q_classify_svm_planted,
+        "classify_logreg_planted": q_classify_logreg_planted,
+        "classify_forest_planted": q_classify_forest_planted,
+        "classify_bayes_planted": q_classify_bayes_planted,
     }

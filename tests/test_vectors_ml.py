@@ -105,6 +105,18 @@ def test_cumulative_counts_many_ranges(spark):
     c = {r.threshold: (r.cum_pos, r.cum_neg) for r in M.cumulative_label_counts(df, num_ranges=7).collect()}
     for t in sorted(set(s))[::37]:
         assert c[t] == (int(y[s >= t].sum()), int((1 - y[s >= t]).sum()))
+    counts = M.cumulative_label_counts(df, num_ranges=3)
+    alone, shared = (sorted((r.metric, r.value) for r in M.binary_areas(df, cumulative=x).collect()) for x in (None, counts))
+    assert [(m, round(v, 9)) for m, v in alone] == [(m, round(v, 9)) for m, v in shared]
+
+
+def test_cumulative_counts_nan_null_and_empty(spark):
+    """NaN ranks above every number; a null score ranks first; an empty table gives no rows."""
+    rows = [(float("nan"), 1.0), (None, 0.0), (2.0, 1.0), (2.0, 0.0), (-1.0, 1.0)]
+    df = spark.createDataFrame(rows, "score double, label double")
+    got = [(r.cum_pos, r.cum_neg) for r in M.cumulative_label_counts(df, num_ranges=3).collect()]
+    assert sorted(got) == [(0, 1), (1, 1), (2, 2), (3, 2)]
+    assert M.cumulative_label_counts(df.where("score > 5 and not isnan(score)")).count() == 0
 
 
 def test_hash_split_values(spark):
@@ -124,6 +136,9 @@ def test_share_and_index(spark):
     assert sh == {"com": 0.5, "org": 0.25, "net": 0.25}
     idx = {r.label: r.label_idx for r in label_index(df).collect()}
     assert idx == {"com": 0.0, "net": 1.0, "org": 2.0}
+    nulls = spark.createDataFrame([(None,), ("b",)], "label string")
+    assert [tuple(r) for r in label_index(nulls).collect()] == [("b", 0.0)]
+    assert label_index(nulls.where("label = 'x'")).count() == 0
 
 
 def _planted(spark, n=600, d=8, seed=5):
