@@ -4,7 +4,7 @@ classification metrics on Spark DataFrames.
 Modules: ``functions`` (column helpers: vectors, seeds), ``operators`` (graph, fastrp,
 pagerank, stats, knn, metrics, ml, vector_tables, ordered), ``sources`` (file readers and
 writers), ``plans`` (fixtures over the driver tables, registered queries, SQL oracle,
-end-to-end pipelines), ``streaming`` (empty by design).
+end-to-end pipelines).
 """
 
 __version__ = "0.1.0"

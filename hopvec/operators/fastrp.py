@@ -14,9 +14,9 @@ Physical plan per hop (see ``explain_hop``):
 * sources with more out-edges than ``edges / max_heavy`` ("hubs", at most ``max_heavy`` of
   them, so at most ``max_heavy * d`` doubles) keep their edges where they were read and
   get their state by broadcast: a hub never piles its edges into one task;
-* messages are pre-scaled by the edge weight and summed per destination with
-  ``Summarizer`` (partial aggregation on the map side absorbs in-degree hubs); the one
-  exchange of the hop is that aggregate's shuffle on ``dst``;
+* messages are scaled by the edge weight and summed per destination, one column for each
+  dimension up to ``COLUMNS_MAX_D`` and with ``Summarizer`` beyond (partial aggregation on
+  the map side absorbs in-degree hubs); the one exchange of the hop is that aggregate's shuffle on ``dst``;
 * the new state joins the old one by ``id`` (same partitioning, no exchange), is persisted,
   and every ``checkpoint_interval`` hops is checkpointed into the session's checkpoint
   folder so a lost executor replays at most that many hops.

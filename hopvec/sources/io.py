@@ -114,7 +114,8 @@ def load_kg_graph(spark: SparkSession, vectors_path: str, edges_path: str, undir
     return read_vectors_text(spark, vectors_path), read_edges_text(spark, edges_path, undirected=undirected)
 
 
-def save_graph(vertices: DataFrame, edges: DataFrame, path: str, mode: str = "overwrite") -> None:
+def save_graph(vertices: DataFrame, edges: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Vertices and edges as Parquet; an existing path is refused unless ``mode`` says otherwise."""
     vertices.write.mode(mode).parquet(f"{path.rstrip('/')}/vertices")
     edges.write.mode(mode).parquet(f"{path.rstrip('/')}/edges")
 
@@ -127,8 +128,9 @@ def load_graph(spark: SparkSession, path: str, undirected: bool = True):
 
 
 def save_embeddings(emb: DataFrame, path: str, fmt: str = "parquet", with_id: bool = True, sep: str = " ",
-                    mode: str = "overwrite") -> None:
-    """Parquet ``(id, x)`` (default) or text lines ``[id ]v1 v2 ...``."""
+                    mode: str = "errorifexists") -> None:
+    """Parquet ``(id, x)`` (default) or text lines ``[id ]v1 v2 ...``; an existing path is refused
+    unless ``mode`` says otherwise."""
     if fmt == "parquet":
         emb.select("id", "x").write.mode(mode).parquet(path)
     elif fmt == "text":

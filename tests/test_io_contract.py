@@ -3,6 +3,7 @@ import re
 import tempfile
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from hopvec.sources import io
 
@@ -68,6 +69,11 @@ def test_graph_and_embedding_round_trip(spark):
     assert v2.count() == 2 and sorted((r.src, r.dst) for r in e2.collect()) == [(1, 2), (2, 1)]
     emb = spark.createDataFrame([(1, [0.5, 1.0])], "id long, x array<double>")
     io.save_embeddings(emb, d + "/p")
+    with pytest.raises(AnalysisException):
+        io.save_embeddings(emb, d + "/p")
+    with pytest.raises(AnalysisException):
+        io.save_graph(v, e, d + "/g")
+    io.save_embeddings(emb, d + "/p", mode="overwrite")
     assert spark.read.parquet(d + "/p").first().x == [0.5, 1.0]
     io.save_embeddings(emb, d + "/t", fmt="text")
     assert spark.read.text(d + "/t").first().value == "1 0.5 1.0"
