@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Words of all documents give inverse document frequencies. Benchmark passages are cut into blocks,
-and each block's TF-IDF matrix is factorised by a randomised SVD in a task of its own. Windows of
-every document are folded into each block's latent space; windows whose cosine with a passage
+and each block's TF-IDF matrix is factorised by a randomised SVD in a task of its own; a block has
+no more passages than its rank, so latent products are the exact ones. Windows of every document are folded into each block's latent space; windows whose cosine with a passage
 reaches a bound (latent product over full TF-IDF lengths) are candidates. A candidate counts if
 its longest common subsequence with the passage is long, or fairly long and it holds the answer.
 """
@@ -25,7 +25,7 @@ PASSAGE = 64             # words of a benchmark passage; longer items are cut
 MIN_WORDS = 5            # items with fewer words are no evidence and are not searched
 BLOCK = 256              # passages of one latent space
 BLOCKS_A_PASS = 8        # latent spaces that one look at the documents uses (bounds the broadcast)
-RANK = 192
+RANK = BLOCK             # of a block, which holds no more passages: none loses a share of its cosine
 STRIDE = 8
 WINDOWS = (8, 16, 24, 32, 48, 64)
 MIN_COSINE = 0.45
@@ -242,7 +242,8 @@ def fit(docs: DataFrame, bench: DataFrame, rank: int = RANK, min_cosine: float =
     """Finders for ``bench (item_id, text[, answer])`` with word weights from all of ``docs (text)``.
 
     Null ids and texts of fewer than ``MIN_WORDS`` words are left out; an item given twice is found
-    twice as the same id. Every finder holds at most ``BLOCKS_A_PASS * BLOCK`` passages.
+    twice as the same id. Every finder holds at most ``BLOCKS_A_PASS * BLOCK`` passages; a ``rank``
+    under ``BLOCK`` makes smaller blocks.
     """
     df, n = document_frequencies(docs)
     idf = np.log((n + 1) / (df + 1)) + 0.1
@@ -263,8 +264,9 @@ def fit(docs: DataFrame, bench: DataFrame, rank: int = RANK, min_cosine: float =
                 tokens.append(h[a:z])
                 answers.append(own)
         out = []
-        for at in range(0, len(items), BLOCK):
-            b = fit_block(items[at:at + BLOCK], tokens[at:at + BLOCK], answers[at:at + BLOCK], shared.value, rank)
+        size = min(BLOCK, rank)
+        for at in range(0, len(items), size):
+            b = fit_block(items[at:at + size], tokens[at:at + size], answers[at:at + size], shared.value, rank)
             out.append((pickle.dumps(tuple(b)),))
         return pd.DataFrame(out, columns=["block"])
 

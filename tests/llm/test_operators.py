@@ -231,6 +231,17 @@ def test_decontamination(spark):
     assert decontam_lsi.contaminated(docs, decontam_lsi.fit(docs, bench.limit(0))).count() == 0
 
 
+def test_decontamination_finds_passages_of_a_full_block(spark):
+    rng = np.random.default_rng(4)
+    shared = [f"form{i}" for i in range(6)]
+    items = [(i, " ".join(f"u{i}x{k}" for k in range(20))) for i in range(190)]
+    items += [(i, " ".join(rng.permutation([*shared, *(f"u{i}x{k}" for k in range(12))]))) for i in range(190, 250)]
+    filler = [" ".join(f"f{k}" for k in rng.integers(0, 3000, 50)) for _ in items]
+    docs = make(spark, [(i, f"{f[:int(rng.integers(0, 60))]} {t} {f}") for (i, t), f in zip(items, filler)] + [(900, filler[0])])
+    got = sorted((r.doc_id, r.item_ids) for r in decontam_lsi.contaminated(docs, decontam_lsi.fit(docs, make(spark, items, "item_id bigint, text string"))).collect())
+    assert got == [(i, [i]) for i, _ in items]
+
+
 def test_randomised_svd_and_lcs():
     a = np.random.default_rng(1).normal(size=(30, 12)) @ np.random.default_rng(2).normal(size=(12, 80))
     v = decontam_lsi.randomised_svd(a, 12)
