@@ -1,8 +1,9 @@
 """Licence recognition by sentence rules, with built-in functions only.
 
-Texts are cut into sentences, sentences are normalised (lower case, letters and digits), known
-licence sentences become identifiers, and the sequence of identifiers of a document is matched
-against ordered rules. The sentence table is derived from the rule texts by the same expressions.
+Texts are normalised (lower case, letters and digits; comment marks fall away) with marks where a
+sentence ends or may end, known licence sentences between two such marks become identifiers, wrapped
+or not, and the sequence of identifiers of a document is matched against ordered rules. The sentence
+table is derived from the rule texts by the same expressions.
 """
 
 from __future__ import annotations
@@ -38,14 +39,32 @@ RULES = [
     ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
 ]
-# A sentence ends behind . ! ? or before Unless; a line break ends one unless a lower-case letter
-# follows (a wrapped line) and the line is no SPDX tag.
-SENTENCE_END = r"(?<=[.!?])\s+|\s+(?=Unless )|(?<=SPDX-License-Identifier: [A-Za-z0-9.-]{1,40})\r?\n\s*|\r?\n\s*(?![\sa-z])"
+# A sentence ends behind . ! ? or before Unless. A line break may end one, or may lie inside it, unless
+# a lower-case letter begins the next line (a wrapped line) and no colon ends this one; SPDX tags end at
+# any line break.
+HARD_END = r"(?<=[.!?])\s++|(?<!\s)\s++(?=Unless\s)"
+WRAP = r"(?<!:[\x20\t]{0,3})\n(?=[\x20\t]*+[a-z])"
+RULE_END = HARD_END + r"|\n\s*+"       # the rule texts themselves have one sentence a line at most
+TAG = "spdx license identifier "
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, empty ones included."""
-    return F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+def _normal(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+
+
+def marked(text: Column) -> Column:
+    """Words of a text with what parts them: U+0001 (end of a sentence), line feed (perhaps one),
+    carriage return (a wrapped line) or a blank. Marks of comments and lists are parted with."""
+    t = F.regexp_replace(F.translate(text, "\x01\r", "  "), HARD_END, "\x01")
+    t = F.regexp_replace(F.lower(F.regexp_replace(t, WRAP, "\r")), r"[^a-z0-9\n\r\x01]+", " ")
+    return F.concat(F.lit("\n"), t, F.lit("\n"))
+
+
+def known_pattern(known: list[str]) -> str:
+    """Known sentences in a ``marked`` text, the longest first, from one end of a sentence to another."""
+    def one(s: str) -> str:
+        return s + r"(?=\x20?[\n\r\x01])" if s.startswith(TAG) else s.replace(" ", r"[\x20\n\r]++") + r"(?=\x20?[\n\x01])"
+    return r"[\n\x01][\x20\r]{0,3}+(" + "|".join(one(s) for s in sorted(known, key=len, reverse=True)) + ")"
 
 
 class Rules:
@@ -54,7 +73,7 @@ class Rules:
     def __init__(self, spark: SparkSession, rules: list[tuple[str, str]] | None = None):
         rules = RULES if rules is None else rules
         rows = spark.createDataFrame([(i, r[0], r[1]) for i, r in enumerate(rules)], "no int, licence string, text string")
-        parts = rows.select("licence", F.filter(sentences(F.col("text")), lambda s: s != "").alias("s")).orderBy("no").collect()
+        parts = rows.select("licence", F.filter(F.transform(F.split("text", RULE_END), _normal), lambda s: s != "").alias("s")).orderBy("no").collect()
         self.known = list(dict.fromkeys(s for r in parts for s in r["s"]))
         self.sequences = [(r["licence"], [self.known.index(s) for s in r["s"]]) for r in parts if r["s"]]
 
@@ -67,7 +86,8 @@ def scan(docs: DataFrame, rules: Rules) -> DataFrame:
     empty texts have none.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = F.filter(sentences(text), lambda s: s.isin(rules.known))
+    found = F.regexp_extract_all(marked(text), F.lit(known_pattern(rules.known)), F.lit(1)) if rules.known else F.array().cast("array<string>")
+    found = F.transform(found, _normal)
     known = F.array(*[F.lit(s) for s in rules.known])
     d = docs.select("doc_id", F.transform(found, lambda s: F.array_position(known, s).cast("int") - 1).alias("sentence_ids"))
     d = d.withColumn("_seq", F.when(F.size("sentence_ids") > 0, F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit(","), i.cast("string"), F.lit(","))), "")))

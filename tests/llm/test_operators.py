@@ -308,6 +308,53 @@ def test_license_rules(spark):
     assert got == [(1, ("MIT",)), (1, ("MIT", "CC-BY-NC-4.0")), (2, ("Apache-2.0",)), (3, ()), (4, ()), (5, ("GPL-3.0",)), (6, ())]
 
 
+GNU = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+
+
+def test_license_notices_as_published(spark):
+    gnu2 = GNU.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+    notices = [(GNU, "GPL-3.0-or-later"), (gnu2, "GPL-2.0-or-later"), (APACHE, "Apache-2.0"), (MIT, "MIT"), (BSD, "BSD-2-Clause")]
+    forms = {"plain": "", "hash": "# ", "slash": "// ", "star": " * ", "dash": "-- ", "semicolon": ";; ", "dnl": "      "}
+    rows, want = [], {}
+    for n, (text, licence) in enumerate(notices):
+        for k, mark in enumerate(forms.values()):
+            body = "\n".join((mark + line).rstrip() for line in text.split("\n"))
+            body = f"/*\n{body}\n */\nint x;" if mark == " * " else f"Some title\n{body}\nimport x"
+            rows += [(100 * n + k, body), (100 * n + k + 50, body.replace("\n", "\r\n"))]
+            want[100 * n + k] = want[100 * n + k + 50] = [licence]
+    rows += [(900, "This is not\nlicensed under the MIT License."), (901, "// SPDX-License-Identifier: MIT\npackage main"), (902, "A title\nLicensed under the MIT License\n\nsee there"), (903, "=" * 50_000 + "\n" * 50_000 + " " * 50_000)]
+    want |= {900: [], 901: ["MIT"], 902: ["MIT"], 903: []}
+    got = {r.doc_id: r.licences for r in license_rules.scan(make(spark, rows), license_rules.Rules(spark)).collect()}
+    assert got == want
+    full = license_rules.scan(make(spark, [(1, "\n".join("# " + x for x in APACHE.split("\n")))]), license_rules.Rules(spark)).first()
+    assert len(full.sentence_ids) == 3
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("extra", F.lit(1))
