@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction, with built-in functions only.
 
 Fixed patterns find base entities (e-mail, IP, card and phone numbers). They seed a graph of
-lexical patterns (neighbouring word and shape of the token) and instances (tokens with a digit or
-an @). Pattern and instance scores feed each other for some rounds; patterns that then score high
+lexical patterns (left word, right word, or both, of a token with an @ or of another with digits) and instances (tokens with a digit or an @; every kind has one of them).
+The form of a token is no part of a pattern, so identifiers of unseen forms are found by context.
+Pattern and instance scores feed each other for some rounds; patterns that then score high
 and have several seeds mark further tokens as entities of their kind.
 """
 
@@ -87,7 +88,8 @@ def spans_text(spans: Column) -> Column:
 
 def _occurrences(base: DataFrame) -> DataFrame:
     """One row per identifier-like token: key, start, end, core, kind of the base entity it is
-    part of ('' : overlaps one only in part, null: none), pats (its two lexical patterns)."""
+    part of ('' : overlaps one only in part, null: none), pats (its lexical patterns: left word,
+    right word, both; with the class of the token)."""
     text = F.col("text")
     tokens = _located(text, TOKEN, text.rlike("[0-9@]"))
     d = base.select("doc_id", "row_hash", "base", text, F.explode(tokens).alias("t")).select(
@@ -99,12 +101,13 @@ def _occurrences(base: DataFrame) -> DataFrame:
     inside = F.filter("base", lambda b: (b["start"] <= F.col("start")) & (F.col("end") <= b["end"]))
     touches = F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
     word = lambda c: _shape(F.lower(c))
-    left = F.regexp_extract("before", r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1)
-    right = F.regexp_extract("after", r"^[^\x20\x09-\x0D]*[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)", 1)
-    shape = _shape(F.col("core"))
+    left = word(F.regexp_extract("before", r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1))
+    right = word(F.regexp_extract("after", r"^[^\x20\x09-\x0D]*[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)", 1))
+    token = F.when(F.col("core").contains("@"), F.lit("@")).otherwise(F.lit("9"))
+    before, after = F.concat(left, F.lit(" > "), token), F.concat(token, F.lit(" < "), right)
     return d.select("doc_id", "row_hash", "start", "end", "core",
                     F.when(F.size(inside) > 0, inside[0]["kind"]).when(touches, F.lit("")).alias("kind"),
-                    F.array(F.concat(word(left), F.lit(" > "), shape), F.concat(shape, F.lit(" < "), word(right))).alias("pats"))
+                    F.array(before, after, F.concat(before, F.lit(" < "), right)).alias("pats"))
 
 
 def _shape(c: Column) -> Column:
@@ -117,9 +120,11 @@ def score_patterns(occ: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     A pattern scores the weighted mean of its instances' scores (one doubt added to the weight);
     an instance that is no seed scores the weighted mean of its patterns; seeds stay at 1 for
-    their kind and 0 for others.
+    their kind and 0 for others. Tokens of base entities are instances apart from equal tokens
+    elsewhere: '12' within a card number makes no seed of every other '12'.
     """
-    edges = stored(occ.where("kind is null or kind <> ''").select(F.explode("pats").alias("pat"), "core", "kind")
+    core = F.concat_ws("\x01", "core", "kind").alias("core")
+    edges = stored(occ.where("kind is null or kind <> ''").select(F.explode("pats").alias("pat"), core, "kind")
                         .groupBy("pat", "core").agg(F.count("*").alias("w"), F.max("kind").alias("kind")))
     seed = edges.groupBy("core").agg(F.max("kind").alias("seed"))
     inst = stored(seed.select("core", "seed", *[F.when(F.col("seed") == k, 1.0).otherwise(0.0).alias(f"s_{k}") for k in KINDS]))

@@ -166,6 +166,15 @@ def test_pii_base_and_bootstrap(spark, docs):
     assert pii_bootstrap.find_pii(make(spark, [])).count() == 0
 
 
+def test_pii_finds_planted_identifiers_of_unseen_forms(spark):
+    rows = [(i, f"contact user{i}@mail.example.com now") for i in range(20, 32)] + [(i, f"my number is +1984555{1000 + i} since then") for i in range(40, 52)]
+    rows += [(60, "contact user77@mailhost now"), (61, "my number is 984/555-7777 since then"), (62, "page 12 of it"), (63, "contact room 12 now")]
+    rows += [(70 + i, f"card 4111 1111 1111 1111 page 1111 of book {i}") for i in range(5)]
+    added = {r.doc_id: [(s["kind"], s["start"], s["end"]) for s in r.added] for r in pii_bootstrap.find_pii(make(spark, rows)).collect()}
+    assert added.pop(60) == [("email", 8, 23)] and added.pop(61) == [("phone", 13, 25)]
+    assert not any(added.values())
+
+
 def test_warc_round_trip(spark, tmp_path):
     evil = "text WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\nrest"
     rows = [(5, "http://a/é", "same"), (2, None, "same"), (9, "u", None), (8, "u", ""), (3, "u", evil), (4, "u", evil + "é" * 9), (7, "u\r\nx", "\r\n\r\n"), (None, "u", "zz"), (6, "u", "  x")]
