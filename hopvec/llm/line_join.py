@@ -2,11 +2,12 @@
 
 A line is the set of its lower-cased words. Two lines match at a Jaccard similarity of 4/5 or
 more. A line is removed if it matches a line at an earlier position (document id, line number) of
-any document, removed or not. Lines of fewer than ``MIN_WORDS`` different words are left alone.
+any document, removed or not. Lines of fewer than ``min_words`` different words are left alone:
+``MIN_WORDS`` by default, 1 in the queries, where only lines without a word stay.
 
 Words are ordered by rarity, from counts over all documents in ``BUCKETS`` hashed buckets (any
 total order gives the same result; a fine one gives few candidates). Lines with equal sets are
-joined by hash first. The others meet on words of their rarest prefixes and pass length, positional
+joined by hash first; sets of under ``LEAST_JOINED`` words match no others. The others meet on words of their rarest prefixes and pass length, positional
 and parity filters before the exact check:
 
 * a pair needs an overlap of ``ceil(4/9 (n + m))``, so the shorter line is found by its first
@@ -26,6 +27,7 @@ from .common import SPACES, stored
 
 NUM, DEN = 4, 5          # least Jaccard similarity as a fraction
 MIN_WORDS = 5
+LEAST_JOINED = 4         # at 4/5, smaller sets match only when equal
 BUCKETS = 1 << 18
 PIVOT_WORDS = 2          # rarest words by which the first round looks
 HOT_LINES = 2            # words of more lines of a class get the second look
@@ -72,14 +74,15 @@ def rarity(rows: DataFrame) -> bytes:
     return bytes(out)
 
 
-def occurrences(rows: DataFrame, levels: bytes) -> DataFrame:
+def occurrences(rows: DataFrame, levels: bytes, min_words: int = MIN_WORDS) -> DataFrame:
     """doc, row_hash, line, a and b (two hashes of the set), n (its size), its parity signature, prefix (the
     rarest words that the longer line of a pair needs, as 32-bit hashes)."""
     table = F.lit(levels)
     level = lambda h: F.ascii(F.substring(table, (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int"), F.lit(1)).cast("string"))
     hashes = F.transform(F.split(F.btrim(F.lower("content"), F.lit(BLANKS)), SPACES), lambda w: F.xxhash64(w))
     code = F.transform("h", lambda h: F.shiftleft(level(h).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
-    found = lines(rows).where(F.length("content") >= 2 * MIN_WORDS - 1).withColumn("h", hashes)
+    some = F.btrim("content", F.lit(BLANKS)) != "" if min_words < 2 else F.length("content") >= 2 * min_words - 1
+    found = lines(rows).where(some).withColumn("h", hashes)
     found = found.withColumn("code", F.sort_array(F.array_distinct(code))).withColumn("n", F.size("code"))
     one = F.lit(1).cast("bigint")
     bit = lambda c: F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int"))
@@ -149,14 +152,15 @@ def _against_earliest(rows: DataFrame, reps: DataFrame, some: DataFrame, words:
     return stored(verified(rows, reps, stored(near)))
 
 
-def later_matches(rows: DataFrame) -> DataFrame:
+def later_matches(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc, row_hash, line)`` of the lines to remove, for ``rows (doc, row_hash, text)``."""
-    occ = stored(occurrences(rows, rarity(rows))).where(F.col("n") >= MIN_WORDS)
+    occ = stored(occurrences(rows, rarity(rows), min_words)).where(F.col("n") >= min_words)
     # equal sets: every occurrence but the first goes, whatever else matches
     kept = F.min(F.struct("doc", "line", "row_hash", "n", "parity0", "parity1", "prefix")).alias("r")
-    reps = stored(occ.groupBy("a", "b").agg(kept).select("a", "b", "r.*")).withColumn("open", F.lit(True))
+    firsts = stored(occ.groupBy("a", "b").agg(kept).select("a", "b", "r.*"))
+    reps = firsts.where(F.col("n") >= LEAST_JOINED).withColumn("open", F.lit(True))
     place = F.struct("doc", "line", "row_hash")
-    copies = (occ.select("a", "b", "doc", "line", "row_hash").join(reps.select("a", "b", place.alias("first")), ["a", "b"])
+    copies = (occ.select("a", "b", "doc", "line", "row_hash").join(firsts.select("a", "b", place.alias("first")), ["a", "b"])
               .where(place != F.col("first")))
 
     short = F.col("n") - _ceil(2 * NUM * F.col("n"), NUM + DEN) + 1
@@ -185,15 +189,15 @@ def later_matches(rows: DataFrame) -> DataFrame:
     return copies.select("doc", "row_hash", "line").union(firsts_gone)
 
 
-def dedup_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", removed_col: str = "_removed") -> DataFrame:
+def dedup_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", removed_col: str = "_removed", min_words: int = MIN_WORDS) -> DataFrame:
     """``df`` with the lines removed from ``text_col``, and their number in ``removed_col``.
 
     Other columns stay as they are. Kept lines stay in order, joined by line feeds. A null text
     stays null; empty texts and empty tables stay as they are. Rows that repeat an id and text
-    lose the same lines.
+    lose the same lines. Lines of fewer than ``min_words`` different words stay.
     """
     rows = keyed(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    gone = stored(later_matches(rows).groupBy("doc", "row_hash").agg(F.collect_set("line").alias("lines")))
+    gone = stored(later_matches(rows, min_words).groupBy("doc", "row_hash").agg(F.collect_set("line").alias("lines")))
     gone = gone.select(F.col("doc").alias("_doc"), F.col("row_hash").alias("_hash"), F.col("lines").alias("_lines"))
     same = ((F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))) == F.col("_doc"))
             & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("_hash")))

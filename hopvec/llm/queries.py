@@ -56,7 +56,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_join.dedup_lines(_docs(spark, sf_dir)).select("doc_id", "text", F.col("_removed").cast("bigint").alias("n_removed"))
+    return line_join.dedup_lines(_docs(spark, sf_dir), min_words=1).select("doc_id", "text", F.col("_removed").cast("bigint").alias("n_removed"))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

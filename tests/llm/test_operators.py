@@ -227,6 +227,24 @@ def test_line_join_is_exact(spark):
     assert line_join.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_join_of_short_lines(spark):
+    rows = [(1, "a b\n}\n \n\none two three four\nx"), (2, "}\nB  A b\n \n\none two three five\na b c"), (3, "five four three two one\nfour three two ONE\nx y\nx")]
+    got = {r.doc_id: (r.text, r._removed) for r in line_join.dedup_lines(make(spark, rows), min_words=1).collect()}
+    assert got == {1: (rows[0][1], 0), 2: (" \n\none two three five\na b c", 2), 3: ("x y", 3)}
+    rng = np.random.default_rng(3)
+    rows = [(d, "\n".join(" ".join(f"w{k}" for k in rng.integers(0, 9, rng.integers(0, 7))) for _ in range(8))) for d in range(60)]
+    seen, want = set(), {}
+    for d, text in rows:
+        keep = []
+        for line in text.split("\n"):
+            w = frozenset(WORD.findall(line))
+            if not any(9 * len(w & v) >= 4 * (len(w) + len(v)) for v in seen if w):
+                keep.append(line)
+            seen.add(w)
+        want[d] = "\n".join(keep)
+    assert {r.doc_id: r.text for r in line_join.dedup_lines(make(spark, rows), min_words=1).collect()} == want
+
+
 def test_decontamination(spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
