@@ -3,13 +3,16 @@
 Words of all documents give inverse document frequencies. Benchmark passages are cut into blocks,
 and each block's TF-IDF matrix is factorised by a randomised SVD in a task of its own; a block has
 no more passages than its rank, so latent products are the exact ones. Windows of every document are folded into each block's latent space; windows whose cosine with a passage
-reaches a bound (latent product over full TF-IDF lengths) are candidates. A candidate counts if
+reaches a bound (latent product over full TF-IDF lengths) are candidates. Short passages, for which
+windows are too sparse, have candidates wherever one of their rarest words occurs: as many words as
+any accepted copy must hold one of. A candidate counts if
 its longest common subsequence with the passage is long, or fairly long and it holds the answer.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -29,6 +32,7 @@ RANK = BLOCK             # of a block, which holds no more passages: none loses
 STRIDE = 8
 WINDOWS = (8, 16, 24, 32, 48, 64)
 MIN_COSINE = 0.45
+SHORT_WORDS = 12         # passages of so many words at most are found by their words, not by windows
 COPY_LCS = 0.8           # share of a passage found in order: a copy
 PARAPHRASE_LCS = 0.6     # enough where the answer is found as well
 ANSWER_WORDS = 8         # without an answer column the last words of an item stand for it
@@ -160,8 +164,19 @@ class Finder:
 
     def __init__(self, blocks: list[Block], idf: np.ndarray, min_cosine: float = MIN_COSINE):
         self.blocks, self.weight, self.min_cosine = blocks, idf * idf, min_cosine
-        self.windows = [np.array([min(WINDOWS, key=lambda w: (abs(w - len(t)), w)) for t in b.tokens]) for b in blocks]
+        self.windows = [np.array([0 if len(t) <= SHORT_WORDS else min(WINDOWS, key=lambda w: (abs(w - len(t)), w)) for t in b.tokens]) for b in blocks]
         self.masks = [([masks_of(t) for t in b.tokens], [masks_of(t) for t in b.answer]) for b in blocks]
+        # short passages by the words of which any accepted stretch holds one
+        self.short: dict[int, list[tuple[int, int]]] = {}
+        for no, b in enumerate(blocks):
+            for p in np.flatnonzero(self.windows[no] == 0):
+                t = b.tokens[p]
+                least = next(k for k in range(len(t) + 1) if k / len(t) >= PARAPHRASE_LCS)
+                rare = np.argsort(-self.weight[buckets(np.array(t, np.uint64))], kind="stable")[:len(t) - least + 1]
+                for w in {t[i] for i in rare}:
+                    self.short.setdefault(w, []).append((no, int(p)))
+        self.is_short = np.zeros(BUCKETS, bool)
+        self.is_short[buckets(np.array(list(self.short), np.uint64))] = True
 
     def candidates(self, h: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, int, int, int, float]]:
         """``(text, block, passage, first word, words, cosine)`` of windows that reach the bound."""
@@ -180,7 +195,7 @@ class Finder:
             row = block.row[bucket]
             inside = np.concatenate([[0], np.cumsum(np.add.reduceat(np.where(row >= 0, weight, 0.0), start))])
             wanted = []
-            for size in np.unique(self.windows[no]):
+            for size in np.unique(self.windows[no][self.windows[no] > 0]):
                 end = np.minimum(place + size // STRIDE, first[text + 1])
                 whole = (place + size // STRIDE <= first[text + 1]) | (place == first[text])
                 full = mass[end] - mass[:-1]
@@ -215,6 +230,43 @@ class Finder:
                 for w, p in zip(*np.nonzero(cosine >= self.min_cosine)):
                     yield int(text[may[w]]), no, int(own[p]), int(start[may[w]]), int(size), float(cosine[w, p])
 
+    def accepted(self, no: int, passage: int, part: list[int]) -> float:
+        """Share of the passage that a stretch holds in order, 0 if that is not enough."""
+        (masks, answers), block = self.masks[no], self.blocks[no]
+        n, answer = len(block.tokens[passage]), block.answer[passage]
+        share = lcs(masks[passage], n, part) / n
+        if share >= COPY_LCS or share >= PARAPHRASE_LCS and answer and lcs(answers[passage], len(answer), part) >= COPY_LCS * len(answer):
+            return share
+        return 0.0
+
+    def cosine(self, tokens: list[int], part: list[int]) -> float:
+        """Largest TF-IDF cosine of a passage and the stretches of its length in ``part``."""
+        own, best = Counter(tokens), 0.0
+        weight = dict(zip(set(tokens) | set(part), self.weight[buckets(np.array(list(set(tokens) | set(part)), np.uint64))].tolist()))
+        norm = lambda c: sum(weight[t] * k * k for t, k in c.items()) ** 0.5
+        for at in range(max(1, len(part) - len(tokens) + 1)):
+            c = Counter(part[at:at + len(tokens)])
+            best = max(best, sum(weight[t] * k * c[t] for t, k in own.items()) / max(1e-12, norm(own) * norm(c)))
+        return best
+
+    def find_short(self, h: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, int, float, float]]:
+        """``(text, block, passage, cosine, share)`` of short passages: every stretch of up to one and
+        a half times the passage's words that is accepted is found, wherever it begins."""
+        if not self.short:
+            return
+        done = set()
+        at = np.flatnonzero(self.is_short[buckets(h)])
+        for k, text in zip(at.tolist(), (np.searchsorted(begin, at, "right") - 1).tolist()):
+            for no, passage in self.short.get(int(h[k]), ()):
+                if (text, no, passage) in done:
+                    continue
+                tokens = self.blocks[no].tokens[passage]
+                reach = len(tokens) * 3 // 2
+                part = h[max(begin[text], k - reach + 1):min(begin[text + 1], k + reach)].tolist()
+                if share := self.accepted(no, passage, part):
+                    done.add((text, no, passage))
+                    yield text, no, passage, self.cosine(tokens, part), share
+
     def find(self, texts: list[str]) -> list[list[tuple[int, float, float]]]:
         """For each text the ``(item, cosine, share of the passage in order)`` of verified passages."""
         h, begin = tokenize(texts)
@@ -223,15 +275,15 @@ class Finder:
             by.setdefault((text, no, passage), []).append((cosine, start, size))
         out: list[list[tuple[int, float, float]]] = [[] for _ in texts]
         for (text, no, passage), windows in by.items():
-            block, (masks, answers) = self.blocks[no], self.masks[no]
-            n, answer = len(block.tokens[passage]), block.answer[passage]
+            block, n = self.blocks[no], len(self.blocks[no].tokens[passage])
             for cosine, start, size in sorted(windows, reverse=True):
                 reach = max(n, size) // 2 + STRIDE
                 part = h[max(begin[text], start - reach):min(begin[text + 1], start + size + reach)].tolist()
-                share = lcs(masks[passage], n, part) / n
-                if share >= COPY_LCS or share >= PARAPHRASE_LCS and answer and lcs(answers[passage], len(answer), part) >= COPY_LCS * len(answer):
+                if share := self.accepted(no, passage, part):
                     out[text].append((block.item[passage], cosine, share))
                     break
+        for text, no, passage, cosine, share in self.find_short(h, begin):
+            out[text].append((self.blocks[no].item[passage], cosine, share))
         return out
 
 

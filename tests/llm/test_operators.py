@@ -269,6 +269,27 @@ def test_decontamination_finds_passages_of_a_full_block(spark):
     assert got == [(i, [i]) for i, _ in items]
 
 
+def test_decontamination_of_short_items_at_all_offsets():
+    rng = np.random.default_rng(6)
+    items = [[f"c{k}" for k in rng.integers(0, 300, n)] for n in range(5, 13) for _ in range(12)]
+    idf = np.full(decontam_lsi.BUCKETS, 6.0)          # words of the texts are rarer than those of the items
+    idf[decontam_lsi.buckets(decontam_lsi.tokenize([" ".join(f"c{k}" for k in range(300))])[0])] = 2.0
+    tokens = [decontam_lsi.tokenize([" ".join(i)])[0] for i in items]
+    finder = decontam_lsi.Finder([decontam_lsi.fit_block(list(range(len(items))), tokens, [t[-8:] for t in tokens], idf, 256)], idf)
+    for offset in range(17):
+        for drop in (0, 1):       # a copy, and one word in the middle replaced where the shares allow it
+            texts, want = [], []
+            for i, item in enumerate(items):
+                gone = drop and len(item) > 5
+                text = [w if not (gone and k == len(item) // 2) else "other" for k, w in enumerate(item)]
+                texts.append(" ".join([f"r{i}x{k}" for k in range(offset)] + text + [f"r{i}y{k}" for k in range(20)]))
+                want.append(i)
+            found = finder.find(texts)
+            assert all(w in {x for x, _, _ in f} for w, f in zip(want, found)), (offset, drop)
+            assert all(0 < c <= 1.000001 for f in found for _, c, _ in f)
+    assert finder.find([" ".join(f"r{k}" for k in range(50)), ""]) == [[], []]
+
+
 def test_randomised_svd_and_lcs():
     a = np.random.default_rng(1).normal(size=(30, 12)) @ np.random.default_rng(2).normal(size=(12, 80))
     v = decontam_lsi.randomised_svd(a, 12)
