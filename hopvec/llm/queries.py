@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam_lsi, lang_fusion, license_rules, line_join, pii_bootstrap, quality_fm, quality_rules, sentencepiece_bpe, simhash_golay, warc
+from . import (decontam_lsi, lang_fusion, license_rules, line_join, merkle_manifest, pii_bootstrap, quality_fm, quality_rules, sentencepiece_bpe,
+               shingle_product, simhash_golay, spelling_variants, warc)
+from . import oracle as O
 from .common import checkpoint_dir, documents, table
 
 
@@ -68,14 +70,29 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.scan(_docs(spark, sf_dir), license_rules.Rules(spark))
 
 
+def op11_shingle_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_product.jaccard_groups(_docs(spark, sf_dir))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    picked = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    return merkle_manifest.manifest(docs, altered={"text": lowered}, where=picked)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(_docs(spark, sf_dir), damage=spelling_variants.DAMAGE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_fm, op2_simhash_golay, op3_pii_bootstrap, op4_decontam_lsi, op5_lang_fusion, op6_warc_chain,
-                                       op7_quality_rules, op8_line_join, op9_sentencepiece, op10_license_rules)}
+                                       op7_quality_rules, op8_line_join, op9_sentencepiece, op10_license_rules, op11_shingle_product, op12_merkle_manifest, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where SQL can express the result; the others have brute-force tests."""
-    return {"op6_warc_chain": OP6}
+    return {"op6_warc_chain": OP6, "op11_shingle_product": O.shingle_product(), "op12_merkle_manifest": O.merkle_manifest(), "op13_spelling_variants": O.spelling_variants()}
 
 
 OP6 = """
