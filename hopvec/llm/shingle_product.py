@@ -6,13 +6,13 @@ Columns are ordered by rarity, from counts over all documents in ``BUCKETS`` has
 gives the same result; a fine one gives few products). The product runs over blocks of columns:
 
 * the first block of a row are its rarest columns, as many as a linked row must share one of. Their
-  products name the pairs, in tiles of at most ``TILE`` rows a side, which drop pairs below the bounds of
-  size, of place (columns left) and of a parity signature of the whole row;
+  products, in cells of rows of like size, name the pairs, in tiles of about ``TILE`` rows a side, which drop pairs
+  below the bounds of size, of place (columns left) and of a parity signature of the whole row;
 * the pairs left accumulate their overlap over ``PARTS`` blocks of all columns, and go as soon as the
   count and the columns left cannot reach the bound.
 
 Equal rows are one row. Links are wanted for groups only, so rows already in one group are not
-multiplied again: a first pass multiplies each row with the first row of its columns; then tiles give links
+multiplied again: a first pass multiplies each row with the first row of its cells; then tiles give links
 that join different groups, until none is left. What passes in tiles and fails the count is kept
 apart and not tried again.
 """
@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import conf_override
 from .common import stored
 from .components import components
 from .line_join import checked_broadcast
@@ -43,6 +44,7 @@ ROUNDS = 3               # rounds of joining links; what is left then is tried p
 HOT_SHARE = 1024         # sets of more than this share of the rows are looked up by broadcast (at most so many)
 BITS = (64, 8192)        # least and greatest length of a parity signature
 MEMO = 1 << 20
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "64"}      # tiles, and pairs of whole rows, at a time in a task
 _MIX = np.random.default_rng(11).integers(1, 2**63, 4, dtype=np.uint64) | np.uint64(1)
 
 
@@ -162,22 +164,20 @@ def distance(a: list[bytes], b: list[bytes], chunk: int = 1 << 14) -> np.ndarray
     return out
 
 
-def _tile(left: list[dict], right: list[dict], joining: bool, num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs of one tile within the bounds and in different groups; with ``joining`` only as many as join all that meet."""
-    field = lambda rows, k: np.array([r[k] for r in rows], np.int64)
-    lr, rr = field(left, "rid"), field(right, "rid")
-    n, m = field(left, "n")[:, None], field(right, "n")[None, :]
-    ln, rn = n - field(left, "i")[:, None], m - field(right, "i")[None, :]
-    lg, rg = field(left, "root"), field(right, "root")
+def _tile(t: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray, joining: bool, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of one tile within the bounds and in different groups; with ``joining`` only as many as join all that meet.
+    ``left`` and ``right`` are places in the columns ``t``."""
+    n, m = t["n"][left][:, None], t["n"][right][None, :]
     least = need(n, m, num, den)
-    # a pair of two rows outside the largest group comes from both sides: once is enough
-    twice = np.array([bool(r["other"]) for r in right])[None, :] & (lr[:, None] > rr[None, :])
-    x, y = np.nonzero((lg[:, None] != rg[None, :]) & (np.minimum(ln, rn) >= least) & (np.minimum(n, m) >= least) & ~twice)
-    bound = (n[x, 0] + m[0, y] - 2 * least[x, y])
-    far = distance([left[i]["signature"] for i in x], [right[j]["signature"] for j in y])
-    ok = far <= bound
+    own = t["own"][left][:, None] | t["own"][right][None, :]         # of the cells that two rows share, one counts
+    # two rows outside the largest group meet from both sides: once is enough
+    twice = t["other"][right][None, :] & (t["rid"][left][:, None] > t["rid"][right][None, :])
+    x, y = np.nonzero((t["root"][left][:, None] != t["root"][right][None, :]) & own & ~twice & (np.minimum(n, m) >= least)
+                      & (np.minimum(t["rest"][left][:, None], t["rest"][right][None, :]) >= least))
+    x, y = left[x], right[y]
+    far = distance(t["signature"][x], t["signature"][y])
+    ok = far <= t["n"][x] + t["n"][y] - 2 * need(t["n"][x], t["n"][y], num, den)
     x, y, far = x[ok], y[ok], far[ok]
-    bad = {int(r["rid"]): set(r["bad"]) for r in left if r["bad"]}
     up: dict[int, int] = {}
 
     def top(g: int) -> int:
@@ -186,50 +186,73 @@ def _tile(left: list[dict], right: list[dict], joining: bool, num: int, den: int
         return g
 
     out = []
-    for k in np.argsort(far, kind="stable"):
-        a, b = int(lr[x[k]]), int(rr[y[k]])
-        if b in bad.get(a, ()):
+    first, second = np.minimum(t["rid"][x], t["rid"][y]), np.maximum(t["rid"][x], t["rid"][y])
+    # nearest pairs first, equals by number: tiles of other columns with the same rows choose the same links
+    for k in np.lexsort((second, first, far)):
+        bad = t["bad"][x[k]]
+        if bad is not None and t["rid"][y[k]] in bad:
             continue
         if joining:
-            g, h = top(int(lg[x[k]])), top(int(rg[y[k]]))
+            g, h = top(int(t["root"][x[k]])), top(int(t["root"][y[k]]))
             if g == h:
                 continue
             up[g] = h
-        out.append((min(a, b), max(a, b)))
+        out.append((int(first[k]), int(second[k])))
     return out
 
 
-def tile_pairs(shared: DataFrame, reps: DataFrame, groups: DataFrame, failed: DataFrame, joining: bool, num: int, den: int, tile: int = TILE) -> DataFrame:
-    """``(x, y)``: pairs of different ``groups (rid, root)`` that a column of ``shared`` (col, rid, n, i) has
-    within the bounds. In each column the rows outside its largest group meet all rows, in tiles."""
-    rows = shared.join(groups, "rid")
-    per = rows.groupBy("col", "root").agg(F.count("*").alias("k"))
-    per = per.groupBy("col").agg(F.sum("k").alias("all"), F.max(F.struct("k", "root")).alias("top")).where("all > top.k")
-    per = per.select("col", F.col("top.root").alias("main"), F.ceil((F.col("all") - F.col("top.k")) / tile).cast("int").alias("a"), F.ceil(F.col("all") / tile).cast("int").alias("b"))
+def tile_pairs(cells: DataFrame, reps: DataFrame, groups: DataFrame, failed: DataFrame, joining: bool, num: int, den: int, tile: int = TILE) -> DataFrame:
+    """``(x, y)``: pairs of different ``groups (rid, root)`` that a cell of ``cells`` has within the bounds. In
+    each cell the rows outside its largest group meet all rows, in tiles. Pairs in ``failed`` are left out."""
+    cell = ["col", "cell"]
+    rows = cells.select(*cell, "rid", "n", "i", "own").join(groups, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    per = rows.groupBy(*cell, "root").agg(F.count("*").alias("k"))
+    per = per.groupBy(*cell).agg(F.sum("k").alias("all"), F.max(F.struct("k", "root")).alias("top")).where("all > top.k")
+    per = per.select(*cell, F.col("top.root").alias("main"), F.ceil((F.col("all") - F.col("top.k")) / tile).cast("int").alias("a"), F.ceil(F.col("all") / tile).cast("int").alias("b"))
     bad = failed.select(F.col("x").alias("rid"), F.col("y").alias("z")).union(failed.select("y", "x")).groupBy("rid").agg(F.collect_list("z").alias("bad"))
-    live = stored(rows.join(per, "col").withColumn("other", F.col("root") != F.col("main")).join(reps.select("rid", "signature"), "rid").join(bad, "rid", "left"))
+    live = (rows.join(per, cell).withColumn("other", F.col("root") != F.col("main"))
+            .join(reps.select("rid", "signature"), "rid").join(bad, "rid", "left"))
+    live = stored(live.withColumn("rest", F.col("n") - F.col("i")))
     mine = lambda k: F.pmod(F.xxhash64("rid"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    cols = ["rid", "root", "n", "i", "signature", "other"]
-    left = live.where("other").select("col", mine("a").alias("p"), every("b").alias("q"), F.lit(True).alias("is_left"), F.struct(*cols, "bad").alias("row"))
-    right = live.select("col", every("a").alias("p"), mine("b").alias("q"), F.lit(False), F.struct(*cols, F.lit(None).cast("array<bigint>").alias("bad")))
-    tiles = left.union(right).groupBy("col", "p", "q").agg(F.collect_list(F.when(F.col("is_left"), F.col("row"))).alias("l"), F.collect_list(F.when(~F.col("is_left"), F.col("row"))).alias("r"))
+    row = lambda is_left: F.struct("rid", "root", "n", "rest", "signature", "own", "other", "bad", F.lit(is_left).alias("is_left")).alias("row")
+    left = live.where("other").select(*cell, mine("a").alias("p"), every("b").alias("q"), row(True))
+    right = live.select(*cell, every("a").alias("p"), mine("b").alias("q"), row(False))
+    tiles = left.union(right).groupBy(*cell, "p", "q").agg(F.collect_list("row").alias("rows")).where(F.exists("rows", lambda r: r["is_left"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for l, r in zip(b["l"], b["r"]):
-                pairs = _tile(l.as_py(), r.as_py(), joining, num, den) if len(l) and len(r) else []
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["x", "y"])
-
-    return tiles.where("size(l) > 0").select("l", "r").mapInArrow(run, "x bigint, y bigint").distinct()
-
-
-def first_pairs(shared: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """``(x, y)``: each row with the first row of each of its columns, within the bounds."""
-    firsts = shared.groupBy("col").agg(F.min(F.struct("rid", "n", "i")).alias("p"))
-    least = F.ceil(F.lit(num) * (F.col("n") + F.col("p.n")) / (num + den))
-    met = shared.join(firsts, "col").where((F.col("rid") != F.col("p.rid")) & (F.least("n", "p.n") >= least) & (F.least(F.col("n") - F.col("i"), F.col("p.n") - F.col("p.i")) >= least))
-    met = met.groupBy(F.col("p.rid").alias("x"), F.col("rid").alias("y")).agg(F.first("p.n").alias("n"), F.first("n").alias("m"))
+            ends, flat = b["rows"].offsets.to_numpy(), b["rows"].values
+            t = {k: flat.field(k).to_numpy(zero_copy_only=False) for k in ("rid", "root", "n", "rest", "signature", "own", "other", "bad", "is_left")}
+            pairs = []
+            for lo, hi in zip(ends[:-1], ends[1:]):
+                here = np.arange(lo, hi)
+                pairs += _tile(t, here[t["is_left"][lo:hi]], here[~t["is_left"][lo:hi]], joining, num, den)
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["x", "y"])
+
+    return tiles.select("rows").mapInArrow(run, "x bigint, y bigint").distinct()
+
+
+def shared_cells(reps: DataFrame, num: int, den: int) -> DataFrame:
+    """The first columns of all rows, as cells of rows of like size: col, cell, rid, n, i, own, and the cell's first row
+    (p_rid, p_n, p_i, p_own). Linked rows are in the same or the next class of size; a row is in the cell of its class (own)
+    and in the next. Cells where nothing can link are left out."""
+    size = F.floor(F.log(F.col("n").cast("double")) / -np.log(0.99 * num / den)).cast("int")      # 0.99: rounding never parts two linked rows
+    posts = reps.select(F.posexplode("first").alias("i", "col"), "rid", "n", size.alias("size"))
+    met = posts.groupBy("col").agg(F.count("*").alias("k")).where("k > 1").select("col")
+    shared = posts.join(met, "col", "left_semi")
+    cells = shared.select("col", F.explode(F.array("size", F.col("size") + 1)).alias("cell"), "rid", "n", F.col("i").cast("bigint").alias("i"), "size")
+    cells = stored(cells.withColumn("own", F.col("size") == F.col("cell")).drop("size"))
+    first = (cells.groupBy("col", "cell").agg(F.min(F.struct("rid", "n", "i", "own")).alias("p"), F.count("*").alias("k"), F.max("own").alias("some"))
+             .where("k > 1 and some").select("col", "cell", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("rid", "n", "i", "own")]))
+    return stored(cells.join(first, ["col", "cell"]))
+
+
+def first_pairs(cells: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """``(x, y)``: each row with the first row of each of its cells, within the bounds."""
+    least = F.ceil(F.lit(num) * (F.col("n") + F.col("p_n")) / (num + den))
+    met = cells.where("rid <> p_rid and (own or p_own)").where((F.least("n", "p_n") >= least) & (F.least(F.col("n") - F.col("i"), F.col("p_n") - F.col("p_i")) >= least))
+    met = met.select(F.col("p_rid").alias("x"), F.col("rid").alias("y"), F.col("p_n").alias("n"), F.col("n").alias("m")).distinct()
     sign = reps.select("rid", "signature")
     met = met.join(sign.toDF("x", "sx"), "x").join(sign.toDF("y", "sy"), "y")
 
@@ -289,24 +312,28 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den:
     rows = stored(row_table(docs, column_levels(docs, shingle), shingle, num, den))
     classes = (rows.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "row_hash", "n", "signature", "first")).alias("r"), F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     reps = stored(classes.select(F.monotonically_increasing_id().alias("rid"), "key", "least", "copies", "r.*"))
-    posts = reps.select(F.posexplode("first").alias("i", "col"), "rid", "n").select("col", "rid", "n", F.col("i").cast("bigint").alias("i"))
-    met = posts.groupBy("col").agg(F.count("*").alias("k")).where("k > 1").select("col")
-    shared = stored(posts.join(met, "col", "left_semi"))
+    cells = shared_cells(reps, num, den)
 
     def tried(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        out = stored(overlapping(docs, reps, stored(pairs), shingle, num, den))
+        with conf_override(docs.sparkSession, BATCHES):
+            out = stored(overlapping(docs, reps, stored(pairs), shingle, num, den))
         return out.where("linked").select("x", "y"), out.where("not linked").select("x", "y")
 
-    links, failed = tried(first_pairs(shared, reps, num, den))
+    links, failed = tried(first_pairs(cells, reps, num, den))
+    open_cells = cells
     for k in range(rounds + 1):
-        found = components(links.toDF("a", "b"))
-        groups = stored(shared.select("rid").distinct().join(found.withColumnRenamed("id", "rid"), "rid", "left").select("rid", F.coalesce("root", "rid").alias("root")))
+        groups = components(links.toDF("a", "b")).withColumnRenamed("id", "rid")
         # the last round takes every pair that is left
-        new = stored(tile_pairs(shared, reps, groups, failed, k < rounds, num, den, tile))
+        with conf_override(docs.sparkSession, BATCHES):
+            new = stored(tile_pairs(open_cells, reps, groups, failed, k < rounds, num, den, tile))
         if new.isEmpty():
             break
         more, worse = tried(new)
         links, failed = links.union(more), failed.union(worse)
+        # where every link that a tile gave holds, all that may link in it is joined: only cells of pairs that failed stay open
+        again = worse.select(F.explode(F.array("x", "y")).alias("rid")).distinct()
+        ids = open_cells.join(again, "rid", "left_semi").select("col", "cell").distinct()
+        open_cells = stored(open_cells.join(ids, ["col", "cell"], "left_semi"))
     roots = components(links.toDF("a", "b"))
     rooted = reps.select("rid", "key", "least", "copies").join(roots.withColumnRenamed("id", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
