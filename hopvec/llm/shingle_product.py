@@ -40,6 +40,7 @@ SLICE = 4096             # buckets that one row of counts holds
 TASKS = 256              # tasks whose counts are added together at a time
 TILE = 512
 PARTS = 8
+FIRST_BLOCK = 16         # one of so many columns is in the first block
 ROUNDS = 3               # rounds of joining links; what is left then is tried pair by pair
 HOT_SHARE = 1024         # sets of more than this share of the rows are looked up by broadcast (at most so many)
 BITS = (64, 8192)        # least and greatest length of a parity signature
@@ -321,19 +322,21 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den:
 
     links, failed = tried(first_pairs(cells, reps, num, den))
     open_cells = cells
-    for k in range(rounds + 1):
+    for k in range(rounds + 2):
         groups = components(links.toDF("a", "b")).withColumnRenamed("id", "rid")
-        # the last round takes every pair that is left
+        # a block of columns first, which joins most of what is to be joined, then all; the last round takes every pair that is left
+        block = cells.where(F.pmod(F.xxhash64("col"), F.lit(FIRST_BLOCK)) == 0) if k == 0 else open_cells
         with conf_override(docs.sparkSession, BATCHES):
-            new = stored(tile_pairs(open_cells, reps, groups, failed, k < rounds, num, den, tile))
-        if new.isEmpty():
+            new = stored(tile_pairs(block, reps, groups, failed, k <= rounds, num, den, tile))
+        if k and new.isEmpty():
             break
         more, worse = tried(new)
         links, failed = links.union(more), failed.union(worse)
-        # where every link that a tile gave holds, all that may link in it is joined: only cells of pairs that failed stay open
-        again = worse.select(F.explode(F.array("x", "y")).alias("rid")).distinct()
-        ids = open_cells.join(again, "rid", "left_semi").select("col", "cell").distinct()
-        open_cells = stored(open_cells.join(ids, ["col", "cell"], "left_semi"))
+        if k:
+            # where every link that a tile gave holds, all that may link in it is joined: only cells of pairs that failed stay open
+            again = worse.select(F.explode(F.array("x", "y")).alias("rid")).distinct()
+            ids = open_cells.join(again, "rid", "left_semi").select("col", "cell").distinct()
+            open_cells = stored(open_cells.join(ids, ["col", "cell"], "left_semi"))
     roots = components(links.toDF("a", "b"))
     rooted = reps.select("rid", "key", "least", "copies").join(roots.withColumnRenamed("id", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
