@@ -40,7 +40,6 @@ SLICE = 4096             # buckets that one row of counts holds
 TASKS = 256              # tasks whose counts are added together at a time
 TILE = 512
 PARTS = 8
-FIRST_BLOCK = 16         # one of so many columns is in the first block
 ROUNDS = 3               # rounds of joining links; what is left then is tried pair by pair
 HOT_SHARE = 1024         # sets of more than this share of the rows are looked up by broadcast (at most so many)
 BITS = (64, 8192)        # least and greatest length of a parity signature
@@ -202,9 +201,11 @@ def _tile(t: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray, joining
     return out
 
 
-def tile_pairs(cells: DataFrame, reps: DataFrame, groups: DataFrame, failed: DataFrame, joining: bool, num: int, den: int, tile: int = TILE) -> DataFrame:
+def tile_pairs(cells: DataFrame, reps: DataFrame, groups: DataFrame, failed: DataFrame, joining: bool, num: int, den: int, tile: int = TILE,
+               diagonal: bool = False) -> DataFrame:
     """``(x, y)``: pairs of different ``groups (rid, root)`` that a cell of ``cells`` has within the bounds. In
-    each cell the rows outside its largest group meet all rows, in tiles. Pairs in ``failed`` are left out."""
+    each cell the rows outside its largest group meet all rows, in tiles; with ``diagonal`` the rows of their own block.
+    Pairs in ``failed`` are left out."""
     cell = ["col", "cell"]
     rows = cells.select(*cell, "rid", "n", "i", "own").join(groups, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     per = rows.groupBy(*cell, "root").agg(F.count("*").alias("k"))
@@ -217,8 +218,8 @@ def tile_pairs(cells: DataFrame, reps: DataFrame, groups: DataFrame, failed: Dat
     mine = lambda k: F.pmod(F.xxhash64("rid"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     row = lambda is_left: F.struct("rid", "root", "n", "rest", "signature", "own", "other", "bad", F.lit(is_left).alias("is_left")).alias("row")
-    left = live.where("other").select(*cell, mine("a").alias("p"), every("b").alias("q"), row(True))
-    right = live.select(*cell, every("a").alias("p"), mine("b").alias("q"), row(False))
+    left = live.where("other").select(*cell, mine("b" if diagonal else "a").alias("p"), (mine("b") if diagonal else every("b")).alias("q"), row(True))
+    right = live.select(*cell, (mine("b") if diagonal else every("a")).alias("p"), mine("b").alias("q"), row(False))
     tiles = left.union(right).groupBy(*cell, "p", "q").agg(F.collect_list("row").alias("rows")).where(F.exists("rows", lambda r: r["is_left"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,10 +325,9 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den:
     open_cells = cells
     for k in range(rounds + 2):
         groups = components(links.toDF("a", "b")).withColumnRenamed("id", "rid")
-        # a block of columns first, which joins most of what is to be joined, then all; the last round takes every pair that is left
-        block = cells.where(F.pmod(F.xxhash64("col"), F.lit(FIRST_BLOCK)) == 0) if k == 0 else open_cells
+        # the diagonal of the tiles first, which joins most of what is to be joined, then all; the last round takes every pair that is left
         with conf_override(docs.sparkSession, BATCHES):
-            new = stored(tile_pairs(block, reps, groups, failed, k <= rounds, num, den, tile))
+            new = stored(tile_pairs(open_cells, reps, groups, failed, k <= rounds, num, den, tile, k == 0))
         if k and new.isEmpty():
             break
         more, worse = tried(new)
