@@ -43,7 +43,8 @@ PARTS = 8
 ROUNDS = 3               # rounds of joining links; what is left then is tried pair by pair
 HOT_SHARE = 1024         # sets of more than this share of the rows are looked up by broadcast (at most so many)
 BITS = (64, 8192)        # least and greatest length of a parity signature
-MEMO = 1 << 20
+MEMO = 1 << 17           # words whose hashes a task keeps
+TEXTS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024"}
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "64"}      # tiles, and pairs of whole rows, at a time in a task
 _MIX = np.random.default_rng(11).integers(1, 2**63, 4, dtype=np.uint64) | np.uint64(1)
 
@@ -92,9 +93,10 @@ def column_levels(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, total = Rows(shingle), np.zeros(BUCKETS, np.int64)
         for b in batches:
-            found = [rows.occurrences(t or "") >> np.uint64(44) for t in b["text"].to_pylist()]
-            if found:
-                total += np.bincount(np.concatenate(found).astype(np.int64), minlength=BUCKETS)
+            texts = b["text"].to_pylist()
+            for i in range(0, len(texts), 256):
+                found = np.concatenate([rows.occurrences(t or "") >> np.uint64(44) for t in texts[i:i + 256]])
+                total += np.bincount(found.view(np.int64), minlength=BUCKETS)
         parts = total.reshape(-1, SLICE)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
 
@@ -311,7 +313,8 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den:
     empty table gives an empty result. Columns are told apart by 64-bit, equal rows by 128-bit hashes.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = stored(row_table(docs, column_levels(docs, shingle), shingle, num, den))
+    with conf_override(docs.sparkSession, TEXTS):
+        rows = stored(row_table(docs, column_levels(docs, shingle), shingle, num, den))
     classes = (rows.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "row_hash", "n", "signature", "first")).alias("r"), F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     reps = stored(classes.select(F.monotonically_increasing_id().alias("rid"), "key", "least", "copies", "r.*"))
     cells = shared_cells(reps, num, den)
