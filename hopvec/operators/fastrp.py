@@ -6,35 +6,30 @@ Per hop ``t``::
     x_t(v) = x_{t-1}(v)                                  (v without in-edges)
     result = r0 * norm(x_0) + sum_t weights[t-1] * norm(x_t)
 
-Physical plan per hop (see ``explain_hop``):
-
-* the state ``(id, x, acc)`` is hash-partitioned by ``id`` into ``P`` partitions and the
-  light edges are hash-partitioned by ``src`` into the same ``P``, so the edge/state join
-  needs no exchange;
-* sources with more out-edges than ``edges / max_heavy`` ("hubs", at most ``max_heavy`` of
-  them, so at most ``max_heavy * d`` doubles) keep their edges where they were read and
-  get their state by broadcast: a hub never piles its edges into one task;
-* messages are scaled by the edge weight and summed per destination, one column for each
-  dimension up to ``COLUMNS_MAX_D`` and with ``Summarizer`` beyond (partial aggregation on
-  the map side absorbs in-degree hubs); the one exchange of the hop is that aggregate's shuffle on ``dst``;
-* the new state joins the old one by ``id`` (same partitioning, no exchange), is persisted,
-  and every ``checkpoint_interval`` hops is checkpointed into the session's checkpoint
-  folder so a lost executor replays at most that many hops.
+A vector is ``ceil(d / CHUNK)`` rows ``(id, c, v0 .. v31)`` of flat doubles, whatever ``d``: hops treat each
+dimension alone, so chunks of a vector need not lie together. Physical plan per hop (see ``explain_hop``):
+
+* parallel edges are one row ``(src, dst, weight sum, count)``, repeated for each chunk; the state is
+  hash-partitioned by ``(id, c)`` and the edges by ``(src, c)`` into the same ``P`` partitions, so the
+  edge/state join needs no exchange; hot sources are salted (``edge_layout``);
+* messages are scaled by the weight and summed per ``(dst, c)`` in one code-generated hash aggregate of 32 sums
+  (partial aggregation on the map side absorbs in-degree hubs); its shuffle is the one exchange of vectors;
+* the new state joins the old one by ``(id, c)`` (same partitioning, no exchange) and is kept in the session's
+  checkpoint folder: a lost executor replays one hop, and plans stay of one hop's size;
+* the norm of a vector of several chunks is a sum per id, one number for each chunk: hops of weight 0 have none.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.seed import sparse_seed
-from ..functions.vectors import vec_add_normalized, vec_normalize, vec_scale
-from ..session import conf_override, cut_lineage, default_parallelism, materialize
-from .graph import complete_vertices, in_degrees, out_degrees
+from ..session import conf_override, default_parallelism, fixed
+from .edge_layout import EdgeLayout, compress_edges, lay_out
+from .graph import complete_vertices
 
 MODES = ("carry", "freeze")
 
@@ -54,49 +49,64 @@ def init_vectors(vertices: DataFrame, d: int, sparsity: int = 3, init: bool = Tr
     return vertices.select(F.col("id").cast("bigint").alias("id"), x.alias("x"))
 
 
-COLUMNS_MAX_D = 512  # widest vector summed as one column per dimension
-
-
-def neighbor_mean(state: DataFrame, edges: DataFrame, heavy_edges: DataFrame | None = None,
-                  heavy_ids: DataFrame | None = None, d: int | None = None, layout: str = "auto",
-                  unit_weights: bool = False) -> DataFrame:
-    """``(id, x, n)``: weighted in-neighbour sum divided by the in-edge count ``n``, for
-    vertices with at least one in-edge. Every edge counts, also weight 0 and negative
-    weights.
-
-    ``layout="columns"`` sums one column per dimension (a code-generated hash aggregate
-    with a ``d + 1`` double buffer, exact sums); ``layout="summarizer"`` sums the
-    pre-scaled vector with ``Summarizer`` (no weight column, so every edge is counted),
-    which keeps the plan small for very wide vectors. ``auto`` picks columns up to
-    ``COLUMNS_MAX_D`` dimensions (``fastrp`` lifts ``spark.sql.codegen.maxFields`` so the
-    aggregate stays in whole-stage codegen). ``unit_weights=True`` (every weight is 1.0,
-    checked by the caller) skips the multiplication."""
-    src_state = state.select(F.col("id").alias("src"), F.col("x").alias("xs"))
-    msgs = edges.select("src", "dst", "weight").join(src_state, "src")
-    if heavy_edges is not None:
-        hub_state = F.broadcast(src_state.join(F.broadcast(heavy_ids.withColumnRenamed("id", "src")),
-                                               "src", "left_semi"))
-        msgs = msgs.unionByName(heavy_edges.select("src", "dst", "weight").join(hub_state, "src"))
-    if layout == "auto":
-        layout = "columns" if d is not None and d <= COLUMNS_MAX_D else "summarizer"
-    if layout == "columns":
-        if d is None:
-            raise ValueError("layout='columns' needs d")
-        w, xs = F.col("weight"), F.col("xs")
-        agg = msgs.groupBy("dst").agg(*[F.sum(xs[i] if unit_weights else xs[i] * w).alias(f"_s{i}")
-                                        for i in range(d)],
-                                      F.count(F.lit(1)).alias("n"))
-        n = F.col("n")
-        return agg.select(F.col("dst").alias("id"), F.array(*[F.col(f"_s{i}") / n for i in range(d)]).alias("x"), "n")
-    if layout != "summarizer":
-        raise ValueError(f"unknown layout {layout!r}")
-    scaled = F.col("xs") if unit_weights else vec_scale("xs", F.col("weight"))
-    summary = Summarizer.metrics("sum", "count").summary(array_to_vector(scaled))
-    agg = msgs.groupBy("dst").agg(summary.alias("m"))
-    n = F.col("m.count")
-    return agg.select(F.col("dst").alias("id"),
-                      F.transform(vector_to_array(F.col("m.sum")), lambda v: v / n).alias("x"),
-                      n.alias("n"))
+CHUNK = 32           # most dimensions of a row of state
+CHUNK_FIELDS = 4 * CHUNK + 16
+
+
+def n_chunks(d: int) -> int:
+    return max(1, math.ceil(d / CHUNK))
+
+
+def width(d: int) -> int:
+    """Dimensions of a row of state: narrow vectors are one row without filling."""
+    return max(1, min(d, CHUNK))
+
+
+def _names(prefix: str, d: int) -> list[str]:
+    return [f"{prefix}{i}" for i in range(width(d))]
+
+
+def chunked(vectors: DataFrame, d: int) -> DataFrame:
+    """``(id, c, v0 .., other columns)`` of ``vectors (id, x, ..)``; the last chunk is filled with zeros."""
+    others = [k for k in vectors.columns if k not in ("id", "x")]
+    rows = vectors.select("id", "x", *others, F.explode(F.sequence(F.lit(0), F.lit(n_chunks(d) - 1))).alias("c"))
+    return rows.select("id", "c", *[F.coalesce(F.get("x", F.col("c") * CHUNK + i), F.lit(0.0)).alias(v) for i, v in enumerate(_names("v", d))], *others)
+
+
+def joined_chunks(rows: DataFrame, d: int, prefix: str, *others: str) -> DataFrame:
+    """``(id, x, others)`` from chunks; ``others`` are the same in each chunk of an id."""
+    if n_chunks(d) == 1:
+        return rows.select("id", F.slice(F.array(*_names(prefix, d)), 1, d).alias("x"), *others)
+    parts = F.array_sort(F.collect_list(F.struct("c", F.array(*_names(prefix, d)).alias("x"))))
+    got = rows.groupBy("id").agg(parts.alias("p"), *[F.first(k).alias(k) for k in others])
+    return got.select("id", F.slice(F.flatten("p.x"), 1, d).alias("x"), *others)
+
+
+def edge_layout(edges: DataFrame, d: int, partitions: int, share: int | None = None) -> EdgeLayout:
+    """Layout of compressed edges with a row for each chunk."""
+    chunk = F.explode(F.sequence(F.lit(0), F.lit(n_chunks(d) - 1)))
+    return lay_out(edges, partitions, {"c": chunk}, n_chunks(d), share)
+
+
+def message_means(state: DataFrame, layout: EdgeLayout, d: int) -> DataFrame:
+    """``(id, c, m0 .., n)``: weighted in-neighbour sums over the number of in-edges, of chunks with at least one."""
+    msgs = layout.messages(state.select("id", "c", *_names("v", d)))
+    sums = [F.sum(F.col(f"v{i}") * F.col("weight")).alias(f"s{i}") for i in range(width(d))]
+    agg = msgs.groupBy("dst", "c").agg(*sums, F.sum("n").alias("n"))
+    return agg.select(F.col("dst").alias("id"), "c", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(width(d))], "n")
+
+
+def neighbor_mean(state: DataFrame, edges: DataFrame, d: int | None = None, share: int | None = None, num_partitions: int | None = None) -> DataFrame:
+    """``(id, x, n)``: weighted in-neighbour sum of ``state (id, x)`` divided by the in-edge count ``n``, for
+    vertices with at least one in-edge. Every edge counts, also weight 0 and negative weights."""
+    spark = state.sparkSession
+    if d is None:
+        first = state.select(F.size("x")).first()
+        d = int(first[0]) if first else CHUNK
+    small = fixed(compress_edges(edges))
+    layout = edge_layout(small, d, hop_partitions(spark, small.count(), d, num_partitions), share)
+    with conf_override(spark, {"spark.sql.codegen.maxFields": CHUNK_FIELDS}):
+        return fixed(joined_chunks(message_means(chunked(state.select("id", "x"), d), layout, d), d, "m", "n"))
 
 
 TARGET_PARTITION_BYTES = 512 * 1024 * 1024
@@ -113,44 +123,38 @@ def hop_partitions(spark, n_edges: int, d: int, num_partitions: int | None = Non
     return max(default_parallelism(spark), need, 1)
 
 
-def _split_hubs(edges: DataFrame, num_partitions: int, max_heavy: int, heavy_degree: int | None,
-                outdeg: DataFrame | None = None):
-    """Light edges (partitioned by src, sorted, persisted) and hub edges with the hub id
-    table. A hub has at least ``edges / min(max_heavy, partitions)`` out-edges, so there
-    are at most that many hubs and their state is a bounded broadcast."""
-    own = outdeg is None
-    if own:
-        outdeg = materialize(out_degrees(edges))           # one scan of the edges
-    n_edges = outdeg.agg(F.sum("out_degree")).first()[0] or 0
-    threshold = heavy_degree or max(1, math.ceil(n_edges / max(1, min(max_heavy, num_partitions))))
-    hubs = materialize(outdeg.filter(F.col("out_degree") >= threshold).select("id"))
-    if own:
-        outdeg.unpersist()
-    n_hubs = hubs.count()
-    if n_hubs == 0:
-        hubs.unpersist()
-        light = materialize(edges.repartition(num_partitions, "src").sortWithinPartitions("src"))
-        return light, None, None
-    if heavy_degree is None and n_hubs > max_heavy:
-        raise AssertionError("hub table exceeds its bound")
-    hub_src = F.broadcast(hubs.withColumnRenamed("id", "src"))
-    light = materialize(edges.join(hub_src, "src", "left_anti")
-                        .repartition(num_partitions, "src").sortWithinPartitions("src"))
-    heavy = materialize(edges.join(hub_src, "src", "left_semi"))
-    return light, heavy, hubs
+def _add_normalized(acc: DataFrame | None, state: DataFrame, weight: float, d: int, only: Column | None = None) -> DataFrame:
+    """``(id, c, a0 ..)``: ``acc`` plus ``weight`` times the normalised vectors of ``state`` (where ``only`` holds)."""
+    square = sum((F.col(v) * F.col(v) for v in _names("v", d)), F.lit(0.0))
+    if n_chunks(d) == 1:
+        rows = state.withColumn("norm", F.sqrt(square))
+    else:
+        norms = state.groupBy("id").agg(F.sqrt(F.sum(square)).alias("norm"))
+        norms = norms.select("id", "norm", F.explode(F.sequence(F.lit(0), F.lit(n_chunks(d) - 1))).alias("c"))
+        rows = state.join(norms, ["id", "c"])
+    factor = F.when(F.col("norm") != 0, F.lit(weight) / F.col("norm")).otherwise(F.lit(weight))
+    if only is not None:
+        factor = F.when(only, factor).otherwise(F.lit(0.0))
+    rows = rows.withColumn("factor", factor)
+    step = [F.col(f"v{i}") * F.col("factor") for i in range(width(d))]
+    if acc is not None:
+        rows = rows.join(acc, ["id", "c"])
+        step = [F.col(f"a{i}") + t for i, t in enumerate(step)]
+    return rows.select("id", "c", *[t.alias(f"a{i}") for i, t in enumerate(step)])
 
 
 def fastrp(vertices: DataFrame, edges: DataFrame, d: int, weights, sparsity: int = 3,
            r0: float = 0.0, init: bool = True, mode: str = "carry", rng: str = "java",
-           x_col: str = "x", num_partitions: int | None = None, checkpoint_interval: int = 3,
-           max_heavy: int = 4096, heavy_degree: int | None = None, layout: str = "auto") -> DataFrame:
+           x_col: str = "x", num_partitions: int | None = None,
+           share: int | None = None) -> DataFrame:
     """FastRP embeddings ``(id, x array<double>)`` for every vertex of the graph (given
     vertices plus all edge endpoints).
 
     ``mode="carry"``: a vertex without in-edges keeps its vector and adds
     ``weights[t] * norm(x_0)`` every hop. ``mode="freeze"``: such a vertex only gets
     ``r0 * norm(x_0)``. Both agree when every vertex has an in-edge. A null weight counts as 1.0;
-    of several vertex rows of an id one stays (see ``complete_vertices``).
+    of several vertex rows of an id one stays (see ``complete_vertices``). ``share``: rows of a source and
+    chunk that may lie in one task, by default an even share of all.
     """
     weights = [float(w) for w in weights]
     if not weights:
@@ -161,70 +165,35 @@ def fastrp(vertices: DataFrame, edges: DataFrame, d: int, weights, sparsity: int
     while weights and weights[-1] == 0.0:   # trailing zero hops add nothing
         weights.pop()
 
-    # the input edge table (often a join or a union) is computed once: degrees, the vertex
-    # set and the hub split all read this copy
-    edges = materialize(edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"),
-                                     F.coalesce(F.col("weight").cast("double"), F.lit(1.0)).alias("weight")))
-    outdeg = materialize(out_degrees(edges))
-    n_edges = outdeg.agg(F.sum("out_degree")).first()[0] or 0
-    P = hop_partitions(spark, n_edges, d, num_partitions)
-    wmin, wmax = edges.agg(F.min("weight"), F.max("weight")).first()
-    unit = n_edges > 0 and wmin == 1.0 and wmax == 1.0
+    # the input edge table (often a join or a union) is computed and compressed once; degrees, the vertex
+    # set and the layout read this copy
+    edges = fixed(compress_edges(edges))
+    P = hop_partitions(spark, edges.count(), d, num_partitions)
     verts = complete_vertices(vertices if x_col in vertices.columns else vertices.select("id"), edges)
     x0 = init_vectors(verts, d, sparsity, init, x_col, rng)
-    acc0 = (vec_normalize("x", r0) if r0 != 0.0 else F.array_repeat(F.lit(0.0), F.size("x")))
-    state = x0.select("id", "x", acc0.alias("acc"))
+    only, rest = None, []
     if mode == "freeze":
-        has_in = in_degrees(edges).select("id", F.lit(True).alias("has_in"))
-        state = state.join(has_in, "id", "left").select(
-            "id", "x", "acc", F.coalesce("has_in", F.lit(False)).alias("has_in"))
-    state = materialize(state.repartition(P, "id"))
-    if not weights:
-        outdeg.unpersist()
-        edges.unpersist()
-        out = cut_lineage(state.select("id", F.col("acc").alias("x")))
-        state.unpersist()
-        return out
-
-    light, heavy, hubs = _split_hubs(edges, P, max_heavy, heavy_degree, outdeg)
-    outdeg.unpersist()
-    edges.unpersist()
-    max_fields = max(int(spark.conf.get("spark.sql.codegen.maxFields", "100")), d + 64)
+        has_in = edges.select(F.col("dst").alias("id")).distinct().withColumn("has_in", F.lit(True))
+        x0 = x0.join(has_in, "id", "left").withColumn("has_in", F.coalesce("has_in", F.lit(False)))
+        only, rest = F.col("has_in"), ["has_in"]
+    every = range(width(d))
     # the message aggregate shuffles into the state's P partitions, so the state join needs no exchange
-    with conf_override(spark, {"spark.sql.codegen.maxFields": max_fields, "spark.sql.shuffle.partitions": P}):
-        for t, w in enumerate(weights, start=1):
-            msg = neighbor_mean(state, light, heavy, hubs, d, layout, unit).select("id", F.col("x").alias("xm"))
-            joined = state.join(msg, "id", "left")
-            x_new = F.coalesce(F.col("xm"), F.col("x"))
-            if w == 0.0:
-                acc_new = F.col("acc")
-            elif mode == "carry":
-                acc_new = vec_add_normalized("acc", x_new, w)
-            else:  # freeze: only vertices that receive messages are updated
-                acc_new = F.when(F.col("has_in"), vec_add_normalized("acc", x_new, w)).otherwise(F.col("acc"))
-            cols = [F.col("id"), x_new.alias("x"), acc_new.alias("acc")]
-            if mode == "freeze":
-                cols.append(F.col("has_in"))
-            nxt = materialize(joined.select(*cols))
-            if checkpoint_interval and t % checkpoint_interval == 0 and t < len(weights):
-                nxt_ck = cut_lineage(nxt)
-                nxt.unpersist()
-                nxt = materialize(nxt_ck)
-            state.unpersist()
-            state = nxt
-    # the result is written to the checkpoint folder: it survives executor loss, holds no
-    # cache and its plan does not carry the hop lineage
-    out = cut_lineage(state.select("id", F.col("acc").alias("x")))
-    for df in (light, heavy, hubs, state):
-        if df is not None:
-            df.unpersist()
-    return out
-
-
-def explain_hop(state: DataFrame, light: DataFrame, heavy=None, hubs=None, d: int | None = None,
-                mode: str = "formatted") -> str:
-    """Physical plan of one hop's message step (for inspection)."""
-    msg = neighbor_mean(state, light, heavy, hubs, d)
-    plan = state.join(msg.select("id", F.col("x").alias("xm")), "id", "left")
+    with conf_override(spark, {"spark.sql.codegen.maxFields": CHUNK_FIELDS, "spark.sql.shuffle.partitions": P}):
+        state = fixed(chunked(x0, d).repartition(P, "id", "c"))
+        layout = edge_layout(edges, d, P, share) if weights else None
+        acc = fixed(_add_normalized(None, state, r0, d)) if r0 != 0.0 else None
+        for w in weights:
+            new = state.join(message_means(state, layout, d).drop("n"), ["id", "c"], "left")
+            state = fixed(new.select("id", "c", *[F.coalesce(f"m{i}", f"v{i}").alias(f"v{i}") for i in every], *rest))
+            if w != 0.0:   # freeze: only vertices that receive messages are updated
+                acc = fixed(_add_normalized(acc, state, w, d, only))
+        if acc is None:
+            acc = state.select("id", "c", *[F.lit(0.0).alias(f"a{i}") for i in every])
+        return fixed(joined_chunks(acc, d, "a"))
+
+
+def explain_hop(state: DataFrame, layout: EdgeLayout, d: int, mode: str = "formatted") -> str:
+    """Physical plan of one hop (for inspection), ``state`` in chunks."""
+    plan = state.join(message_means(state, layout, d), ["id", "c"], "left")
     return plan._jdf.queryExecution().explainString(
         plan.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))

@@ -11,65 +11,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import conf_override, cut_lineage, materialize
-from .fastrp import _split_hubs, hop_partitions
-from .graph import out_degrees, vertices_from_edges
+from ..session import conf_override, fixed
+from .edge_layout import compress_edges, lay_out
+from .fastrp import hop_partitions
+from .graph import vertices_from_edges
 
 
 def pagerank(edges: DataFrame, num_iter: int = 5, reset: float = 0.0, num_partitions: int | None = None,
-             checkpoint_interval: int = 3, max_heavy: int = 4096, heavy_degree: int | None = None) -> DataFrame:
-    """``(id, rank)`` for every endpoint of ``edges``."""
+             share: int | None = None) -> DataFrame:
+    """``(id, rank)`` for every endpoint of ``edges``. Parallel edges are shipped once, with their number; sources
+    with more than ``share`` rows (by default an even share) are salted (see ``edge_layout``)."""
     spark = edges.sparkSession
-    e = materialize(edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")))  # input computed once
-    outdeg = materialize(out_degrees(e))
-    n_edges = outdeg.agg(F.sum("out_degree")).first()[0] or 0
-    P = hop_partitions(spark, n_edges, 1, num_partitions)
-    weighted = e.join(outdeg.withColumnRenamed("id", "src"), "src").select(
-        "src", "dst", (F.lit(1.0) / F.col("out_degree")).alias("weight"))
-    verts = materialize(vertices_from_edges(e).repartition(P, "id"))
-    light, heavy, hubs = _split_hubs(weighted, P, max_heavy, heavy_degree, outdeg)
-    outdeg.unpersist()
-    e.unpersist()
-
-    ranks = materialize(verts.select("id", F.lit(1.0).alias("rank")))
+    e = fixed(compress_edges(edges.select("src", "dst").withColumn("weight", F.lit(1.0))))  # input computed once
+    P = hop_partitions(spark, e.count(), 1, num_partitions)
+    outdeg = e.groupBy("src").agg(F.sum("n").alias("out"))
+    weighted = fixed(e.join(outdeg, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("weight")))
     with conf_override(spark, {"spark.sql.shuffle.partitions": P}):
-        ranks = _iterate(ranks, verts, light, heavy, hubs, num_iter, reset, checkpoint_interval)
-    return _normalized(ranks, [light, heavy, hubs, verts])
-
-
-def _iterate(ranks, verts, light, heavy, hubs, num_iter, reset, checkpoint_interval):
-    for t in range(1, num_iter + 1):
-        src_rank = ranks.select(F.col("id").alias("src"), F.col("rank").alias("r"))
-        contrib = light.join(src_rank, "src").select("dst", (F.col("r") * F.col("weight")).alias("c"))
-        if heavy is not None:
-            hub_rank = F.broadcast(src_rank.join(F.broadcast(hubs.withColumnRenamed("id", "src")), "src", "left_semi"))
-            contrib = contrib.unionByName(
-                heavy.join(hub_rank, "src").select("dst", (F.col("r") * F.col("weight")).alias("c")))
-        sums = contrib.groupBy(F.col("dst").alias("id")).agg(F.sum("c").alias("s"))
-        nxt = verts.join(sums, "id", "left").select(
-            "id", (F.lit(reset) + F.lit(1.0 - reset) * F.coalesce(F.col("s"), F.lit(0.0))).alias("rank"))
-        nxt = materialize(nxt)
-        if checkpoint_interval and t % checkpoint_interval == 0 and t < num_iter:
-            ck = cut_lineage(nxt)
-            nxt.unpersist()
-            nxt = materialize(ck)
-        ranks.unpersist()
-        ranks = nxt
-    return ranks
-
-
-def _normalized(ranks, cached):
+        layout = lay_out(weighted, P, share=share)
+        verts = fixed(vertices_from_edges(e).repartition(P, "id"))
+        ranks = verts.select("id", F.lit(1.0).alias("rank"))
+        for _ in range(num_iter):
+            contrib = layout.messages(ranks).select("dst", (F.col("rank") * F.col("weight")).alias("c"))
+            sums = contrib.groupBy(F.col("dst").alias("id")).agg(F.sum("c").alias("s"))
+            ranks = fixed(verts.join(sums, "id", "left").select(
+                "id", (F.lit(reset) + F.lit(1.0 - reset) * F.coalesce(F.col("s"), F.lit(0.0))).alias("rank")))
+        return _normalized(ranks)
+
+
+def _normalized(ranks: DataFrame) -> DataFrame:
     # one global aggregate, two numbers to the driver
     tot = ranks.agg(F.sum("rank").alias("s"), F.count(F.lit(1)).alias("n")).first()
     if not tot["n"]:
         factor = 1.0                                     # no vertices: nothing to scale
     else:
         factor = float("inf") if tot["s"] == 0 else float(tot["n"]) / float(tot["s"])
-    out = cut_lineage(ranks.select("id", (F.col("rank") * F.lit(factor)).alias("rank")))
-    for df in cached + [ranks]:
-        if df is not None:
-            df.unpersist()
-    return out
+    return fixed(ranks.select("id", (F.col("rank") * F.lit(factor)).alias("rank")))
 
 
 def top_ranked(ranks: DataFrame, n: int = 25) -> DataFrame:

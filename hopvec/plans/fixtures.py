@@ -16,6 +16,7 @@ from ..operators.ordered import global_row_number
 # 2^40 keys of a kind (some five million times scale factor 1).
 PART_OFFSET = 1 << 40
 SUPP_OFFSET = 1 << 41
+NATION_OFFSET = 1 << 42
 
 URL_HOST_PATTERN = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)"
 
@@ -51,6 +52,19 @@ def edges_sc(spark, sf_dir) -> DataFrame:
                     F.col("o_custkey").cast("bigint").alias("dst"), F.lit(1.0).alias("weight")))
 
 
+def edges_hub(spark, sf_dir) -> DataFrame:
+    """customer's nation -> part -> customer's nation, one edge each way per line item, weight line number - 3: a few
+    sources with a large share of the edges, many parallel edges, weights of 0 and below."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    nation = (F.lit(NATION_OFFSET) + F.col("c_nationkey")).cast("bigint")
+    part = (F.lit(PART_OFFSET) + F.col("l_partkey")).cast("bigint")
+    rows = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == F.col("c_custkey")).select(
+        nation.alias("src"), part.alias("dst"), (F.col("l_linenumber") - 3).cast("double").alias("weight"))
+    return rows.unionByName(rows.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+
+
 def names_c(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("id"),
                                                    F.col("c_name").alias("name"))

@@ -12,7 +12,7 @@ import math
 
 from ..functions.seed import LCG_MASK, LCG_MULTIPLIER, lcg_tables
 from ..operators.knn import lsh_matrix
-from .fixtures import PART_OFFSET, SUPP_OFFSET, URL_HOST_PATTERN
+from .fixtures import NATION_OFFSET, PART_OFFSET, SUPP_OFFSET, URL_HOST_PATTERN
 
 
 def R(expr: str, digits: int = 6) -> str:
@@ -25,6 +25,9 @@ EDGES_PS = (f"SELECT ({PART_OFFSET} + l_partkey)::BIGINT AS src, ({SUPP_OFFSET}
             "1.0::DOUBLE AS weight FROM lineitem")
 EDGES_SC = (f"SELECT ({SUPP_OFFSET} + l.l_suppkey)::BIGINT AS src, o.o_custkey::BIGINT AS dst, 1.0::DOUBLE AS weight "
             "FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey")
+_HUB = (f"SELECT ({NATION_OFFSET} + c_nationkey)::BIGINT AS src, ({PART_OFFSET} + l_partkey)::BIGINT AS dst, (l_linenumber - 3)::DOUBLE AS weight "
+        "FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey")
+EDGES_HUB = f"SELECT src, dst, weight FROM ({_HUB}) UNION ALL SELECT dst, src, weight FROM ({_HUB})"
 SYM_CP = f"SELECT src, dst, weight FROM ({EDGES_CP}) UNION ALL SELECT dst, src, weight FROM ({EDGES_CP})"
 NAMES_C = "SELECT c_custkey::BIGINT AS id, c_name AS name FROM customer"
 NAMES_CP = f"{NAMES_C} UNION ALL SELECT ({PART_OFFSET} + p_partkey)::BIGINT, p_name FROM part"

@@ -24,6 +24,8 @@ from . import fixtures as fx
 from . import oracle as O
 
 D_SEED = 8          # seed / FastRP width in the checks (SURVEY section 5)
+D_WIDE = 576
+HUB_PARTITIONS = 64
 D_VEC = 64          # width of the embeddings table
 FASTRP_WEIGHTS = [0.0, 1.0, 0.5]
 FASTRP_R0 = 0.25
@@ -163,6 +165,25 @@ def q_fastrp_init(spark, sf):
     return _long(fastrp(v, e, D_VEC, [0.75, 0.5, 0.25], r0=1.0, init=True))
 
 
+def q_fastrp_hubs(spark, sf):
+    """A few sources hold most edges: at 64 partitions each is dealt to several tasks."""
+    e = fx.edges_hub(spark, sf)
+    return _long(fastrp(G.vertices_from_edges(e), e, D_SEED, FASTRP_WEIGHTS, r0=FASTRP_R0, num_partitions=HUB_PARTITIONS))
+
+
+def q_fastrp_wide(spark, sf):
+    """576 dimensions; of each 32 the sum of the values times 1 to 32 (and 0.73.., so that no sum lies between two rounded values)."""
+    e = fx.edges_cp(spark, sf)
+    emb = fastrp(G.vertices_from_edges(e), e, D_WIDE, [0.5, 1.0])
+    block = long_form(emb, "id", "x", None).withColumn("t", F.col("val") * (1 + F.col("pos") % 32) * 0.7310585786)
+    return block.groupBy("id", F.floor(F.col("pos") / 32).cast("int").alias("block")).agg(rnd(F.sum("t")).alias("val"))
+
+
+def q_pagerank_hubs(spark, sf):
+    r = pagerank(fx.edges_hub(spark, sf), PAGERANK_ITERS, 0.15, num_partitions=HUB_PARTITIONS)
+    return r.select("id", rnd("rank").alias("rank"))
+
+
 def q_pagerank(spark, sf):
     e = _edges_dir(spark, sf).unionByName(fx.edges_sc(spark, sf))
     return pagerank(e, PAGERANK_ITERS, 0.0).select("id", rnd("rank").alias("rank"))
@@ -391,6 +412,10 @@ def oracle_sql() -> dict:
                                      FASTRP_WEIGHTS, FASTRP_R0, "freeze"),
         "fastrp_symmetric": _sql_fastrp(sym, O.sparse_seed_long(O.vertices_of(sym), D_SEED), [0.0, 1.0, 1.0], 0.0),
         "fastrp_init": _sql_fastrp(sym, _x0_customers_sql(sym, D_VEC), [0.75, 0.5, 0.25], 1.0),
+        "fastrp_hubs": _sql_fastrp(O.EDGES_HUB, O.sparse_seed_long(O.vertices_of(O.EDGES_HUB), D_SEED), FASTRP_WEIGHTS, FASTRP_R0),
+        "fastrp_wide": ("SELECT id, (pos // 32)::INTEGER AS block, " + O.R("sum(val * (1 + pos % 32) * 0.7310585786)") + " AS val FROM ("
+                        + O.fastrp_long(cp, O.sparse_seed_long(O.vertices_of(cp), D_WIDE), [0.5, 1.0]) + ") GROUP BY id, pos // 32"),
+        "pagerank_hubs": f"SELECT id, {O.R('rank')} AS rank FROM ({O.pagerank_sql(O.EDGES_HUB, PAGERANK_ITERS, 0.15)})",
         "pagerank": f"SELECT id, {O.R('rank')} AS rank FROM ({O.pagerank_sql(_EDGES_ALL_SQL, PAGERANK_ITERS)})",
         "pagerank_top25": (f"SELECT id, {O.R('rank')} AS rank FROM ({O.pagerank_sql(_EDGES_ALL_SQL, PAGERANK_ITERS)}) "
                            "ORDER BY rank DESC, id LIMIT 25"),
@@ -517,6 +542,9 @@ def queries() -> dict:
         "fastrp_freeze": q_fastrp_freeze,
         "fastrp_symmetric": q_fastrp_symmetric,
         "fastrp_init": q_fastrp_init,
+        "fastrp_hubs": q_fastrp_hubs,
+        "fastrp_wide": q_fastrp_wide,
+        "pagerank_hubs": q_pagerank_hubs,
         "pagerank": q_pagerank,
         "pagerank_top25": q_pagerank_top25,
         "column_stats": q_column_stats,

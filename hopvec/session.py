@@ -118,3 +118,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (never a local checkpoint)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared checkpoint folder, in its partitions. Its plan is a leaf: a loop
+    that reads the last iterate several times does not grow, and lost executors recompute nothing before it."""
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    # the copy is a plain scan; planned without AQE it tells its partitioning, and later joins need no exchange
+    with conf_override(df.sparkSession, {"spark.sql.adaptive.enabled": "false"}):
+        out = cut_lineage(held)
+    held.unpersist()
+    return out

@@ -3,7 +3,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from hopvec.operators.fastrp import fastrp, neighbor_mean
+from hopvec.operators.edge_layout import compress_edges, even_share, lay_out, salt_counts
+from hopvec.operators.fastrp import fastrp, init_vectors, neighbor_mean
 from hopvec.operators.graph import (complete_vertices, dedupe_edges, degrees, drop_isolated, graph_summary,
                                     induced_subgraph, symmetrize, vertices_from_edges)
 from hopvec.operators.pagerank import pagerank, top_ranked
@@ -71,7 +72,7 @@ def test_fastrp_properties(spark):
     e = symmetrize(_edges_cp(spark, "/root/testdata/sf0.001"))
     v = vertices_from_edges(e)
     base = _emb(fastrp(v, e, 8, [0.0, 1.0, 1.0]))
-    hub = _emb(fastrp(v, e, 8, [0.0, 1.0, 1.0], heavy_degree=5, num_partitions=3))
+    hub = _emb(fastrp(v, e, 8, [0.0, 1.0, 1.0], share=5, num_partitions=3))
     assert base == hub
     a = _emb(fastrp(v, e, 8, [0.0, 1.0, 0.0]))
     b = _emb(fastrp(v, e, 8, [0.0, 0.0, 1.0]))
@@ -128,8 +129,8 @@ def test_pagerank_fixture(spark):
     e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 1, 1.0), (3, 4, 1.0), (5, 1, 1.0), (1, 2, 1.0)], E_SCHEMA)
     r = {x.id: round(x.rank, 6) for x in pagerank(e, 5, 0.0).collect()}
     assert r == {1: 0.714286, 2: 2.142857, 3: 1.428571, 4: 0.714286, 5: 0.0}
-    hub = {x.id: round(x.rank, 6) for x in pagerank(e, 5, 0.0, heavy_degree=2, num_partitions=3).collect()}
-    assert hub == r                                      # hub sources (1 and 3) by broadcast
+    hub = {x.id: round(x.rank, 6) for x in pagerank(e, 5, 0.0, share=2, num_partitions=3).collect()}
+    assert hub == r                                      # sources 1 and 3 are salted
     top = [x.id for x in top_ranked(pagerank(e, 5, 0.0), 2).collect()]
     assert top == [2, 3]
     dag = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0)], E_SCHEMA)
@@ -146,14 +147,18 @@ def test_empty_graphs(spark):
     assert _emb(fastrp(v, e, 2, [1.0], r0=0.5)) == {1: [1.5, 0.0]}
 
 
-def test_layouts_agree(spark):
-    """Per-dimension columns and the Summarizer layout (used above 512 dimensions) agree."""
+def test_chunks_agree_with_narrow_vectors(spark):
+    """Dimensions are independent but for the norm: 70 given dimensions (three chunks, the last filled) with zeros beyond the
+    first 8 give the result of 8 dimensions."""
     e = symmetrize(_edges_cp(spark, "/root/testdata/sf0.001"))
-    v = vertices_from_edges(e)
-    a = _emb(fastrp(v, e, 8, [0.0, 1.0, 0.5], r0=0.1, layout="columns"))
-    b = _emb(fastrp(v, e, 8, [0.0, 1.0, 0.5], r0=0.1, layout="summarizer"))
-    assert a.keys() == b.keys()
-    assert all(abs(x - y) < 2e-6 for k in a for x, y in zip(a[k], b[k]))
+    v = init_vectors(vertices_from_edges(e), 8)
+    wide = v.select("id", F.concat("x", F.array_repeat(F.lit(0.0), 62)).alias("x"))
+    for mode in ("carry", "freeze"):
+        a = _emb(fastrp(v, e, 8, [0.0, 1.0, 0.5], r0=0.1, mode=mode))
+        b = _emb(fastrp(wide, e, 70, [0.0, 1.0, 0.5], r0=0.1, mode=mode, share=7, num_partitions=5))
+        assert a.keys() == b.keys()
+        assert all(len(b[k]) == 70 and not any(b[k][8:]) and all(abs(x - y) < 2e-6 for x, y in zip(a[k], b[k])) for k in a)
+    v, a = vertices_from_edges(e), _emb(fastrp(vertices_from_edges(e), e, 8, [0.0, 1.0, 0.5]))
     h = _emb(fastrp(v, e, 8, [1.0], rng="hash"))
     assert h.keys() == a.keys() and h != _emb(fastrp(v, e, 8, [1.0]))
 
@@ -201,19 +206,45 @@ def test_fastrp_against_numpy(spark, seed):
             assert np.allclose(got[i], want[i], atol=2e-6), (mode, i, got[i], want[i])
 
 
-def test_star_hub_detected_and_exact(spark):
-    """A source holding half of all edges is split out automatically; results are unchanged."""
-    from hopvec.operators.fastrp import _split_hubs
+def test_salts_keep_tasks_even(spark):
+    """No source and salt holds more than an even share, at any number of partitions; in fact too."""
+    degrees = [3_000_000, 40_000, 5000] + [7] * 20_000
+    for partitions in (8, 4096, 4097, 20_000, 100_000):
+        share = even_share(sum(degrees), partitions)
+        table = spark.createDataFrame(list(enumerate(degrees)), "src long, rows long")
+        salts = {r.src: r.salts for r in salt_counts(table, share).collect()}
+        assert sum(salts.values()) < 2 * partitions
+        assert all(math.ceil(n / salts.get(k, 1)) <= share for k, n in enumerate(degrees))
+    hub = spark.range(1, 4001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("weight"))
+    rest = spark.range(1, 4001).select(F.col("id").alias("src"), (F.col("id") % 4000 + 1).alias("dst"), F.lit(1.0).alias("weight"))
+    layout = lay_out(hub.union(rest), 8)
+    assert layout.salts.count() == 3 and {r.src for r in layout.salts.collect()} == {0}
+    counts = [sum(1 for _ in p) for df in (layout.light, layout.heavy) for p in df.rdd.glom().collect()]
+    cells = [r["count"] for r in layout.heavy.groupBy("src", "salt").count().collect()] + [layout.light.where("src = 0").count()]
+    assert sum(counts) == 8000 and max(cells) < 1.2 * 1000
+    assert max(counts) < 2.5 * 1000
+
+
+def test_star_hub_is_exact(spark):
+    """A source holding half of all edges is salted automatically; results are unchanged."""
     edges = [(0, i, 1.0) for i in range(1, 201)] + [(i, i % 200 + 1, 1.0) for i in range(1, 201)]
     e = spark.createDataFrame(edges, E_SCHEMA)
-    light, heavy, hubs = _split_hubs(e, 8, 4096, None)
-    assert heavy is not None and [r.id for r in hubs.collect()] == [0] and heavy.count() == 200
     v = vertices_from_edges(e)
+    assert lay_out(e, 8).heavy is not None and lay_out(e, 8, share=10 ** 9).heavy is None
     auto = _emb(fastrp(v, e, 4, [1.0, 1.0], num_partitions=8))
-    plain = _emb(fastrp(v, e, 4, [1.0, 1.0], num_partitions=8, heavy_degree=10 ** 9))
+    plain = _emb(fastrp(v, e, 4, [1.0, 1.0], num_partitions=8, share=10 ** 9))
     assert auto == plain
 
 
+def test_parallel_edges_are_shipped_once(spark):
+    """Weights of 0 and below and null weights keep their count when parallel edges become one row."""
+    e = spark.createDataFrame([(1, 2, 2.0), (1, 2, -3.0), (1, 2, 0.0), (3, 2, None), (3, 2, 1.0), (2, 2, 4.0)], "src long, dst long, weight double")
+    assert {(r.src, r.dst): (r.weight, r.n) for r in compress_edges(e).collect()} == {(1, 2): (-1.0, 3), (3, 2): (2.0, 2), (2, 2): (4.0, 1)}
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 3.0]), (3, [5.0, 1.0])], V_SCHEMA)
+    m = {r.id: (r.x, r.n) for r in neighbor_mean(v, e).collect()}
+    assert m == {2: ([(-1.0 + 10.0) / 6, (2.0 + 12.0) / 6], 6)}
+
+
 def test_pagerank_against_numpy(spark):
     import numpy as np
     rng = np.random.default_rng(7)

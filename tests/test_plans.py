@@ -1,12 +1,11 @@
 """Plan-shape checks: the properties the scale design relies on."""
 
-from pyspark.sql import functions as F
-
 from hopvec.operators import fastrp as FR
+from hopvec.operators.edge_layout import compress_edges
 from hopvec.operators.graph import symmetrize, vertices_from_edges
 from hopvec.operators.knn import knn_by_name
 from hopvec.plans import fixtures as fx
-from hopvec.session import conf_override, materialize
+from hopvec.session import conf_override, fixed
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,13 +30,11 @@ def _walk(node):
 def test_fastrp_hop_has_one_exchange(spark):
     with conf_override(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
         e = symmetrize(fx.edges_cp(spark, SF))
-        P = 5
-        st = materialize(FR.init_vectors(vertices_from_edges(e), 8)
-                         .select("id", "x", F.col("x").alias("acc")).repartition(P, "id"))
-        light, heavy, hubs = FR._split_hubs(e, P, 4096, None)
+        P, d = 5, 40
         with conf_override(spark, {"spark.sql.shuffle.partitions": P}):
-            msg = FR.neighbor_mean(st, light, heavy, hubs, 8).select("id", F.col("x").alias("xm"))
-            j = st.join(msg, "id", "left")
+            st = fixed(FR.chunked(FR.init_vectors(vertices_from_edges(e), d), d).repartition(P, "id", "c"))
+            layout = FR.edge_layout(fixed(compress_edges(e)), d, P, share=10**9)
+            j = st.join(FR.message_means(st, layout, d), ["id", "c"], "left")
             j.collect()
             plan = j._jdf.queryExecution().executedPlan().toString()
     nodes = list(_walk(j._jdf.queryExecution().executedPlan()))
@@ -45,11 +42,9 @@ def test_fastrp_hop_has_one_exchange(spark):
     shuffles = [node.toString() for n, node in nodes if n == "ShuffleExchangeExec"]
     assert len(shuffles) == 1 and "hashpartitioning(dst" in shuffles[0], plan
     assert any(n == "SortMergeJoinExec" for n in names)
-    # sorts: the state for each of its two joins and the messages; the cached light edges
-    # keep their order (a fourth sort would mean they are re-sorted every hop)
+    # sorts: the state for each of its two joins and the messages; the edges keep their order (a fourth sort
+    # would mean they are sorted again every hop)
     assert names.count("SortExec") == 3, names
-    for df in (st, light):
-        df.unpersist()
 
 
 def test_knn_by_name_limits_before_shuffle(spark):
