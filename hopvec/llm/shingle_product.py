@@ -213,25 +213,33 @@ def tile_pairs(cells: DataFrame, reps: DataFrame, groups: DataFrame, failed: Dat
     per = rows.groupBy(*cell, "root").agg(F.count("*").alias("k"))
     per = per.groupBy(*cell).agg(F.sum("k").alias("all"), F.max(F.struct("k", "root")).alias("top")).where("all > top.k")
     per = per.select(*cell, F.col("top.root").alias("main"), F.ceil((F.col("all") - F.col("top.k")) / tile).cast("int").alias("a"), F.ceil(F.col("all") / tile).cast("int").alias("b"))
+    if diagonal:
+        per = per.where("b > 1")        # a cell of one tile is looked at once, with all others
     bad = failed.select(F.col("x").alias("rid"), F.col("y").alias("z")).union(failed.select("y", "x")).groupBy("rid").agg(F.collect_list("z").alias("bad"))
     live = (rows.join(per, cell).withColumn("other", F.col("root") != F.col("main"))
             .join(reps.select("rid", "signature"), "rid").join(bad, "rid", "left"))
     live = stored(live.withColumn("rest", F.col("n") - F.col("i")))
     mine = lambda k: F.pmod(F.xxhash64("rid"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    row = lambda is_left: F.struct("rid", "root", "n", "rest", "signature", "own", "other", "bad", F.lit(is_left).alias("is_left")).alias("row")
-    left = live.where("other").select(*cell, mine("b" if diagonal else "a").alias("p"), (mine("b") if diagonal else every("b")).alias("q"), row(True))
-    right = live.select(*cell, (mine("b") if diagonal else every("a")).alias("p"), mine("b").alias("q"), row(False))
-    tiles = left.union(right).groupBy(*cell, "p", "q").agg(F.collect_list("row").alias("rows")).where(F.exists("rows", lambda r: r["is_left"]))
+    row = lambda left, right: F.struct("rid", "root", "n", "rest", "signature", "own", "other", "bad", left.alias("is_left"), right.alias("is_right")).alias("row")
+    yes, no = F.lit(True), F.lit(False)
+    if diagonal:
+        dealt = live.select(*cell, mine("b").alias("p"), mine("b").alias("q"), row(F.col("other"), yes))
+    else:
+        # where one tile holds the cell, a row comes once for both sides
+        alone = (F.col("a") == 1) & (F.col("b") == 1)
+        left = live.where(F.col("other") & ~alone).select(*cell, mine("a").alias("p"), every("b").alias("q"), row(yes, no))
+        dealt = left.union(live.select(*cell, every("a").alias("p"), mine("b").alias("q"), row(F.col("other") & alone, yes)))
+    tiles = dealt.groupBy(*cell, "p", "q").agg(F.collect_list("row").alias("rows")).where(F.exists("rows", lambda r: r["is_left"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ends, flat = b["rows"].offsets.to_numpy(), b["rows"].values
-            t = {k: flat.field(k).to_numpy(zero_copy_only=False) for k in ("rid", "root", "n", "rest", "signature", "own", "other", "bad", "is_left")}
+            t = {k: flat.field(k).to_numpy(zero_copy_only=False) for k in ("rid", "root", "n", "rest", "signature", "own", "other", "bad", "is_left", "is_right")}
             pairs = []
             for lo, hi in zip(ends[:-1], ends[1:]):
                 here = np.arange(lo, hi)
-                pairs += _tile(t, here[t["is_left"][lo:hi]], here[~t["is_left"][lo:hi]], joining, num, den)
+                pairs += _tile(t, here[t["is_left"][lo:hi]], here[t["is_right"][lo:hi]], joining, num, den)
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["x", "y"])
 
     return tiles.select("rows").mapInArrow(run, "x bigint, y bigint").distinct()
