@@ -109,6 +109,37 @@ def induced_subgraph(vertices: DataFrame, edges: DataFrame, ranks: DataFrame, li
     return sub_vertices, sub_edges
 
 
+def nested_subsets(vertices: DataFrame, edges: DataFrame, ranks: DataFrame, limits, name_col: str = "host"):
+    """``induced_subgraph`` for all ``limits`` from one pass: ``(vertices(id, name, level), edges(src, dst, weight,
+    level))``, where ``level`` is the smallest limit whose subgraph holds the row. The subgraph of a limit is the
+    rows with ``level <= limit``, so the subsets are stored once, as prefixes of levels.
+
+    A host's level is the smallest limit that its best rank reaches, an edge's the larger of its ends'. A vertex is
+    isolated until its first edge: its level is the larger of its host's and the least of its edges'. Rows beyond
+    the largest limit go before any join. Null ranks, names and ends match nothing; without limits all is empty."""
+    steps = sorted({int(n) for n in limits})
+    if not steps:
+        none = vertices.select("id", name_col, F.lit(0).cast("bigint").alias("level")).limit(0)
+        return none, dedupe_edges(edges.limit(0)).withColumn("level", F.lit(0).cast("bigint"))
+
+    def level_of(pos):
+        reached = F.coalesce(*[F.when(pos <= n, F.lit(n)) for n in steps])
+        return reached.cast("bigint")
+
+    top = (rank_filter(ranks, steps[-1]).where(F.col("host_rev").isNotNull()).groupBy(F.col("host_rev").alias(name_col))
+           .agg(level_of(F.min("hc_pos")).alias("_host")))
+    hosts = vertices.join(top, name_col).select("id", name_col, "_host")
+    ids = hosts.groupBy("id").agg(F.min("_host").alias("_id"))
+    ends = (edges.select("src", "dst").join(ids.select(F.col("id").alias("src"), F.col("_id").alias("_s")), "src")
+            .join(ids.select(F.col("id").alias("dst"), F.col("_id").alias("_d")), "dst"))
+    # the level follows from the two ends, so parallel edges agree on it
+    kept = ends.groupBy("src", "dst").agg(F.min(F.greatest("_s", "_d")).alias("level"))
+    first = (kept.select(F.explode(F.array("src", "dst")).alias("id"), "level")
+             .groupBy("id").agg(F.min("level").alias("_edge")))
+    sub_vertices = hosts.join(first, "id").select("id", name_col, F.greatest("_host", "_edge").alias("level"))
+    return sub_vertices, kept.select("src", "dst", F.lit(1.0).alias("weight"), "level")
+
+
 def graph_summary(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """One row ``(n_vertices, n_edges)``: one aggregate over both tables, no join."""
     tagged = (vertices.select(F.lit(1).alias("v"), F.lit(0).alias("e"))

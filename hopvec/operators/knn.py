@@ -2,8 +2,9 @@
 
 * ``knn_query``: one query vector enters the plan as a literal; every vector row computes its
   distance (no join) and ``k+1`` rows are kept.
-* ``knn_by_name``: the named query vectors are a table and meet the vectors block by block, as
-  in the all-pairs form, whatever their number.
+* ``knn_by_name``: up to ``REPLICATED_BYTES`` the query vectors travel to the vectors, which are
+  scanned where they lie, with one bounded list per query and task; beyond that queries are a table
+  and meet the vectors block by block, as in the all-pairs form.
 * ``knn_all_pairs``: exact blocked all-pairs. Vectors are hashed into ``B`` blocks; each
   (query block, candidate block) pair is one ``applyInPandas`` group holding about
   ``2 n / B`` vectors, where numpy multiplies the normalised blocks and emits only ``k``
@@ -16,6 +17,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ from ..functions.seed import JavaRandom
 from ..functions.vectors import cosine_distance, vec_dot
 
 
+REPLICATED_BYTES = 64 << 20     # query vectors that every task may hold
+UNNAMED_ROWS = 1 << 20          # ids without a name that every task may hold
+SCAN_CELLS = 2_000_000          # distances in memory at once
+
+
 def _top_per_group(df: DataFrame, group: str, k: int, order=("dist", "id")) -> DataFrame:
     """``k`` best rows per group with a 0-based ``rank``. The filter is on the raw
     ``row_number`` so the optimizer plans a partial WindowGroupLimit before the shuffle
@@ -61,31 +68,94 @@ def vector_of(vectors: DataFrame, vid: int, x_col: str = "x"):
 
 
 def knn_by_name(names: DataFrame, vectors: DataFrame, sites, k: int = 10, x_col: str = "x",
-                block_rows: int = 4000) -> DataFrame:
+                block_rows: int = 4000, replicated_bytes: int = REPLICATED_BYTES) -> DataFrame:
     """Many by-name queries in one job: ``(query, query_id, rank, dist, id, name)``, ``k+1`` rows
     per query. ``sites`` is a list of names or a one-column DataFrame of names; every
     name must exist (the reference's ``lookup(..).head`` throws otherwise). Vectors without a
-    name are left out before the top-k, so they take no places. Queries stay distributed and
-    meet the vectors block by block."""
+    name are left out before the top-k, so they take no places. Query vectors of at most
+    ``replicated_bytes`` in all are shipped to the scan of the vectors, which then do not move;
+    more queries stay distributed and meet the vectors block by block. Both ways give the same rows."""
+    spark = names.sparkSession
     if isinstance(sites, DataFrame):
         site_df = sites.select(F.col(sites.columns[0]).alias("name"))
     else:
-        site_df = names.sparkSession.createDataFrame([(s,) for s in sites], "name string")
+        site_df = spark.createDataFrame([(s,) for s in sites], "name string")
     known = names.select("id", "name")
-    v = vectors.select(F.col("id").cast("bigint").alias("id"), x_col).join(known.select("id"), "id", "left_semi")
-    named = known.join(site_df, "name").join(v, "id").select(F.col("name").alias("query"), F.col("id").alias("query_id"), x_col)
-    missing = site_df.join(named.select(F.col("query").alias("name")), "name", "left_anti").limit(10).collect()
-    if missing:
-        raise ValueError(f"unknown names: {[r['name'] for r in missing]}")
-    first = v.select(F.size(x_col)).first()
+    plain = vectors.select(F.col("id").cast("bigint").alias("id"), x_col)
+    first = plain.where(F.col(x_col).isNotNull()).select(F.size(x_col)).first()
+    d = int(first[0]) if first else 0
+    fit = replicated_bytes // (8 * max(d, 1))
+    asked = known.join(site_df, "name").select(F.col("name").alias("query"), F.col("id").cast("bigint").alias("query_id"))
+    found = asked.limit(fit + 1).collect()
+    if len(found) <= fit:
+        return _by_name_scanned(known, plain, site_df, found, k, d, x_col)
+    v = plain.join(known.select("id"), "id", "left_semi")
+    named = asked.join(v.withColumnRenamed("id", "query_id"), "query_id").select("query", "query_id", x_col)
+    _refuse_missing(site_df, named)
     queries = named.select(F.col("query_id").alias("id"), x_col).dropDuplicates(["id"])
-    cands = _blocked_candidates(queries, v, k + 1, int(first[0]) if first else 0, exclude_self=False, block_rows=block_rows, x_col=x_col)
+    cands = _blocked_candidates(queries, v, k + 1, d, exclude_self=False, block_rows=block_rows, x_col=x_col)
     top = _top_per_group(cands, "src", k + 1, ("dist", "dst"))
     return (top.select(F.col("src").alias("query_id"), "rank", "dist", F.col("dst").alias("id"))
             .join(named.select("query", "query_id"), "query_id").join(known, "id")
             .select("query", "query_id", "rank", "dist", "id", "name"))
 
 
+def _refuse_missing(site_df: DataFrame, named: DataFrame) -> None:
+    missing = site_df.join(named.select(F.col("query").alias("name")), "name", "left_anti").limit(10).collect()
+    if missing:
+        raise ValueError(f"unknown names: {[r['name'] for r in missing]}")
+
+
+def _by_name_scanned(known: DataFrame, plain: DataFrame, site_df: DataFrame, found, k: int, d: int, x_col: str) -> DataFrame:
+    """The replicated way of ``knn_by_name`` for the looked-up ``found (query, query_id)``."""
+    spark = known.sparkSession
+    ids = spark.createDataFrame([(i,) for i in sorted({r["query_id"] for r in found})], "id bigint")
+    rows = plain.where(F.col(x_col).isNotNull()).join(F.broadcast(ids), "id").select("id", F.col(x_col).cast("array<double>").alias("x"))
+    held = {r["id"]: r["x"] for r in rows.groupBy("id").agg(F.min("x").alias("x")).collect()}
+    named = spark.createDataFrame([(r["query"], r["query_id"]) for r in found if r["query_id"] in held], "query string, query_id bigint")
+    _refuse_missing(site_df, named)
+    qid = np.array(sorted(held), dtype=np.int64)
+    Q = np.array([held[i] for i in qid.tolist()], dtype=np.float64).reshape(len(qid), d)
+    # only ids are compared to find vectors without a name; few are shipped, many are joined away
+    unnamed = plain.select("id").join(known.select("id"), "id", "left_anti").distinct().limit(UNNAMED_ROWS + 1)
+    skip = np.array(sorted(r["id"] for r in unnamed.collect()), dtype=np.int64)
+    if len(skip) > UNNAMED_ROWS:
+        plain, skip = plain.join(known.select("id"), "id", "left_semi"), skip[:0]
+    x = plain.select("id", F.col(x_col).cast("array<double>").alias("x")).where("id is not null and x is not null")
+    cands = x.mapInArrow(_scan_topk(qid, Q, skip, k + 1), "src bigint, dst bigint, dist double")
+    cands = cands.withColumn("dist", F.coalesce("dist", F.lit(float("nan"))))
+    top = _top_per_group(cands, "src", k + 1, ("dist", "dst"))      # k + 1 rows for each held query
+    top = top.select(F.col("src").alias("query_id"), "rank", "dist", F.col("dst").alias("id"))
+    return (known.join(F.broadcast(top), "id").join(F.broadcast(named), "query_id")
+            .select("query", "query_id", "rank", "dist", "id", "name"))
+
+
+def _scan_topk(qid: np.ndarray, Q: np.ndarray, skip: np.ndarray, k: int):
+    """Arrow batches ``(id, x)`` -> the ``k`` nearest ``(src, dst, dist)`` of each query among the rows of a task."""
+    def fn(batches):
+        qn = np.linalg.norm(Q, axis=1)
+        best_d, best_i = np.empty((len(qid), 0)), np.empty((len(qid), 0), dtype=np.int64)
+        step = max(1, SCAN_CELLS // max(1, len(qid)))
+        for batch in batches:
+            for s in range(0, batch.num_rows, step):
+                part = batch.slice(s, step)
+                cid = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                named = ~np.isin(cid, skip)
+                C = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(cid), Q.shape[1])[named]
+                cid = cid[named]
+                den = np.outer(qn, np.linalg.norm(C, axis=1))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    D = 1.0 - (Q @ C.T) / den
+                D[den == 0] = np.nan
+                best_i = np.concatenate([best_i, np.broadcast_to(cid, D.shape)], axis=1)
+                best_d = np.concatenate([best_d, D], axis=1)
+                order = np.lexsort((best_i, best_d), axis=1)[:, :k]       # by distance, then id; NaN last
+                best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, best_i.shape[1])), pa.array(best_i.reshape(-1)),
+                                          pa.array(best_d.reshape(-1))], ["src", "dst", "dist"])
+    return fn
+
+
 def _block_topk(k: int, d: int, exclude_self: bool = True):
     exclude_self = np.bool_(exclude_self)
 

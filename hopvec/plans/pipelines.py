@@ -35,20 +35,20 @@ KG_R0 = 1.0
 def host_subsets(spark: SparkSession, ranks_path: str, vertices_path: str, edges_path: str, out_root: str,
                  limits=SUBSET_LIMITS) -> DataFrame:
     """Induced subgraphs of the top-``limit`` hosts for several limits, each saved as
-    Parquet under ``out_root/top<limit>``. The parsed edge table is persisted once and
-    shared by all limits. Returns ``(limit, n_vertices, n_edges)``."""
-    edges = materialize(io.read_edges_tsv(spark, edges_path).select("src", "dst"))
-    vertices = io.read_vertices_tsv(spark, vertices_path)
-    ranks = io.read_ranks(spark, ranks_path, limit=None)
+    Parquet under ``out_root/top<limit>``. The inputs are parsed and joined once for all limits: rows are
+    stored by the smallest limit that holds them (``out_root/nested``), and each limit reads a prefix of that.
+    Returns ``(limit, n_vertices, n_edges)``."""
+    root = out_root.rstrip("/")
+    vertices, edges = G.nested_subsets(io.read_vertices_tsv(spark, vertices_path), io.read_edges_tsv(spark, edges_path),
+                                       io.read_ranks(spark, ranks_path, limit=None), limits)
+    io.save_nested(vertices, edges, f"{root}/nested")
     rows = []
     for limit in limits:
-        v, e = G.induced_subgraph(vertices, edges, ranks, limit)
-        path = f"{out_root.rstrip('/')}/top{limit}"
-        io.save_graph(v, e, path)
-        sv, se = io.load_graph(spark, path, undirected=False)
+        v, e = io.load_nested(spark, f"{root}/nested", limit)
+        io.save_graph(v.withColumnRenamed("name", "host"), e, f"{root}/top{limit}")
+        sv, se = io.load_graph(spark, f"{root}/top{limit}", undirected=False)
         s = G.graph_summary(sv, se).first()
         rows.append((int(limit), int(s["n_vertices"]), int(s["n_edges"])))
-    edges.unpersist()
     return spark.createDataFrame(rows, "limit long, n_vertices long, n_edges long")
 
 

@@ -7,11 +7,14 @@ Vectors are returned in long form ``(id, pos, val)``; doubles are rounded to 6 p
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.seed import dense_seed, sparse_seed
-from ..functions.vectors import long_form
+from ..functions.vectors import long_form, text_to_vec, vec_to_text
 from ..operators import graph as G
 from ..operators import metrics as M
 from ..operators import ml as L
@@ -20,6 +23,8 @@ from ..operators.knn import knn_all_pairs, knn_by_name, knn_query, lsh_codes, ve
 from ..operators.pagerank import pagerank, top_ranked
 from ..operators.stats import column_stats, standardize, zscore
 from ..operators.vector_tables import combine_embeddings, normalize_embeddings, pairwise_distance
+from ..session import checkpoint_dir
+from ..sources import io
 from . import fixtures as fx
 from . import oracle as O
 
@@ -32,6 +37,7 @@ FASTRP_R0 = 0.25
 KNN_K = 10
 QUERY_ID = 0
 SUBSET_LIMIT = 500
+SUBSET_LIMITS = [20, 100, 500, 1000, 5000]
 PAGERANK_ITERS = 5
 
 
@@ -100,6 +106,99 @@ def q_induced_subgraph_vertices(spark, sf):
     return _subset(spark, sf)[0]
 
 
+def _nested(spark, sf):
+    path = f"{checkpoint_dir(spark)}/nested-{uuid.uuid4().hex}"
+    vertices, edges = G.nested_subsets(fx.names_cp(spark, sf), fx.edges_cp(spark, sf), fx.ranks_cp(spark, sf), SUBSET_LIMITS, name_col="name")
+    io.save_nested(vertices, edges, path)
+    return [(n, *io.load_nested(spark, path, n)) for n in SUBSET_LIMITS]
+
+
+def q_nested_subset_edges(spark, sf):
+    """The edges of all five limits, from one stored pass."""
+    return reduce(DataFrame.union, [e.select(F.lit(n).cast("bigint").alias("limit"), "src", "dst", "weight") for n, _, e in _nested(spark, sf)])
+
+
+def q_nested_subset_vertices(spark, sf):
+    return reduce(DataFrame.union, [v.select(F.lit(n).cast("bigint").alias("limit"), "id", "name") for n, v, _ in _nested(spark, sf)])
+
+
+# ---------------------------------------------------------------- readers and sinks, over files written from the tables
+
+def _as_lines(spark, line, header: str | None = None) -> str:
+    """Path of text files that hold the lines of a frame with one string column ``value``."""
+    path = f"{checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
+    if header is None:
+        line.write.text(path)
+    else:      # each file begins with the header
+        line.select(F.col("value").alias(header)).write.option("header", True).option("sep", "\x01").option("quote", "").csv(path)
+    return path
+
+
+def _joined(sep: str, *cols):
+    return F.concat_ws(sep, *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols]).alias("value")
+
+
+def q_read_edges_csv(spark, sf):
+    path = _as_lines(spark, fx.edges_cp(spark, sf).select(_joined(",", "src", "dst", F.lit("unused"))), "numeric_id_1,numeric_id_2,rest")
+    return io.read_edges_csv(spark, path)
+
+
+def q_read_edges_tsv(spark, sf):
+    return io.read_edges_tsv(spark, _as_lines(spark, fx.edges_ps(spark, sf).select(_joined("\t", "src", "dst"))))
+
+
+def q_read_edges_text(spark, sf):
+    """Both directions of each line; fields beyond the second are left out."""
+    lines = fx.edges_sc(spark, sf).select(F.concat(F.lit(" "), _joined(" ", "src", "dst", F.lit("x y"))).alias("value"))
+    return io.read_edges_text(spark, _as_lines(spark, lines), undirected=True)
+
+
+def q_read_vertices_tsv(spark, sf):
+    """Names with quotes and commas in them stay as they are."""
+    v = fx.names_cp(spark, sf).select(_joined("\t", "id", F.concat(F.lit('"a", '), "name")))
+    return io.read_vertices_tsv(spark, _as_lines(spark, v))
+
+
+def q_read_member_features(spark, sf):
+    c = fx.table(spark, sf, "customer")
+    lang = F.when(F.col("c_mktsegment") == "FURNITURE", "EN").otherwise(F.col("c_mktsegment"))
+    zero = F.lit(0)
+    lines = c.select(_joined(",", F.col("c_custkey") % 1000, F.col("c_nationkey") % 2, zero, zero, zero, "c_custkey", zero, lang, F.col("c_nationkey") % 3))
+    return io.read_member_features(spark, _as_lines(spark, lines, "views,mature,life_time,created_at,updated_at,numeric_id,dead_account,language,affiliate"))
+
+
+def q_read_ranks(spark, sf):
+    r = fx.ranks_cp(spark, sf).select(_joined("\t", "hc_pos", "hc_val", "pr_pos", "pr_val", "host_rev"))
+    return io.read_ranks(spark, _as_lines(spark, r, "#harmonicc_pos\t#harmonicc_val\t#pr_pos\t#pr_val\t#host_rev"), limit=SUBSET_LIMIT)
+
+
+def _vector_lines(spark, sf):
+    """Lines in id order over many files, so a vector's id is its line number."""
+    v = fx.vec(spark, sf).orderBy("id").select(vec_to_text("x").alias("value"))
+    return _as_lines(spark, v)
+
+
+def q_read_vectors_text(spark, sf):
+    return _long(io.read_vectors_text(spark, _vector_lines(spark, sf)))
+
+
+def q_save_load_graph(spark, sf):
+    """Saved and loaded with the reversed edges: ``(kind, a, b, label)`` of vertices and edges."""
+    path = f"{checkpoint_dir(spark)}/graph-{uuid.uuid4().hex}"
+    io.save_graph(fx.names_cp(spark, sf), G.cast_weight(fx.edges_cp(spark, sf).withColumn("weight", F.lit("1")), "double"), path)
+    v, e = io.load_graph(spark, path, undirected=True)
+    return v.select(F.lit("v").alias("kind"), F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), "name", F.lit(None).cast("double").alias("weight")).union(
+        e.select(F.lit("e"), "src", "dst", F.lit(None).cast("string"), "weight"))
+
+
+def q_save_embeddings_text(spark, sf):
+    """Text lines ``id v1 v2 ...`` read back as ids and vectors."""
+    path = f"{checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    io.save_embeddings(fx.vec(spark, sf), path, fmt="text")
+    cut = F.split("value", " ", 2)
+    return _long(spark.read.text(path).select(cut[0].cast("bigint").alias("id"), text_to_vec(cut[1]).alias("x")))
+
+
 def q_group_count(spark, sf):
     return (fx.segments(spark, sf).groupBy("segment")
             .agg(F.count(F.lit(1)).cast("double").alias("n")))
@@ -489,6 +588,24 @@ def oracle_sql() -> dict:
     sub = (f"WITH kept AS (SELECT id, name FROM ({O.NAMES_CP}) WHERE name IN "
            f"(SELECT host_rev FROM ({O.RANKS_CP}) WHERE hc_pos <= {SUBSET_LIMIT})), "
            f"ke AS (SELECT DISTINCT src, dst FROM ({cp}) WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept)) ")
+    level = (f"WITH lim AS (SELECT unnest({SUBSET_LIMITS})::BIGINT AS \"limit\"), r AS ({O.RANKS_CP}), n AS ({O.NAMES_CP}), e AS (SELECT DISTINCT src, dst FROM ({cp})), "
+             "kept AS (SELECT DISTINCT lim.\"limit\", n.id, n.name FROM lim JOIN r ON r.hc_pos <= lim.\"limit\" JOIN n ON n.name = r.host_rev), "
+             "ke AS (SELECT a.\"limit\", e.src, e.dst FROM e JOIN kept a ON a.id = e.src JOIN kept b ON b.id = e.dst AND b.\"limit\" = a.\"limit\") ")
+    sql["nested_subset_edges"] = level + 'SELECT "limit", src, dst, 1.0::DOUBLE AS weight FROM ke'
+    sql["nested_subset_vertices"] = level + ('SELECT "limit", id, name FROM kept WHERE ("limit", id) IN '
+                                             '(SELECT ("limit", src) FROM ke UNION SELECT ("limit", dst) FROM ke)')
+    sql["read_edges_csv"], sql["read_edges_tsv"] = cp, O.EDGES_PS
+    sql["read_edges_text"] = f"SELECT src, dst, weight FROM ({O.EDGES_SC}) UNION ALL SELECT dst, src, weight FROM ({O.EDGES_SC})"
+    sql["read_vertices_tsv"] = f"""SELECT id, '"a", ' || name AS host FROM ({O.NAMES_CP})"""
+    sql["read_member_features"] = ("SELECT (c_custkey % 1000)::INTEGER AS views, (c_nationkey % 2)::INTEGER AS mature, c_custkey::BIGINT AS numeric_id, "
+                                   "CASE WHEN c_mktsegment = 'FURNITURE' THEN 'EN' ELSE c_mktsegment END AS language, (c_nationkey % 3)::INTEGER AS affiliate, "
+                                   "CASE WHEN c_mktsegment = 'FURNITURE' THEN 1 ELSE 0 END AS english FROM customer")
+    sql["read_ranks"] = f"SELECT hc_pos, hc_val::DOUBLE AS hc_val, pr_pos, pr_val::DOUBLE AS pr_val, host_rev FROM ({O.RANKS_CP}) WHERE hc_pos <= {SUBSET_LIMIT}"
+    by_line = f"SELECT row_number() OVER (ORDER BY id) - 1 AS id, x FROM ({O.VEC})"
+    sql["read_vectors_text"] = f"SELECT id, pos, {O.R('val')} AS val FROM ({O.long_of(by_line)})"
+    sql["save_embeddings_text"] = f"SELECT id, pos, {O.R('val')} AS val FROM ({O.long_of(O.VEC)})"
+    sql["save_load_graph"] = (f"SELECT 'v' AS kind, id AS a, NULL::BIGINT AS b, name, NULL::DOUBLE AS weight FROM ({O.NAMES_CP}) "
+                              f"UNION ALL SELECT 'e', src, dst, NULL, weight FROM ({O.SYM_CP})")
     sql["induced_subgraph"] = sub + "SELECT src, dst, 1.0::DOUBLE AS weight FROM ke"
     sql["induced_subgraph_vertices"] = sub + "SELECT id, name FROM kept WHERE id IN (SELECT src FROM ke UNION SELECT dst FROM ke)"
     return sql
@@ -530,6 +647,17 @@ def queries() -> dict:
         "dedupe_edges": q_dedupe_edges,
         "induced_subgraph": q_induced_subgraph,
         "induced_subgraph_vertices": q_induced_subgraph_vertices,
+        "nested_subset_edges": q_nested_subset_edges,
+        "nested_subset_vertices": q_nested_subset_vertices,
+        "read_edges_csv": q_read_edges_csv,
+        "read_edges_tsv": q_read_edges_tsv,
+        "read_edges_text": q_read_edges_text,
+        "read_vertices_tsv": q_read_vertices_tsv,
+        "read_member_features": q_read_member_features,
+        "read_ranks": q_read_ranks,
+        "read_vectors_text": q_read_vectors_text,
+        "save_load_graph": q_save_load_graph,
+        "save_embeddings_text": q_save_embeddings_text,
         "group_count": q_group_count,
         "group_count_flag": q_group_count_flag,
         "class_share": q_class_share,

@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import text_to_vec, vec_to_text
 from ..operators.graph import symmetrize
+from ..session import fixed
 
 MODES = ("FAILFAST", "DROPMALFORMED")
+NESTED = {"vertices": "id bigint, name string", "edges": "src bigint, dst bigint, weight double"}
+OFFSET_ROWS = 200_000     # file blocks whose offsets are broadcast, under 10 MB
 
 
 def parse_fields(lines: DataFrame, sep: str, picks, mode: str = "FAILFAST") -> DataFrame:
@@ -80,28 +83,38 @@ def read_vertices_tsv(spark: SparkSession, path: str, mode: str = "FAILFAST") ->
     return _positional(spark, path, "\t", False, [(0, "id", "bigint"), (1, "host", "string")], mode)
 
 
-def read_edges_text(spark: SparkSession, path: str, sep: str = " ", undirected: bool = False) -> DataFrame:
+def read_edges_text(spark: SparkSession, path: str, sep: str = " ", undirected: bool = False, mode: str = "FAILFAST") -> DataFrame:
     """Space separated edge lines; the first two fields are the ends, others ignored."""
-    parts = F.split(F.trim(F.col("value")), sep)
-    e = (spark.read.text(path).filter(F.trim(F.col("value")) != "")
-         .select(parts[0].cast("bigint").alias("src"), parts[1].cast("bigint").alias("dst"),
-                 F.lit(1.0).alias("weight")))
+    lines = spark.read.text(path).select(F.trim("value").alias("value"))
+    e = parse_fields(lines, sep, [(0, "src", "bigint"), (1, "dst", "bigint")], mode).withColumn("weight", F.lit(1.0))
     return symmetrize(e) if undirected else e
 
 
 def line_numbers(spark: SparkSession, path: str) -> DataFrame:
     """``(line, value)``: text lines with their 0-based number in file order (files by
     path, then position). Each file block is read in order inside one task, so a line's
-    number is the number of lines in earlier blocks (one row per block reaches the
-    offsets) plus its index in its block. No sort and no Python step."""
+    number is the sum of three: the lines of earlier files, those of earlier blocks of its file
+    and its index in its block. Blocks are summed within their file (one group per file) and only files
+    in one place. The block offsets, three numbers and a hash of the path each, are broadcast up to
+    ``OFFSET_ROWS`` blocks; beyond that (or where two paths share a hash) they are joined by path. A block
+    that is not cut as when it was counted raises. No sort of lines and no Python step."""
     raw = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
         F.monotonically_increasing_id().alias("_m"))
-    blocks = raw.groupBy("_f", "_b").agg(F.min("_m").alias("_m0"), F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = blocks.select("_f", "_b", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_o"))
-    return (raw.join(F.broadcast(offs), ["_f", "_b"])      # offsets: one row per file block
-            .select((F.col("_o") + F.col("_m") - F.col("_m0")).cast("bigint").alias("line"), "value"))
+    blocks = fixed(raw.groupBy("_f", "_b").agg(F.min("_m").alias("_m0"), F.count(F.lit(1)).alias("_n")))
+    files = blocks.groupBy("_f").agg(F.sum("_n").alias("_n"))
+    total = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offs = (blocks.withColumn("_in", total(Window.partitionBy("_f").orderBy("_b")))
+            .join(files.select("_f", total(Window.orderBy("_f")).alias("_earlier")), "_f")
+            .select("_f", "_b", "_m0", "_n", (F.col("_earlier") + F.col("_in")).alias("_o")))
+    size = files.agg(F.count(F.lit(1)).alias("files"), F.countDistinct(F.xxhash64("_f")).alias("hashes")).first()
+    if size["files"] == size["hashes"] and blocks.limit(OFFSET_ROWS + 1).count() <= OFFSET_ROWS:
+        raw = raw.withColumn("_f", F.xxhash64("_f"))
+        offs = F.broadcast(offs.withColumn("_f", F.xxhash64("_f")))
+    index = F.col("_m") - F.col("_m0")
+    number = F.when((index >= 0) & (index < F.col("_n")), F.col("_o") + index).otherwise(
+        F.raise_error(F.lit("file blocks changed between counting and numbering")).cast("bigint"))
+    return raw.join(offs, ["_f", "_b"], "left").select(number.alias("line"), "value")
 
 
 def read_vectors_text(spark: SparkSession, path: str, sep: str = " ") -> DataFrame:
@@ -120,6 +133,21 @@ def save_graph(vertices: DataFrame, edges: DataFrame, path: str, mode: str = "er
     edges.write.mode(mode).parquet(f"{path.rstrip('/')}/edges")
 
 
+def save_nested(vertices: DataFrame, edges: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Rows of ``nested_subsets`` in one folder per level, each written once."""
+    save_levels = lambda df, name: df.write.mode(mode).partitionBy("level").parquet(f"{path.rstrip('/')}/{name}")
+    save_levels(vertices.toDF("id", "name", "level"), "vertices")
+    save_levels(edges, "edges")
+
+
+def load_nested(spark: SparkSession, path: str, limit: int):
+    """``(vertices, edges)`` of one limit: a prefix of the stored levels, chosen by folder."""
+    def read(name):
+        found = spark.read.schema(NESTED[name] + ", level bigint").parquet(f"{path.rstrip('/')}/{name}")
+        return found.where(F.col("level") <= F.lit(int(limit))).drop("level")
+    return read("vertices"), read("edges")
+
+
 def load_graph(spark: SparkSession, path: str, undirected: bool = True):
     """Saved graph back as ``(vertices, edges)``; ``undirected`` adds the reversed edges."""
     v = spark.read.parquet(f"{path.rstrip('/')}/vertices")
