@@ -37,6 +37,18 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names for internal use: each of ``wanted``, with underscores before it until ``df`` has no such
+    column (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def words(text: Column | str) -> Column:
     """The words of a text, in order (no empty strings)."""
     text = F.col(text) if isinstance(text, str) else text
@@ -56,4 +68,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows
     return docs.join(F.broadcast(lab), "doc_id")
 
 
-__all__ = ["SPACES", "WORD", "table", "documents", "words", "labelled_sample", "checkpoint_dir", "stored"]
+__all__ = ["SPACES", "WORD", "table", "documents", "free_names", "words", "labelled_sample", "checkpoint_dir", "stored"]

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, stored
+from .common import SPACES, free_names, stored
 
 NUM, DEN = 4, 5          # least Jaccard similarity as a fraction
 MIN_WORDS = 5
@@ -192,16 +192,18 @@ def later_matches(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def dedup_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", removed_col: str = "_removed", min_words: int = MIN_WORDS) -> DataFrame:
     """``df`` with the lines removed from ``text_col``, and their number in ``removed_col``.
 
-    Other columns stay as they are. Kept lines stay in order, joined by line feeds. A null text
+    Other columns stay as they are, whatever their names: if ``df`` has a column ``removed_col`` already, the
+    new one gets underscores before its name. Kept lines stay in order, joined by line feeds. A null text
     stays null; empty texts and empty tables stay as they are. Rows that repeat an id and text
     lose the same lines. Lines of fewer than ``min_words`` different words stay.
     """
+    removed_col, doc, row_hash, places = free_names(df, removed_col, "_doc", "_hash", "_lines")
     rows = keyed(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     gone = stored(later_matches(rows, min_words).groupBy("doc", "row_hash").agg(F.collect_set("line").alias("lines")))
-    gone = gone.select(F.col("doc").alias("_doc"), F.col("row_hash").alias("_hash"), F.col("lines").alias("_lines"))
-    same = ((F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))) == F.col("_doc"))
-            & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("_hash")))
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda s, k: ~F.array_contains("_lines", k)), "\n")
+    gone = gone.select(F.col("doc").alias(doc), F.col("row_hash").alias(row_hash), F.col("lines").alias(places))
+    same = ((F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))) == F.col(doc))
+            & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col(row_hash)))
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda s, k: ~F.array_contains(places, k)), "\n")
     out = df.join(checked_broadcast(gone), same, "left")
-    return (out.withColumn(removed_col, F.coalesce(F.size("_lines"), F.lit(0)))
-            .withColumn(text_col, F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(kept)).drop("_doc", "_hash", "_lines"))
+    return (out.withColumn(removed_col, F.coalesce(F.size(places), F.lit(0)))
+            .withColumn(text_col, F.when(F.col(places).isNull(), F.col(text_col)).otherwise(kept)).drop(doc, row_hash, places))

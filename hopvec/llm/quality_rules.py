@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import free_names, labelled_sample
 from .textstats import COUNTS, RATIOS, text_stats
 
 FEATURES = ["n_words", *RATIOS]
@@ -117,7 +117,7 @@ def with_verdict(df: DataFrame, rules: list[Rule], text_col: str = "text", out:
 
     A null or empty text has no words and so fails the base rule. Map-only; other columns stay.
     """
-    s = f"{out}_s"
+    s, = free_names(df, f"{out}_s")
     df = df.withColumn(s, text_stats(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     base, rule = base_failed(s), rule_number(rules, s)
     return df.withColumn(out, F.struct(f"{s}.*", base.alias("base_failed"), rule.alias("rule"),

@@ -16,10 +16,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_names, stored
 from .components import components
 
 SHINGLE = 3
@@ -94,14 +94,18 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big", signed=True)
 
 
+def text_key(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp bigint)``, one row per row of ``docs (doc_id, text)``."""
+    """``(doc_id, text_key, fp bigint)``, one row per row of ``docs (doc_id, text)``; text_key is a hash of the text."""
 
     @F.arrow_udf("bigint")
     def run(text: pa.Array) -> pa.Array:
         return pa.array([fingerprint(t or "", shingle) for t in text.to_pylist()], pa.int64())
 
-    return docs.select("doc_id", run("text").alias("fp"))
+    return docs.select("doc_id", text_key("text").alias("text_key"), run("text").alias("fp"))
 
 
 def _spanning(found: np.ndarray, max_bits: int) -> Iterator[tuple[int, int]]:
@@ -151,25 +155,32 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataF
 
 
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fp, fingerprint (16 hex digits), component_id: one row per row of ``docs (doc_id, text)``.
+    """doc_id, text_key, fp, fingerprint (16 hex digits), component_id, component_key: one row per row of
+    ``docs (doc_id, text)``.
 
-    component_id is the smallest doc_id of the group. Texts without words have fingerprint zero
-    and link like any other. Rows with a null doc_id are grouped but never name a group (a group
-    of such rows only has a null component_id). An empty table gives an empty result.
+    component_id is the smallest doc_id of the group, component_key the smallest text_key with it. Texts without
+    words have fingerprint zero and link like any other. Rows with a null doc_id are grouped but never name a group
+    (a group of such rows only has a null component_id). An empty table gives an empty result.
     """
     prints = stored(fingerprints(docs, shingle))
     # equal fingerprints meet here first, summed map-side, so copies cost one row each task
-    least = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    least = stored(prints.groupBy("fp").agg(F.min(first).alias("least")))
     roots = components(links(least, max_bits))
     rooted = least.join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(first, "root").select("fp", "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("kept")), "root")
+    named = named.select("fp", F.col("kept.doc_id").alias("component_id"), F.col("kept.text_key").alias("component_key"))
     return (prints.join(named, "fp")
-            .select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
-
-
-def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group. Equal doc_ids stay
-    together; a null doc_id names no group and stays."""
-    drop = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop.select(F.col("doc_id").alias("_drop")), F.col("doc_id") == F.col("_drop"), "left_anti")
+            .select("doc_id", "text_key", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_key"))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their group of ``simhash_groups``: id and text of its component_id and
+    component_key. Of rows that share an id but not a text each is judged by its own group; rows that repeat the
+    kept id and text all stay. A row with a null id goes if its group has a named one, and of a group without
+    names one text stays. Other columns stay, whatever their names."""
+    doc, key = free_names(docs, "_drop", "_key")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("component_key"))
+    drop = groups.where(~stays).select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct()
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col(doc)) & (text_key(text_col) == F.col(key))
+    return docs.join(drop, same, "left_anti")
