@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
+from .line_join import checked_broadcast
 
 GRAM = 4
 BUCKETS = 1 << 16
@@ -85,14 +86,65 @@ def fit_text_model(docs: DataFrame, max_train: int = MAX_TRAIN) -> TextModel:
     return TextModel(langs, counts)
 
 
-_DROP = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", re.S | re.I)
-_TAG = re.compile(r"<[^>]*>")
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+_RAW = re.compile(r"<(script|style)\b", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
+_MARKUP = re.compile(r"<(html|meta)\b", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_CODE = re.compile(r"\s*([A-Za-z]{2,3})(?![A-Za-z])")
 
 
-def page_text(html: str) -> str:
-    """Visible text, roughly: comments, scripts, styles and tags go, entities are resolved."""
-    return unescape(_TAG.sub(" ", _DROP.sub(" ", html)))
+def _attributes(tag: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(tag):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def page_parts(html: str) -> tuple[str, str]:
+    """Visible text, roughly, and the declared language ('' : none), from one forward scan.
+
+    Comments, scripts, styles and tags go and entities are resolved; what is not closed counts as a tag, or as
+    text if no tag ends behind it. An end that was not found once is not looked for again, so time grows with the
+    length of the page. The language is that of the first ``html`` tag that gives one (``lang``, then
+    ``xml:lang``), else of a ``content-language`` in a ``meta`` tag; comments and scripts declare nothing.
+    """
+    out, pos, said, meta = [], 0, "", ""
+    comments, open_raw = True, {"script": True, "style": True}
+    while True:
+        start = html.find("<", pos)
+        if start < 0:
+            break
+        out.append(html[pos:start])
+        out.append(" ")
+        if comments and html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            if end >= 0:
+                pos = end + 3
+                continue
+            comments = False
+        end = html.find(">", start)
+        if end < 0:
+            pos = start
+            break
+        raw = _RAW.match(html, start)
+        if raw and open_raw[raw[1].lower()]:
+            close = _CLOSE[raw[1].lower()].search(html, end + 1)
+            if close:
+                pos = close.end()
+                continue
+            open_raw[raw[1].lower()] = False
+        markup = _MARKUP.match(html, start)
+        if markup and not said:
+            tag = _attributes(html[markup.end():end])
+            if markup[1].lower() == "html":
+                codes = [_CODE.match(tag.get(name, "")) for name in ("lang", "xml:lang")]
+                said = next((c[1].lower() for c in codes if c), "")
+            elif tag.get("http-equiv", "").lower() == "content-language" and not meta:
+                code = _CODE.match(tag.get("content", ""))
+                meta = code[1].lower() if code else ""
+        pos = end + 1
+    out.append(html[pos:])
+    return unescape("".join(out)), said or meta
 
 
 def text_evidence(pages: DataFrame, model: TextModel) -> DataFrame:
@@ -103,10 +155,10 @@ def text_evidence(pages: DataFrame, model: TextModel) -> DataFrame:
         m = shared.value
         for b in batches:
             html = [h or "" for h in b["html"].to_pylist()]
-            found = [_LANG.search(h) for h in html]
+            parts = [page_parts(h) for h in html]
             yield pa.RecordBatch.from_arrays(
-                [b["page_id"], b["url"], pa.array([x[1].lower() if x else "" for x in found], pa.string()),
-                 pa.array([m.log_likelihood(page_text(h)).tolist() for h in html], pa.list_(pa.float64()))],
+                [b["page_id"], b["url"], pa.array([said for _, said in parts], pa.string()),
+                 pa.array([m.log_likelihood(text).tolist() for text, _ in parts], pa.list_(pa.float64()))],
                 ["page_id", "url", "declared", "ll"])
 
     p = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
@@ -149,7 +201,7 @@ def identify(pages: DataFrame, model: TextModel, temper_strength: float = STRENG
     whole = page.agg(*sums).select(vector.alias("all")).first()["all"]      # a number for each language
     out = page.withColumn("all", F.array(*[F.lit(x or 0.0) for x in whole]))
     for key, name in (("host", "by_host"), ("domain", "by_domain"), ("suffix", "by_suffix"), ("declared", "by_declared")):
-        out = out.join(grouped(key, name), key)
+        out = out.join(checked_broadcast(stored(grouped(key, name))), key)     # few values: no row moves; many: shuffled
 
     less = lambda name: F.zip_with(F.col(name), F.col("post"), lambda a, b: F.greatest(a - b, F.lit(0.0)))
 
