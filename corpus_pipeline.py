@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopvec.llm import decontam_lsi, line_join, quality_rules, sentencepiece_bpe, simhash_golay
-from hopvec.llm.common import checkpoint_dir, documents, table
+from hopvec.llm.common import checkpoint_dir, documents, free_names, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or a learned rule rejects go."""
     rules = quality_rules.fit_rules(documents(docs), table(spark, sf_dir, "labels"))
-    return quality_rules.with_verdict(docs, rules).where("_quality.kept").select(*docs.columns)
+    verdict, = free_names(docs, "_quality")
+    return quality_rules.with_verdict(docs, rules, out=verdict).where(F.col(verdict)["kept"]).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies the document with the smallest id stays (``keep_first``: by id and text)."""
     groups = simhash_golay.simhash_groups(documents(docs), simhash_golay.SHINGLE, simhash_golay.MAX_BITS)
     return simhash_golay.keep_first(docs, groups).select(*docs.columns)
 
@@ -40,8 +41,8 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     finders = decontam_lsi.fit(documents(docs), table(spark, sf_dir, "benchmark"))
-    found = docs.withColumn("_found", decontam_lsi.found_in(docs, finders, F.col("text")))
-    return found.where(F.size("_found") == 0).select(*docs.columns)
+    found, = free_names(docs, "_found")
+    return docs.withColumn(found, decontam_lsi.found_in(docs, finders, F.col("text"))).where(F.size(found) == 0).select(*docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
