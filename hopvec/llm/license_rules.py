@@ -9,7 +9,6 @@ subject). SPDX tags are read by their own grammar: identifiers joined by AND, OR
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
