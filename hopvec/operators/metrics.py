@@ -33,6 +33,18 @@ def confusion_counts(pred: DataFrame, prediction: str = "prediction", label: str
             .groupBy("prediction", "label").agg(F.count(F.lit(1)).cast("double").alias("n")))
 
 
+def confusion_matrix(pred: DataFrame, prediction: str = "prediction", label: str = "label") -> DataFrame:
+    """``(prediction, label, n double)`` for every pair of classes, also those that never occur together
+    (``n`` = 0). Classes are the true labels and the predicted ones, nulls left out; the matrix has as many rows
+    as pairs of classes, whatever the size of ``pred``."""
+    counts = cut_lineage(confusion_counts(pred, prediction, label).where("prediction is not null and label is not null"))
+    classes = counts.select(F.explode(F.array("prediction", "label")).alias("label")).distinct()
+    # each class carries the list of all classes: an explode in place of a product of two tables
+    every = classes.agg(F.array_sort(F.collect_list("label")).alias("all")).select(F.explode("all").alias("prediction"), F.col("all"))
+    cells = every.select("prediction", F.explode("all").alias("label"))
+    return cells.join(counts, ["prediction", "label"], "left").select("prediction", "label", F.coalesce("n", F.lit(0.0)).alias("n"))
+
+
 def multiclass_metrics(pred: DataFrame, prediction: str = "prediction", label: str = "label") -> DataFrame:
     """Long table ``(metric, label, value)`` with MLlib's ``MulticlassMetrics`` rules:
     ``accuracy``, per label ``precision`` / ``recall`` / ``fpr`` / ``f1`` (label set =

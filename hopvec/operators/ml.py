@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .metrics import binary_areas, binary_metrics, confusion_counts, cumulative_label_counts, multiclass_metrics
 from .ordered import global_row_number
+from .stats import standardize
+from .svm import fit_svm, svm_margin
 
 
 def hash_bucket(id_col="id", seed: int = 42) -> "F.Column":
@@ -78,7 +80,7 @@ def scale_features(points: DataFrame) -> DataFrame:
 
 def make_model(kind: str, num_classes: int = 2, max_iter: int = 400, seed: int = 42,
                num_trees: int = 16, max_depth: int = 8, max_bins: int = 32):
-    if kind == "svm":
+    if kind == "linear_svc":
         return LinearSVC(maxIter=max_iter, regParam=0.01, fitIntercept=False, standardization=False)
     if kind == "logreg":
         return LogisticRegression(maxIter=max_iter, family="multinomial" if num_classes > 2 else "binomial")
@@ -93,14 +95,20 @@ def make_model(kind: str, num_classes: int = 2, max_iter: int = 400, seed: int =
 def train_and_predict(points: DataFrame, kind: str, num_classes: int = 2, seed: int = 42, **kw) -> DataFrame:
     """Scale on all rows, hash split 0.7 / 0.3, fit on train, predict test:
     ``(id, label, prediction, score)``; ``score`` is the margin / probability of class 1
-    where the model has one, else the prediction."""
+    where the model has one, else the prediction. ``svm`` is trained by subgradient descent
+    (``max_iter`` rounds), every other kind by ``pyspark.ml``."""
+    if kind == "svm":
+        x = points.select("id", "label", vector_to_array("features").alias("x"))
+        train, test = hash_split(cut_lineage(standardize(x)), (0.7, 0.3), seed)
+        score = svm_margin("x", fit_svm(train, kw.get("max_iter", 400)))
+        return test.select("id", "label", F.when(score > 0, 1.0).otherwise(0.0).alias("prediction"), score.alias("score"))
     scaled = cut_lineage(scale_features(points))       # every training pass and the prediction read it
     train, test = hash_split(scaled, (0.7, 0.3), seed)
     model = make_model(kind, num_classes, seed=seed, **kw).fit(train)
     out = model.transform(test)
     if "rawPrediction" in out.columns and num_classes == 2:
         raw = vector_to_array("rawPrediction")
-        score = F.element_at(raw, 2) - F.element_at(raw, 1) if kind == "svm" else F.element_at(raw, 2)
+        score = F.element_at(raw, 2) - F.element_at(raw, 1) if kind == "linear_svc" else F.element_at(raw, 2)
     else:
         score = F.col("prediction")
     return out.select("id", "label", "prediction", score.cast("double").alias("score"))

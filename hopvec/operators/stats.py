@@ -4,32 +4,29 @@ from __future__ import annotations
 
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STAT_NAMES = ("max", "min", "variance", "mean", "norm_l1", "norm_l2")
 
 
-def column_stats_row(vectors: DataFrame, x_col: str = "x") -> DataFrame:
-    """One row of six ``array<double>``: per-dimension max, min, sample variance (n-1; 0
-    for a single row), mean, L1 norm, L2 norm. One aggregate: partial per task, one merge
-    of ``tasks x d`` values."""
-    s = Summarizer.metrics("max", "min", "variance", "mean", "normL1", "normL2").summary(
-        array_to_vector(F.col(x_col).cast("array<double>"))).alias("s")
-    row = vectors.agg(s)
-    return row.select(
-        vector_to_array("s.max").alias("max"), vector_to_array("s.min").alias("min"),
-        vector_to_array("s.variance").alias("variance"), vector_to_array("s.mean").alias("mean"),
-        vector_to_array("s.normL1").alias("norm_l1"), vector_to_array("s.normL2").alias("norm_l2"))
+def column_stats(vectors: DataFrame, x_col: str = "x") -> DataFrame:
+    """``(pos, max, min, variance, mean, norm_l1, norm_l2)``: per dimension max, min, sample variance
+    (n-1; 0 for a single row), mean, L1 norm, L2 norm.
 
+    Each task keeps one row of mergeable moments per dimension (count, mean, squared deviations, extremes, sums);
+    those rows are merged by dimension, so no task ever holds the moments of all dimensions.
+    """
+    v = F.col("v")
+    return (vectors.select(F.posexplode(F.col(x_col).cast("array<double>")).alias("pos", "v"))
+            .groupBy("pos").agg(F.max(v).alias("max"), F.min(v).alias("min"), F.coalesce(F.var_samp(v), F.lit(0.0)).alias("variance"),
+                                F.avg(v).alias("mean"), F.sum(F.abs(v)).alias("norm_l1"), F.sqrt(F.sum(v * v)).alias("norm_l2")))
 
-def column_stats(vectors: DataFrame, x_col: str = "x") -> DataFrame:
-    """Long form ``(pos, max, min, variance, mean, norm_l1, norm_l2)``."""
-    row = column_stats_row(vectors, x_col)
-    z = F.arrays_zip(*[F.col(c) for c in STAT_NAMES])
-    return row.select(F.posexplode(z).alias("pos", "z")).select(
-        "pos", *[F.col(f"z.{c}").alias(c) for c in STAT_NAMES])
+
+def column_stats_row(vectors: DataFrame, x_col: str = "x") -> DataFrame:
+    """``column_stats`` as one row of six ``array<double>`` (``6 d`` numbers)."""
+    rows = F.array_sort(F.collect_list(F.struct("pos", *STAT_NAMES))).alias("s")
+    return column_stats(vectors, x_col).agg(rows).select(*[F.col(f"s.{c}").alias(c) for c in STAT_NAMES])
 
 
 def zscore(vectors: DataFrame, x_col: str = "x", stats: dict | None = None, zero_var: str = "nan") -> DataFrame:

@@ -61,6 +61,25 @@ def in_split(part: str) -> str:
     return f"('0x' || substr(md5(id::VARCHAR || ':42'), 1, 8))::BIGINT % 10000 {'<' if part == 'train' else '>='} 7000"
 
 
+def svm_predictions(labels_sql: str, d: int, rounds: int = 400, reg: float = 0.01, tol: float = 0.001) -> str:
+    """``(id, label, prediction)`` of the test part by full-batch hinge subgradient descent on standardised
+    vectors: one row of weights a round, until a round moves them by less than ``tol``."""
+    sums = ", ".join(f"coalesce(sum(CASE WHEN s * list_dot_product(x, w) < 1 THEN s * x[{k}] END), 0.0)" for k in range(1, d + 1))
+    moved = "list_transform(range(1, {0} + 1), lambda k: {1})".format(d, f"w[k] * (1 - {reg} / sqrt(t + 1)) + g[k] / n / sqrt(t + 1)")
+    return f"""
+      WITH RECURSIVE l AS ({long_of(VEC)}),
+           st AS (SELECT pos, avg(val) AS mean, coalesce(var_samp(val), 0.0) AS v FROM l GROUP BY pos),
+           sx AS (SELECT id, list(CASE WHEN v = 0 THEN 0.0 ELSE (val - mean) / sqrt(v) END ORDER BY pos) AS x FROM l JOIN st USING (pos) GROUP BY id),
+           pts AS MATERIALIZED (SELECT id, label, 2 * label - 1 AS s, x FROM sx JOIN ({labels_sql}) USING (id)),
+           train AS MATERIALIZED (SELECT s, x FROM pts WHERE {in_split('train')}),
+           r AS (SELECT 0 AS t, [0.0::DOUBLE for i in range({d})] AS w, false AS done
+                 UNION ALL
+                 SELECT t + 1, nw, list_distance(nw, w) < {tol} * greatest(sqrt(list_dot_product(nw, nw)), 1.0) FROM (
+                   SELECT t, w, {moved} AS nw FROM (SELECT t, w, count(*) AS n, [{sums}] AS g FROM r, train WHERE t < {rounds} AND NOT done GROUP BY t, w)))
+      SELECT id, label, CASE WHEN list_dot_product(x, w) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction
+      FROM pts, (SELECT w FROM r ORDER BY t DESC LIMIT 1) WHERE {in_split('test')}"""
+
+
 SCORED = (f"SELECT vec_id::BIGINT AS id, {direction_score(0)}::DOUBLE / 1000000 AS score, "
           "CASE WHEN label >= 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS label FROM embeddings")
 ARGMAX = f"SELECT vec_id::BIGINT AS id, {arg_max(10)} AS prediction, label::DOUBLE AS label FROM embeddings"

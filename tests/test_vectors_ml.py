@@ -12,6 +12,7 @@ from hopvec.operators.knn import (knn_all_pairs, knn_by_name, knn_query, lsh_cod
 from hopvec.operators.ml import class_share, classify_binary, classify_multiclass, hash_bucket, label_index
 from hopvec.operators.ordered import global_row_number
 from hopvec.operators.stats import column_stats, standardize, zscore
+from hopvec.operators.svm import fit_svm, svm_margin
 
 SF = "/root/testdata/sf0.001"
 
@@ -165,6 +166,34 @@ def test_classifiers_on_planted_labels(spark):
     assert acc > 0.6
 
 
+def test_svm_descent_equals_numpy_on_any_partitioning(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 5))
+    y = (x @ rng.normal(size=5) + 0.3 * rng.normal(size=300) > 0).astype(float)
+    df = spark.createDataFrame([(i, x[i].tolist(), float(y[i])) for i in range(300)], "id long, x array<double>, label double")
+    w, s = np.zeros(5), 2 * y - 1
+    for t in range(1, 13):
+        inside = s * (x @ w) < 1
+        w = w * (1 - 0.01 / t ** 0.5) + (s[inside] @ x[inside]) / 300 / t ** 0.5
+    for parts in (1, 7):
+        assert np.allclose(fit_svm(df.repartition(parts), 12, tol=0.0), w, atol=1e-12)
+    nulls = df.union(spark.createDataFrame([(900, None, 1.0), (901, [9.0] * 5, None)], df.schema))
+    assert np.allclose(fit_svm(nulls, 12, tol=0.0), w, atol=1e-12)
+    assert np.allclose(fit_svm(df, 3, tol=1e9), fit_svm(df, 1), atol=1e-12)       # a loose bound stops after one round
+    assert fit_svm(df.limit(0)) == []
+    got = {r.id: r.m for r in df.select("id", svm_margin("x", w.tolist()).alias("m")).collect()}
+    assert all(abs(got[i] - x[i] @ w) < 1e-9 for i in range(300))
+    with pytest.raises(ValueError):
+        fit_svm(spark.createDataFrame([([1.0], 1.0), ([1.0, 2.0], 0.0)], "x array<double>, label double"))
+
+
+def test_confusion_matrix_has_every_cell(spark):
+    pred = spark.createDataFrame([(0.0, 0.0), (0.0, 1.0), (2.0, 1.0), (2.0, 1.0), (None, 1.0), (1.0, None)], "prediction double, label double")
+    got = {(r.prediction, r.label): r.n for r in M.confusion_matrix(pred).collect()}
+    assert got == {(p, y): {(0, 0): 1.0, (0, 1): 1.0, (2, 1): 2.0}.get((p, y), 0.0) for p in (0, 1, 2) for y in (0, 1, 2)}
+    assert M.confusion_matrix(pred.limit(0)).count() == 0
+
+
 def test_knn_by_name_blocked_equals_single_queries(spark):
     v = _vec(spark)
     names = spark.createDataFrame([(i, f"n{i}") for i in range(0, 1000, 2)], "id long, name string")
