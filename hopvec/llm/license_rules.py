@@ -76,13 +76,18 @@ def marked(text: Column) -> Column:
 
 def known_pattern(known: list[str]) -> str:
     """Known sentences in a ``marked`` text, the longest first, from one end of a sentence to another."""
+    end = r"(?=\x20?[\n\x01])"
+    spaced = lambda s: s.strip().replace(" ", r"[\x20\n\r]++")
+    # a holder may hold a full stop ("Example Inc."), so marks lie inside a gap; it ends before the next
+    # fixed word, and no known sentence without a gap begins in it
+    plain = "|".join(spaced(s) for s in known if GAP not in s and not s.startswith(TAG))
+    begin = f"(?!(?:{plain}){end})" if plain else ""
+    gap = begin + r"[a-z0-9]++(?:(?:[\x20\r]++|[\x20\n\r\x01]++" + begin + r")[a-z0-9]++){0,%d}?" % (GAP_WORDS - 1)
+
     def one(s: str) -> str:
         if s.startswith(TAG):
             return s + r"(?=\x20?[\n\r\x01])"
-        # a holder may hold a full stop ("Example Inc."), so marks lie inside a gap; it ends before the next fixed word
-        parts = [x.strip().replace(" ", r"[\x20\n\r]++") for x in s.split(GAP)]
-        gap = r"[a-z0-9]++(?:[\x20\n\r\x01]++[a-z0-9]++){0,%d}?" % (GAP_WORDS - 1)
-        return _with_gaps(parts, gap) + r"(?=\x20?[\n\x01])"
+        return _with_gaps([spaced(x) for x in s.split(GAP)], gap) + end
     return r"[\n\x01][\x20\r]{0,3}+(" + "|".join(one(s) for s in sorted(known, key=len, reverse=True)) + ")"
 
 
