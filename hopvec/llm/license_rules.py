@@ -82,7 +82,7 @@ def known_pattern(known: list[str]) -> str:
     # fixed word, and no known sentence without a gap begins in it
     plain = "|".join(spaced(s) for s in known if GAP not in s and not s.startswith(TAG))
     begin = f"(?!(?:{plain}){end})" if plain else ""
-    gap = begin + r"[a-z0-9]++(?:(?:[\x20\r]++|[\x20\n\r\x01]++" + begin + r")[a-z0-9]++){0,%d}?" % (GAP_WORDS - 1)
+    gap = begin + r"[a-z0-9]++(?:(?:[\x20\r]++(?![\n\x01])|[\x20\r]*+[\n\x01][\x20\n\r\x01]*+" + begin + r")[a-z0-9]++){0,%d}?" % (GAP_WORDS - 1)
 
     def one(s: str) -> str:
         if s.startswith(TAG):
