@@ -146,7 +146,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataF
 
     keys = fps.select("fp").mapInArrow(emit, "key bigint, fp bigint")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = keys.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    # keys are some fifty for each fingerprint, which the planner cannot see below mapInArrow: without the hint it sends
+    # all of them to the driver and broadcasts them while the fingerprints' file is small
+    rows = keys.join(shared.hint("merge"), "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     groups = (rows.groupBy("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hopvec.llm import lang_fusion, license_rules, line_join, simhash_golay
 from hopvec.llm.common import documents, free_names
+from hopvec.session import conf_override
 from tests.llm.test_operators import make
 
 
@@ -102,3 +103,13 @@ def test_pipeline_stages_keep_clashing_columns(spark):
         assert out.columns == docs.columns, name
         wrong = [F.col(c) != F.concat(F.lit(c), F.col("doc_id")) for c in extra]
         assert out.count() > 0 and out.where(wrong[0] | wrong[1] | wrong[2] | wrong[3] | wrong[4] | wrong[5] | wrong[6] | wrong[7] | wrong[8]).count() == 0, name
+
+
+def test_simhash_keys_are_never_broadcast(spark):
+    """The planner takes the keys for a table of the fingerprints' size; all of them once went to the driver."""
+    fps = simhash_golay.stored(spark.range(3000).select((F.xxhash64("id")).alias("fp")))
+    with conf_override(spark, {"spark.sql.autoBroadcastJoinThreshold": "10485760"}):
+        found = simhash_golay.links(fps)
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan, plan
