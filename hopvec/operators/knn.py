@@ -6,9 +6,10 @@
   scanned where they lie, with one bounded list per query and task; beyond that queries are a table
   and meet the vectors block by block, as in the all-pairs form.
 * ``knn_all_pairs``: exact blocked all-pairs. Vectors are hashed into ``B`` blocks; each
-  (query block, candidate block) pair is one ``applyInPandas`` group holding about
-  ``2 n / B`` vectors, where numpy multiplies the normalised blocks and emits only ``k``
-  rows per query. A final ``row_number`` keeps ``k`` of the ``B k`` candidates per source.
+  (query block, candidate block) pair is one ``applyInArrow`` group holding about
+  ``2 n / B`` vectors, where numpy multiplies the blocks and emits only ``k`` rows per query. A final
+  ``row_number`` keeps ``k`` of the ``B k`` candidates per source. Every vector is shipped ``2 B`` times, so blocks
+  grow with the table up to ``BLOCK_BYTES``; the distances themselves are ``n^2`` by nature.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from ..functions.vectors import cosine_distance, vec_dot
 REPLICATED_BYTES = 64 << 20     # query vectors that every task may hold
 UNNAMED_ROWS = 1 << 20          # ids without a name that every task may hold
 SCAN_CELLS = 2_000_000          # distances in memory at once
+BLOCKS = 16                     # blocks of a side, as long as they stay below BLOCK_BYTES
+BLOCK_BYTES = 16 << 20          # vectors of a side that one group may hold
 
 
 def _top_per_group(df: DataFrame, group: str, k: int, order=("dist", "id")) -> DataFrame:
@@ -156,57 +159,75 @@ def _scan_topk(qid: np.ndarray, Q: np.ndarray, skip: np.ndarray, k: int):
     return fn
 
 
+def block_count(n: int, block_rows: int, d: int) -> int:
+    """Blocks of ``n`` vectors: of ``block_rows`` rows in small tables, ``BLOCKS`` of them in larger ones, and as
+    many as ``BLOCK_BYTES`` needs beyond that."""
+    most = max(block_rows, BLOCK_BYTES // (8 * max(d, 1)))
+    return max(1, math.ceil(n / min(most, max(block_rows, math.ceil(n / BLOCKS)))))
+
+
+def _nearest(D: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``k`` smallest values of each row of ``D``, in order; ties by column, NaN last."""
+    bound = np.partition(D, k - 1, axis=1)[:, k - 1]
+    near = D <= bound[:, None]
+    short = np.isnan(bound)             # fewer than k numbers: all of the row stays
+    near[short] = True
+    rows, cols = np.nonzero(near)
+    order = np.lexsort((cols, D[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[keep], cols[keep]
+
+
 def _block_topk(k: int, d: int, exclude_self: bool = True):
-    exclude_self = np.bool_(exclude_self)
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = pdf[pdf["side"] == 0]
-        c = pdf[pdf["side"] == 1].sort_values("id", kind="stable")
-        if len(q) == 0 or len(c) == 0:
-            return pd.DataFrame({"src": pd.Series([], dtype="int64"), "dst": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
-        Q = np.stack(q["x"].to_numpy()).astype(np.float64).reshape(len(q), d)
-        C = np.stack(c["x"].to_numpy()).astype(np.float64).reshape(len(c), d)
+    exclude_self = int(exclude_self)
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("dist", pa.float64())])
+
+    def side(t: pa.Table, which: int) -> tuple[np.ndarray, np.ndarray]:
+        t = t.filter(pc.equal(t["side"], which)).sort_by("id")
+        if pc.any(pc.fill_null(pc.not_equal(pc.list_value_length(t["x"]), d), True)).as_py():
+            raise ValueError(f"vectors must have {d} dimensions")
+        x = pc.list_flatten(t["x"]).to_numpy().astype(np.float64)
+        return t["id"].to_numpy(), x.reshape(t.num_rows, d)
+
+    def fn(t: pa.Table) -> pa.Table:
+        (qid, Q), (cid, C) = side(t, 0), side(t, 1)
+        if len(qid) == 0 or len(cid) == 0:
+            return schema.empty_table()
         qn = np.linalg.norm(Q, axis=1)
         cn = np.linalg.norm(C, axis=1)
-        qid = q["id"].to_numpy(np.int64)
-        cid = c["id"].to_numpy(np.int64)
+        # one more than asked, as the query itself may be among them; it is dropped by id
+        kk = min(k + exclude_self, len(cid))
         out_src, out_dst, out_dist = [], [], []
-        step = max(1, 2_000_000 // max(1, len(c)))      # rows of Q per chunk: bounded memory
-        for s in range(0, len(q), step):
-            dot = Q[s:s + step] @ C.T
+        step = max(1, SCAN_CELLS // len(cid))      # rows of Q per chunk: bounded memory
+        for s in range(0, len(qid), step):
+            D = Q[s:s + step] @ C.T
+            den = np.outer(qn[s:s + step], cn)
             with np.errstate(divide="ignore", invalid="ignore"):
-                den = np.outer(qn[s:s + step], cn)
-                D = 1.0 - dot / den
+                np.divide(D, den, out=D)
+            np.subtract(1.0, D, out=D)
             D[den == 0] = np.nan
-            # one more than asked, as the query itself may be among them; it is dropped by id
-            kk = min(k + exclude_self, len(c))
-            order = np.argsort(D, axis=1, kind="stable")[:, :kk]  # ties keep id order
-            rows = np.repeat(np.arange(order.shape[0]), kk)
-            cols = order.reshape(-1)
-            dist = D[rows, cols]
-            keep = ~exclude_self | (qid[s:s + step][rows] != cid[cols])
+            rows, cols = _nearest(D, kk)
+            keep = qid[s:s + step][rows] != cid[cols] if exclude_self else slice(None)
             out_src.append(qid[s:s + step][rows][keep])
             out_dst.append(cid[cols][keep])
-            out_dist.append(dist[keep])
-        return pd.DataFrame({"src": np.concatenate(out_src), "dst": np.concatenate(out_dst),
-                             "dist": np.concatenate(out_dist)})
+            out_dist.append(D[rows, cols][keep])
+        return pa.table([np.concatenate(x) for x in (out_src, out_dst, out_dist)], schema=schema)
     return fn
 
 
 def _blocked_candidates(queries: DataFrame, cands: DataFrame, k: int, d: int, exclude_self: bool = True,
                         block_rows: int = 4000, n: int | None = None, x_col: str = "x") -> DataFrame:
     """``(src, dst, dist)``: for each query, its ``k`` nearest candidates inside each
-    candidate block. Candidates are hashed into ``ceil(n / block_rows)`` blocks; queries
+    candidate block. Candidates are hashed into ``block_count`` blocks; queries
     are hashed the same way when both sides are the same table (all pairs) and every
-    query meets every candidate block. One ``applyInPandas`` group per (query block,
-    candidate block) holds about ``block_rows`` vectors per side."""
+    query meets every candidate block. One ``applyInArrow`` group per (query block,
+    candidate block) holds about ``block_rows`` vectors per side, in large tables more (see ``block_count``)."""
     q = queries.select(F.col("id").cast("bigint").alias("id"), F.col(x_col).cast("array<double>").alias("x"))
     c = cands.select(F.col("id").cast("bigint").alias("id"), F.col(x_col).cast("array<double>").alias("x"))
     n_c = n if n is not None else c.count()
     n_q = n if n is not None else q.count()
-    Bc = max(1, math.ceil(n_c / block_rows))
-    Bq = max(1, math.ceil(n_q / block_rows))
+    Bc, Bq = block_count(n_c, block_rows, d), block_count(n_q, block_rows, d)
     qb = q.withColumn("a", F.pmod(F.xxhash64("id"), F.lit(Bq)).cast("int"))
     cb = c.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(Bc)).cast("int"))
     qrep = qb.select("a", F.explode(F.sequence(F.lit(0), F.lit(Bc - 1))).alias("b"), "id", "x",
@@ -214,8 +235,8 @@ def _blocked_candidates(queries: DataFrame, cands: DataFrame, k: int, d: int, ex
     crep = cb.select(F.explode(F.sequence(F.lit(0), F.lit(Bq - 1))).alias("a"), "b", "id", "x",
                      F.lit(1).alias("side"))
     found = (qrep.unionByName(crep).groupBy("a", "b")
-             .applyInPandas(_block_topk(k, d, exclude_self), "src long, dst long, dist double"))
-    return found.withColumn("dist", F.coalesce("dist", F.lit(float("nan"))))   # pandas hands NaN over as null
+             .applyInArrow(_block_topk(k, d, exclude_self), "src long, dst long, dist double"))
+    return found.withColumn("dist", F.coalesce("dist", F.lit(float("nan"))))
 
 
 def knn_all_pairs(vectors: DataFrame, k: int = 10, names: DataFrame | None = None, x_col: str = "x",
