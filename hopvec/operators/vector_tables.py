@@ -32,12 +32,17 @@ def combine_embeddings(a: DataFrame, b: DataFrame, wa: float = 1.0, wb: float =
 
 def pairwise_distance(pairs: DataFrame, vectors: DataFrame, metric: str = "cosine", a: str = "a", b: str = "b",
                       x_col: str = "x") -> DataFrame:
-    """``(a, b, dist)`` for each pair whose two ends have a vector (two joins on id)."""
+    """``(a, b, dist)`` for each pair whose two ends have a vector. Pairs without go first, by the ids alone (the
+    planner takes these joins below a distinct or a join that makes the pairs), so only pairs of the result meet
+    vectors; these travel as they are stored and become doubles after the joins."""
     f = METRICS[metric]
-    va = vectors.select(F.col("id").alias(a), F.col(x_col).cast("array<double>").alias("_xa"))
-    vb = vectors.select(F.col("id").alias(b), F.col(x_col).cast("array<double>").alias("_xb"))
-    return (pairs.select(a, b).join(va, a).join(vb, b)
-            .select(a, b, f("_xa", "_xb").alias("dist")))
+    ids = vectors.select("id").distinct()
+    known = (pairs.select(a, b).join(ids.withColumnRenamed("id", a), a, "left_semi")
+             .join(ids.withColumnRenamed("id", b), b, "left_semi"))
+    va = vectors.select(F.col("id").alias(a), F.col(x_col).alias("_xa"))
+    vb = vectors.select(F.col("id").alias(b), F.col(x_col).alias("_xb"))
+    return (known.join(va, a).join(vb, b)
+            .select(a, b, f(F.col("_xa").cast("array<double>"), F.col("_xb").cast("array<double>")).alias("dist")))
 
 
 def embeddings_as_text(vectors: DataFrame, x_col: str = "x", with_id: bool = True, sep: str = " ") -> DataFrame:

@@ -97,6 +97,11 @@ def vec(spark, sf_dir) -> DataFrame:
                                                      F.col("embedding").cast("array<double>").alias("x"))
 
 
+def vec_plain(spark, sf_dir) -> DataFrame:
+    """``vec`` with ``x`` in the table's own element type (half as wide)."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").alias("x"))
+
+
 def vec_labels(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"),
                                                      F.col("label").cast("int").alias("label"))

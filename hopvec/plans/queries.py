@@ -319,12 +319,12 @@ def q_combine_embeddings(spark, sf):
 
 
 def q_pairwise_cosine(spark, sf):
-    d = pairwise_distance(fx.copurchase_pairs(spark, sf), fx.vec(spark, sf), "cosine")
+    d = pairwise_distance(fx.copurchase_pairs(spark, sf), fx.vec_plain(spark, sf), "cosine")
     return d.select("a", "b", rnd("dist").alias("dist"))
 
 
 def q_pairwise_euclidean(spark, sf):
-    d = pairwise_distance(fx.copurchase_pairs(spark, sf), fx.vec(spark, sf), "euclidean")
+    d = pairwise_distance(fx.copurchase_pairs(spark, sf), fx.vec_plain(spark, sf), "euclidean")
     return d.select("a", "b", rnd("dist").alias("dist"))
 
 
