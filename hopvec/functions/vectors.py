@@ -127,8 +127,9 @@ def text_to_vec(s, sep: str = " ") -> Column:
 
 
 def long_form(df, id_col: str = "id", vec_col: str = "x", digits: int | None = 6):
-    """``(id, pos, val)`` rows, the comparable form of a vector table."""
-    out = df.select(F.col(id_col).alias(id_col), F.posexplode(vec_col).alias("pos", "val"))
+    """``(id, pos, val)`` rows, the comparable form of a vector table. From a plain ``posexplode`` the planner infers a
+    filter on the vector's size and pushes it down, which computes seeds once for every edge below a distinct."""
+    out = df.select(F.col(id_col).alias(id_col), F.posexplode_outer(vec_col).alias("pos", "val")).where(F.col("pos").isNotNull())
     if digits is not None:
         out = out.withColumn("val", F.round("val", digits))
     return out
