@@ -113,3 +113,59 @@ def test_edge_text_mode(spark):
     assert sorted((r.src, r.dst) for r in io.read_edges_text(spark, path, mode="DROPMALFORMED").collect()) == [(1, 2), (5, 6)]
     with pytest.raises(Exception, match="fewer than 2 fields|CAST_INVALID_INPUT"):
         io.read_edges_text(spark, path).collect()
+
+
+def test_all_pairs_blocks_grow_with_the_table(spark):
+    """Blocks of a fixed size shipped every vector n / 200 times and made (n / 200)^2 groups."""
+    assert K.block_count(2000, 200, 64) == 10 and K.block_count(0, 200, 64) == 1
+    assert K.block_count(400_000, 200, 64) == 16
+    most = K.BLOCK_BYTES // (8 * 64)
+    assert K.block_count(100 * most, 200, 64) == 100
+    assert K.block_count(1000, 5, 6) == 16
+
+
+def test_nearest_keeps_order_of_ties_and_nan():
+    rng = np.random.default_rng(5)
+    D = rng.integers(0, 6, size=(60, 40)).astype(float)
+    D[rng.random(D.shape) < 0.3] = np.nan
+    D[3] = np.nan
+    for k in (1, 7, 40):
+        rows, cols = K._nearest(D, k)
+        want = np.argsort(D, axis=1, kind="stable")[:, :k]
+        assert rows.tolist() == np.repeat(np.arange(60), k).tolist() and cols.tolist() == want.reshape(-1).tolist()
+
+
+def test_pairs_without_vectors_never_meet_vectors(spark):
+    from hopvec.operators.vector_tables import pairwise_distance
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [3.0, 0.0]), (None, [1.0, 1.0])], "id bigint, x array<float>")
+    pairs = spark.createDataFrame([(1, 2), (1, 2), (1, 7), (7, 1), (2, 1), (9, 1), (None, 1), (7, 8)], "a bigint, b bigint")
+    d = pairwise_distance(pairs, v, "euclidean")
+    got = sorted((r.a, r.b, round(r.dist, 6)) for r in d.collect())
+    assert got == [(1, 2, 1.414214), (1, 2, 1.414214), (1, 2, 2.0), (1, 2, 2.0), (2, 1, 1.414214), (2, 1, 2.0)]
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2, plan
+
+
+def test_seeds_are_computed_once_for_each_vertex(spark):
+    """The filter that a plain posexplode implies was pushed below the distinct, with the seed in it."""
+    from hopvec.functions.seed import sparse_seed
+    from hopvec.functions.vectors import long_form
+    v = G.vertices_from_edges(spark.createDataFrame([(1, 2), (2, 3)], "src bigint, dst bigint"))
+    out = long_form(v.select("id", sparse_seed("id", 4).alias("x")), "id", "x", None)
+    assert out.count() == 12
+    below = out._jdf.queryExecution().optimizedPlan().toString()
+    below = below[below.index("Aggregate"):].split("\n", 1)[1]
+    assert "transform(" not in below and "size(" not in below, below
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [0.5, None])], "id bigint, x array<double>")
+    assert sorted(map(tuple, long_form(odd, digits=None).collect()), key=str) == [(3, 0, 0.5), (3, 1, None)]
+
+
+def test_input_is_cut_finer_than_the_session(spark):
+    """Edges are grouped in as many tasks as their size needs, whatever the session's shuffle partitions."""
+    from hopvec.session import stored_input
+    df = spark.range(0, 400_000, 1, 4).select((F.xxhash64("id") % 1_000_000_007).alias("src"), F.xxhash64("id", F.lit(1)).alias("dst")).distinct()
+    with conf_override(spark, {"spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "512k",
+                               "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.enabled": "false"}):
+        out = stored_input(df)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "1" and spark.conf.get("spark.sql.adaptive.enabled") == "false"
+    assert out.count() == 400_000 and len(out.inputFiles()) > 4
