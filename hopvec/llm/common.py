@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, conf_override
+from ..session import checkpoint_dir, stored
 
 # A word: a maximal run of anything but space, tab, LF, VT, FF and CR.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -18,18 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet into the session's shared folder and read again: cuts the lineage,
-    survives the loss of executors and computes ``df`` once (a reliable checkpoint computes its
-    last stage twice and is not compressed). Shuffle files of the write are dropped at its end.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    with conf_override(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id bigint, text string)`` of any frame; every other column is left behind, so
     extra columns cannot clash. A null text becomes the empty text."""

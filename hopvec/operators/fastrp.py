@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.seed import sparse_seed
-from ..session import conf_override, default_parallelism, fixed
+from ..session import conf_override, default_parallelism, fixed, stored_input
 from .edge_layout import EdgeLayout, compress_edges, lay_out
 from .graph import complete_vertices
 
@@ -100,13 +100,14 @@ def neighbor_mean(state: DataFrame, edges: DataFrame, d: int | None = None, shar
     """``(id, x, n)``: weighted in-neighbour sum of ``state (id, x)`` divided by the in-edge count ``n``, for
     vertices with at least one in-edge. Every edge counts, also weight 0 and negative weights."""
     spark = state.sparkSession
+    state = stored_input(state.select("id", "x"))      # computed once, also when it comes from a join
     if d is None:
         first = state.select(F.size("x")).first()
         d = int(first[0]) if first else CHUNK
-    small = fixed(compress_edges(edges))
+    small = stored_input(compress_edges(edges))
     layout = edge_layout(small, d, hop_partitions(spark, small.count(), d, num_partitions), share)
     with conf_override(spark, {"spark.sql.codegen.maxFields": CHUNK_FIELDS}):
-        return fixed(joined_chunks(message_means(chunked(state.select("id", "x"), d), layout, d), d, "m", "n"))
+        return fixed(joined_chunks(message_means(chunked(state, d), layout, d), d, "m", "n"))
 
 
 TARGET_PARTITION_BYTES = 512 * 1024 * 1024
@@ -167,7 +168,7 @@ def fastrp(vertices: DataFrame, edges: DataFrame, d: int, weights, sparsity: int
 
     # the input edge table (often a join or a union) is computed and compressed once; degrees, the vertex
     # set and the layout read this copy
-    edges = fixed(compress_edges(edges))
+    edges = stored_input(compress_edges(edges))
     P = hop_partitions(spark, edges.count(), d, num_partitions)
     verts = complete_vertices(vertices if x_col in vertices.columns else vertices.select("id"), edges)
     x0 = init_vectors(verts, d, sparsity, init, x_col, rng)

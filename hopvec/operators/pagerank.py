@@ -11,10 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import conf_override, fixed
+from ..session import conf_override, fixed, stored_input
 from .edge_layout import compress_edges, lay_out
 from .fastrp import hop_partitions
-from .graph import vertices_from_edges
 
 
 def pagerank(edges: DataFrame, num_iter: int = 5, reset: float = 0.0, num_partitions: int | None = None,
@@ -22,20 +21,20 @@ def pagerank(edges: DataFrame, num_iter: int = 5, reset: float = 0.0, num_partit
     """``(id, rank)`` for every endpoint of ``edges``. Parallel edges are shipped once, with their number; sources
     with more than ``share`` rows (by default an even share) are salted (see ``edge_layout``)."""
     spark = edges.sparkSession
-    e = fixed(compress_edges(edges.select("src", "dst").withColumn("weight", F.lit(1.0))))  # input computed once
+    e = stored_input(compress_edges(edges.select("src", "dst").withColumn("weight", F.lit(1.0))).select("src", "dst", "n"))  # input computed once
     P = hop_partitions(spark, e.count(), 1, num_partitions)
-    outdeg = e.groupBy("src").agg(F.sum("n").alias("out"))
-    weighted = fixed(e.join(outdeg, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("weight")))
+    # a vertex carries its out-degree, so the edges need no join before they are laid out
+    ends = e.select(F.col("src").alias("id"), "n").unionByName(e.select(F.col("dst").alias("id"), F.lit(0).cast("bigint").alias("n")))
     with conf_override(spark, {"spark.sql.shuffle.partitions": P}):
-        layout = lay_out(weighted, P, share=share)
-        verts = fixed(vertices_from_edges(e).repartition(P, "id"))
-        ranks = verts.select("id", F.lit(1.0).alias("rank"))
+        layout = lay_out(e, P, share=share)
+        verts = fixed(ends.groupBy("id").agg(F.sum("n").alias("out")))
+        ranks = verts.withColumn("rank", F.lit(1.0))
         for _ in range(num_iter):
-            contrib = layout.messages(ranks).select("dst", (F.col("rank") * F.col("weight")).alias("c"))
+            contrib = layout.messages(ranks).select("dst", (F.col("rank") * (F.col("n") / F.col("out"))).alias("c"))
             sums = contrib.groupBy(F.col("dst").alias("id")).agg(F.sum("c").alias("s"))
             ranks = fixed(verts.join(sums, "id", "left").select(
-                "id", (F.lit(reset) + F.lit(1.0 - reset) * F.coalesce(F.col("s"), F.lit(0.0))).alias("rank")))
-        return _normalized(ranks)
+                "id", "out", (F.lit(reset) + F.lit(1.0 - reset) * F.coalesce(F.col("s"), F.lit(0.0))).alias("rank")))
+        return _normalized(ranks.select("id", "rank"))
 
 
 def _normalized(ranks: DataFrame) -> DataFrame:

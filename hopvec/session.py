@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
@@ -129,3 +130,29 @@ def fixed(df: DataFrame) -> DataFrame:
         out = cut_lineage(held)
     held.unpersist()
     return out
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet into the session's shared folder and read again: cuts the lineage,
+    survives the loss of executors and computes ``df`` once (a reliable checkpoint computes its
+    last stage twice and is not compressed). Shuffle files of the write are dropped at its end.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    with conf_override(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+FINE = 32       # shuffle partitions for each core, before adaptive execution merges small ones
+ADVISORY = "16m"    # shuffled bytes that it merges into one task: some two million edges
+
+
+def stored_input(df: DataFrame) -> DataFrame:
+    """``stored(df)`` for input of any size: planned with adaptive execution over many shuffle partitions, which it
+    merges to ``ADVISORY`` bytes, so what a task holds does not grow with the input."""
+    spark = df.sparkSession
+    parts = max(FINE * default_parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    with conf_override(spark, {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "true",
+                               "spark.sql.adaptive.advisoryPartitionSizeInBytes": ADVISORY, "spark.sql.shuffle.partitions": parts}):
+        return stored(df)

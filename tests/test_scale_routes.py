@@ -160,12 +160,12 @@ def test_seeds_are_computed_once_for_each_vertex(spark):
     assert sorted(map(tuple, long_form(odd, digits=None).collect()), key=str) == [(3, 0, 0.5), (3, 1, None)]
 
 
-def test_input_is_cut_finer_than_the_session(spark):
+def test_input_is_cut_finer_than_the_session(spark, monkeypatch):
     """Edges are grouped in as many tasks as their size needs, whatever the session's shuffle partitions."""
-    from hopvec.session import stored_input
+    from hopvec import session
+    monkeypatch.setattr(session, "ADVISORY", "512k")
     df = spark.range(0, 400_000, 1, 4).select((F.xxhash64("id") % 1_000_000_007).alias("src"), F.xxhash64("id", F.lit(1)).alias("dst")).distinct()
-    with conf_override(spark, {"spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "512k",
-                               "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.enabled": "false"}):
-        out = stored_input(df)
+    with conf_override(spark, {"spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.enabled": "false"}):
+        out = session.stored_input(df)
         assert spark.conf.get("spark.sql.shuffle.partitions") == "1" and spark.conf.get("spark.sql.adaptive.enabled") == "false"
     assert out.count() == 400_000 and len(out.inputFiles()) > 4
