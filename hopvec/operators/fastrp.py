@@ -6,17 +6,20 @@ Per hop ``t``::
     x_t(v) = x_{t-1}(v)                                  (v without in-edges)
     result = r0 * norm(x_0) + sum_t weights[t-1] * norm(x_t)
 
-A vector is ``ceil(d / CHUNK)`` rows ``(id, c, v0 .. v31)`` of flat doubles, whatever ``d``: hops treat each
-dimension alone, so chunks of a vector need not lie together. Physical plan per hop (see ``explain_hop``):
-
-* parallel edges are one row ``(src, dst, weight sum, count)``, repeated for each chunk; the state is
-  hash-partitioned by ``(id, c)`` and the edges by ``(src, c)`` into the same ``P`` partitions, so the
-  edge/state join needs no exchange; hot sources are salted (``edge_layout``);
-* messages are scaled by the weight and summed per ``(dst, c)`` in one code-generated hash aggregate of 32 sums
-  (partial aggregation on the map side absorbs in-degree hubs); its shuffle is the one exchange of vectors;
-* the new state joins the old one by ``(id, c)`` (same partitioning, no exchange) and is kept in the session's
-  checkpoint folder: a lost executor replays one hop, and plans stay of one hop's size;
-* the norm of a vector of several chunks is a sum per id, one number for each chunk: hops of weight 0 have none.
+A vector is ``ceil(d / CHUNK)`` rows of flat doubles, whatever ``d``. Hops treat each dimension alone, so a hop runs chunk
+after chunk over one grid of packed edges (``edge_cells``): edges are never repeated for chunks, and one chunk's sums are
+on disk at a time. Each chunk is a Parquet table ``(id, cells, v0 .., a0 ..)``, ``a0 ..`` being its share of the result so far;
+the table before is deleted. Plan of a chunk's hop:
+
+* vectors go to the cells that hold edges of their source (one exchange; never more rows than edges);
+* a cell scales and sums in numpy (one group of bounded size, cogrouped with its packed edges);
+* sums are added up by vertex (second exchange) and joined with the old state, which is written as Parquet: a lost executor
+  replays one chunk of one hop, and plans stay of one hop's size;
+* the norm of a vector of several chunks is a sum of squares per id, after the last chunk of a hop: hops of weight 0 have
+  none. The next hop adds the normalised vectors to the result.
+
+``neighbor_mean`` is a single hop by joins (see ``explain_hop``): the state is hash-partitioned by ``(id, c)`` and the edges by
+``(src, c)``, so the edges are not shuffled again; hot sources are salted (``edge_layout``).
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.seed import sparse_seed
-from ..session import conf_override, default_parallelism, fixed, stored_input
+from ..session import conf_override, default_parallelism, discard, stored, stored_input, table_path
+from .edge_cells import cell_means, cells, reached
 from .edge_layout import EdgeLayout, compress_edges, lay_out
 from .graph import complete_vertices
 
@@ -35,9 +39,9 @@ MODES = ("carry", "freeze")
 
 
 def init_vectors(vertices: DataFrame, d: int, sparsity: int = 3, init: bool = True,
-                 x_col: str = "x", rng: str = "java", seed: int = 42) -> DataFrame:
+                 x_col: str = "x", rng: str = "java", seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(id, x)``: the given vector when ``init`` and present, else a sparse random seed.
-    Given vectors must have length ``d``."""
+    Given vectors must have length ``d``. Columns in ``keep`` follow."""
     seeded = sparse_seed("id", d, sparsity, rng, seed)
     if init and x_col in vertices.columns:
         given = F.col(x_col).cast("array<double>")
@@ -46,7 +50,7 @@ def init_vectors(vertices: DataFrame, d: int, sparsity: int = 3, init: bool = Tr
         x = F.when(given.isNotNull(), checked).otherwise(seeded)
     else:
         x = seeded
-    return vertices.select(F.col("id").cast("bigint").alias("id"), x.alias("x"))
+    return vertices.select(F.col("id").cast("bigint").alias("id"), x.alias("x"), *keep)
 
 
 CHUNK = 32           # most dimensions of a row of state
@@ -105,12 +109,20 @@ def neighbor_mean(state: DataFrame, edges: DataFrame, d: int | None = None, shar
         first = state.select(F.size("x")).first()
         d = int(first[0]) if first else CHUNK
     small = stored_input(compress_edges(edges))
-    layout = edge_layout(small, d, hop_partitions(spark, small.count(), d, num_partitions), share)
+    w = width(d)
+    layout = edge_layout(small, w, hop_partitions(spark, small.count(), w, num_partitions), share)
     with conf_override(spark, {"spark.sql.codegen.maxFields": CHUNK_FIELDS}):
-        return fixed(joined_chunks(message_means(chunked(state, d), layout, d), d, "m", "n"))
+        paths = [table_path(spark) for _ in range(n_chunks(d))]
+        chunks = _chunk_tables(state, d, at := table_path(spark))
+        means = [stored(message_means(v.select("id", "c", *_names("v", d)), layout, w), path) for v, path in zip(chunks, paths)]
+        out = stored(joined_chunks(_numbered(means), d, "m", "n"))
+    for path in (at, *paths):
+        discard(spark, path)
+    return out
 
 
 TARGET_PARTITION_BYTES = 512 * 1024 * 1024
+SEED_BYTES = 64 * 1024 * 1024       # initial vectors of a task
 
 
 def hop_partitions(spark, n_edges: int, d: int, num_partitions: int | None = None) -> int:
@@ -124,24 +136,46 @@ def hop_partitions(spark, n_edges: int, d: int, num_partitions: int | None = Non
     return max(default_parallelism(spark), need, 1)
 
 
-def _add_normalized(acc: DataFrame | None, state: DataFrame, weight: float, d: int, only: Column | None = None) -> DataFrame:
-    """``(id, c, a0 ..)``: ``acc`` plus ``weight`` times the normalised vectors of ``state`` (where ``only`` holds)."""
-    square = sum((F.col(v) * F.col(v) for v in _names("v", d)), F.lit(0.0))
-    if n_chunks(d) == 1:
-        rows = state.withColumn("norm", F.sqrt(square))
-    else:
-        norms = state.groupBy("id").agg(F.sqrt(F.sum(square)).alias("norm"))
-        norms = norms.select("id", "norm", F.explode(F.sequence(F.lit(0), F.lit(n_chunks(d) - 1))).alias("c"))
-        rows = state.join(norms, ["id", "c"])
+def _square(d: int) -> Column:
+    return sum((F.col(v) * F.col(v) for v in _names("v", d)), F.lit(0.0))
+
+
+def _chunk_tables(vectors: DataFrame, d: int, path: str) -> list[DataFrame]:
+    """``(id, c, v0 .., other columns)`` of each chunk of ``vectors (id, x, ..)``, from one table at ``path``; ``c`` is 0 in
+    all: a chunk is one vector to its hop."""
+    # c is stored: as a constant in a plan it would drop out of the join keys, and edges would be shuffled again
+    rows = chunked(vectors, d).withColumnRenamed("c", "chunk").withColumn("c", F.lit(0))
+    table = stored(rows, path, ("chunk",))
+    return [table.where(F.col("chunk") == k).drop("chunk") for k in range(n_chunks(d))]
+
+
+def _numbered(tables: list[DataFrame]) -> DataFrame:
+    """One table of the rows of all chunks, with the chunk in ``c``."""
+    out = None
+    for k, table in enumerate(tables):
+        rows = table.withColumn("c", F.lit(k))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _norms(tables: list[DataFrame], d: int) -> DataFrame:
+    """``(id, norm)`` of whole vectors."""
+    q = _numbered([t.select("id", _square(d).alias("q")) for t in tables])
+    return q.groupBy("id").agg(F.sqrt(F.sum("q")).alias("norm"))
+
+
+def _add_normalized(table: DataFrame, norms: DataFrame | None, weight: float, d: int, only: Column | None = None) -> DataFrame:
+    """``table (id, v0 .., ..)`` of a chunk with ``weight`` times the normalised vectors (where ``only`` holds) added to
+    ``a0 ..``, which start at 0. ``norms``: of whole vectors, if they have several chunks."""
+    rows = table.withColumn("norm", F.sqrt(_square(d))) if norms is None else table.join(norms, "id")
     factor = F.when(F.col("norm") != 0, F.lit(weight) / F.col("norm")).otherwise(F.lit(weight))
     if only is not None:
         factor = F.when(only, factor).otherwise(F.lit(0.0))
     rows = rows.withColumn("factor", factor)
     step = [F.col(f"v{i}") * F.col("factor") for i in range(width(d))]
-    if acc is not None:
-        rows = rows.join(acc, ["id", "c"])
+    if "a0" in table.columns:
         step = [F.col(f"a{i}") + t for i, t in enumerate(step)]
-    return rows.select("id", "c", *[t.alias(f"a{i}") for i, t in enumerate(step)])
+    return rows.withColumns({f"a{i}": t for i, t in enumerate(step)}).drop("norm", "factor")
 
 
 def fastrp(vertices: DataFrame, edges: DataFrame, d: int, weights, sparsity: int = 3,
@@ -166,31 +200,65 @@ def fastrp(vertices: DataFrame, edges: DataFrame, d: int, weights, sparsity: int
     while weights and weights[-1] == 0.0:   # trailing zero hops add nothing
         weights.pop()
 
-    # the input edge table (often a join or a union) is computed and compressed once; degrees, the vertex
-    # set and the layout read this copy
+    # the input edge table (often a join or a union) is computed and compressed once; the vertex
+    # set and the cells read this copy
     edges = stored_input(compress_edges(edges))
-    P = hop_partitions(spark, edges.count(), d, num_partitions)
+    several, w, names = n_chunks(d) > 1, width(d), _names("v", d)
     verts = complete_vertices(vertices if x_col in vertices.columns else vertices.select("id"), edges)
-    x0 = init_vectors(verts, d, sparsity, init, x_col, rng)
-    only, rest = None, []
+    terms = [r0, *weights]
+    added = sum(t != 0.0 for t in terms)
+    if added > 1 or (added and several):    # terms and norms meet by id
+        verts = verts.where("id is not null")
+    verts = stored_input(verts)
+    n_verts = verts.count()
+    only, rest, at = None, [], None
     if mode == "freeze":
         has_in = edges.select(F.col("dst").alias("id")).distinct().withColumn("has_in", F.lit(True))
-        x0 = x0.join(has_in, "id", "left").withColumn("has_in", F.coalesce("has_in", F.lit(False)))
+        verts = verts.join(has_in, "id", "left").withColumn("has_in", F.coalesce("has_in", F.lit(False)))
         only, rest = F.col("has_in"), ["has_in"]
-    every = range(width(d))
-    # the message aggregate shuffles into the state's P partitions, so the state join needs no exchange
-    with conf_override(spark, {"spark.sql.codegen.maxFields": CHUNK_FIELDS, "spark.sql.shuffle.partitions": P}):
-        state = fixed(chunked(x0, d).repartition(P, "id", "c"))
-        layout = edge_layout(edges, d, P, share) if weights else None
-        acc = fixed(_add_normalized(None, state, r0, d)) if r0 != 0.0 else None
-        for w in weights:
-            new = state.join(message_means(state, layout, d).drop("n"), ["id", "c"], "left")
-            state = fixed(new.select("id", "c", *[F.coalesce(f"m{i}", f"v{i}").alias(f"v{i}") for i in every], *rest))
-            if w != 0.0:   # freeze: only vertices that receive messages are updated
-                acc = fixed(_add_normalized(acc, state, w, d, only))
-        if acc is None:
-            acc = state.select("id", "c", *[F.lit(0.0).alias(f"a{i}") for i in every])
-        return fixed(joined_chunks(acc, d, "a"))
+    if weights:
+        at = cells(edges, n_verts, w, num_partitions or default_parallelism(spark), share)
+        verts, rest = verts.join(reached(edges, at), "id", "left"), [*rest, "cells"]
+    # vertices are small, their vectors are not: the number of tasks follows the vectors
+    tasks = max(default_parallelism(spark), math.ceil(n_verts * 8 * d / SEED_BYTES))
+    x0 = init_vectors(verts.repartition(tasks), d, sparsity, init, x_col, rng, keep=tuple(rest))
+    # a share of the shuffle partitions stays empty, so that cells seldom meet in one task
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 3 * at.rows * at.columns if at else 1)
+    # HotSpot compiles no method above 8,000 bytes: such stages run faster without whole-stage code
+    with conf_override(spark, {"spark.sql.codegen.maxFields": CHUNK_FIELDS, "spark.sql.codegen.hugeMethodLimit": 8000,
+                               "spark.sql.shuffle.partitions": parts}):
+        seeds, paths = table_path(spark), []
+        tables = _chunk_tables(x0, d, seeds)
+        for t, term in enumerate(terms):
+            norms, old = None, [] if t else [seeds]
+            if several and term != 0.0:
+                old.append(table_path(spark))
+                norms = stored(_norms(tables, d), old[-1])
+            for k, table in enumerate(tables):
+                rows = table
+                if term != 0.0:     # freeze: only vertices that receive messages are updated after x_0
+                    rows = _add_normalized(table, norms, term, d, only if t else None)
+                sums = [c for c in rows.columns if c.startswith("a")]
+                if t == len(weights):
+                    rows = rows.select("id", *(sums or [F.lit(0.0).alias(f"a{i}") for i in range(w)]))
+                else:
+                    rows = rows.join(cell_means(table, at, w), "id", "left")
+                    rows = rows.select("id", *[F.coalesce(f"m{i}", v).alias(v) for i, v in enumerate(names)], *sums, *rest)
+                path = table_path(spark)
+                tables[k] = stored(rows, path)
+                if t:
+                    discard(spark, paths[k])
+                    paths[k] = path
+                else:
+                    paths.append(path)
+            for path in old:
+                discard(spark, path)
+        if at:
+            discard(spark, at.path)
+        out = stored(joined_chunks(_numbered(tables), d, "a"))
+    for path in paths:
+        discard(spark, path)
+    return out
 
 
 def explain_hop(state: DataFrame, layout: EdgeLayout, d: int, mode: str = "formatted") -> str:

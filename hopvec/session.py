@@ -132,18 +132,32 @@ def fixed(df: DataFrame) -> DataFrame:
     return out
 
 
-def stored(df: DataFrame) -> DataFrame:
+def table_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` written as Parquet into the session's shared folder and read again: cuts the lineage,
     survives the loss of executors and computes ``df`` once (a reliable checkpoint computes its
     last stage twice and is not compressed). Shuffle files of the write are dropped at its end.
+    ``path``: a ``table_path`` that the caller discards later. ``by``: columns whose values get folders of their own.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = path or table_path(spark)
     with conf_override(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more (Spark Connect has no file system to ask: it stays)."""
+    sc = _context(spark)
+    if sc is not None:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 FINE = 32       # shuffle partitions for each core, before adaptive execution merges small ones
 ADVISORY = "16m"    # shuffled bytes that it merges into one task: some two million edges
 
