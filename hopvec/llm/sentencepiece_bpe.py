@@ -12,7 +12,7 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
 from operator import add
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE = 1_000_000        # segments whose pieces a worker remembers
+CACHE = 500_000          # segments whose pieces a worker remembers (some 150 bytes each)
 CACHED_CHARS = 40      # longest segment that it remembers
 SCANNED_CHARS = 32     # longer segments merge with a heap, in n log n steps
 # Piece types and field numbers of the model file.
@@ -101,10 +101,11 @@ class Model:
         self.map = CharMap(spec.get(2, b""))
         self.dummy, self.trim, self.escape = (bool(spec.get(k, 1)) for k in (3, 4, 5))
         # merges never cross from another character to a space mark, nor a line feed, if no piece does
-        self.cut = None
+        self.cut = self.cut_plain = None
         if not any(SPACE in p.lstrip(SPACE) for p in self.ids):
             alone = "" if any("\n" in p for p in self.ids) else "\n"
-            self.cut = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + f"|{alone}" * bool(alone))
+            self.cut, self.cut_plain = (re.compile(f"{c}*[^{c}{alone}]+|{c}+" + f"|{alone}" * bool(alone)) for c in (SPACE, " "))
+        self.code = np.dtype(np.uint16 if len(self.pieces) <= 1 << 16 else np.uint32)
         # text of a piece, for all that need no look at their neighbours
         self.plain = [p if t == NORMAL else "" if t == CONTROL else chr(int(p[3:5], 16)) if t == BYTE and p < "<0x80>" else None
                       for p, t in zip(self.pieces, self.types)]
@@ -113,6 +114,10 @@ class Model:
     def normalize(self, text: str) -> tuple[str, np.ndarray]:
         """Normalised text, and for each of its characters and the end the byte of the source
         where it starts. Empty texts stay empty (no dummy prefix)."""
+        out, start = self._unescaped(text)
+        return (out.replace(" ", SPACE) if self.escape else out), start
+
+    def _unescaped(self, text: str) -> tuple[str, np.ndarray]:
         raw = text.encode()
         if not self.map.units and not self.trim:
             # identity map: one character each
@@ -137,7 +142,7 @@ class Model:
             out, start = "".join(chars), np.array([*at, len(raw)], np.int64)
         if out and self.dummy:
             out, start = " " + out, np.concatenate([start[:1] if not self.trim else [0], start])
-        return (out.replace(" ", SPACE) if self.escape else out), start
+        return out, start
 
     def merge(self, segment: str) -> list[str]:
         """Merge the adjacent pair of the best score, leftmost first, until no pair is a piece."""
@@ -181,13 +186,13 @@ class Model:
         return [p for p in parts if p is not None]
 
     def segment(self, text: str) -> bytes:
-        """Pairs of 32-bit numbers: the ids of a segment, and how many characters each takes (a
+        """Pairs of numbers: the ids of a segment, and how many characters each takes (a
         character of several byte pieces counts at the last)."""
         parts = self.merge(text)
         ids, size = list(map(self.ids.get, parts)), list(map(len, parts))
         if None in ids:
             ids, size = self._with_bytes(parts)
-        return array("i", chain.from_iterable(zip(ids, size))).tobytes()
+        return array(self.code.char, chain.from_iterable(zip(ids, size))).tobytes()
 
     def _with_bytes(self, parts: list[str]) -> tuple[list[int], list[int]]:
         ids, size = [], []
@@ -205,11 +210,15 @@ class Model:
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids with an end id, and for each the byte of the source text where its span ends (it
         starts where the one before ends)."""
-        norm, start = self.normalize(text)
-        found = self.cut.findall(norm) if self.cut else [norm] if norm else []
-        coded = np.frombuffer(b"".join(map(self.segments.__getitem__, found)), np.int32).reshape(-1, 2)
+        norm, start = self._unescaped(text)
+        cut = self.cut
+        if self.escape:
+            # spaces become marks segment by segment: a cache of plain texts takes half the memory
+            norm, cut = (norm.replace(" ", SPACE), cut) if SPACE in norm else (norm, self.cut_plain)
+        found = cut.findall(norm) if cut else [norm] if norm else []
+        coded = np.frombuffer(b"".join(map(self.segments.__getitem__, found)), self.code).reshape(-1, 2)
         ends = start[np.cumsum(coded[:, 1])]
-        return np.append(coded[:, 0], np.int32(self.eos)), np.append(ends, start[-1]).astype(np.int32)
+        return np.append(coded[:, 0], self.eos).astype(np.int32), np.append(ends, start[-1]).astype(np.int32)
 
     def decode(self, ids: list[int]) -> str:
         """Text of pieces: one space mark at the start is the dummy prefix; runs of byte pieces are
@@ -244,17 +253,19 @@ class Model:
 
 
 class Segments(dict):
-    """Segments met so far, up to ``CACHE`` of them."""
+    """Segments met so far, up to ``CACHE`` of them; then the first half stays, which frequent ones are in."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
 
     def __missing__(self, text: str) -> bytes:
-        coded = self.model.segment(text)
+        coded = self.model.segment(text.replace(" ", SPACE) if self.model.escape else text)
         if len(text) <= CACHED_CHARS:
             if len(self) >= CACHE:
+                kept = list(islice(self.items(), CACHE // 2))
                 self.clear()
+                self.update(kept)
             self[text] = coded
         return coded
 

@@ -8,10 +8,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from hopvec.llm import merkle_manifest, shingle_product, spelling_variants
+from hopvec.llm import merkle_manifest, sentencepiece_bpe, shingle_product, spelling_variants
 from hopvec.llm.common import documents
 from hopvec.llm.queries import op12_merkle_manifest
 
@@ -201,3 +202,22 @@ def test_spelling_variants_are_brute_force(spark, docs, damage, hot, monkeypatch
     want = variants_of([(r["doc_id"], r["text"]) for r in table.collect()], damage)
     assert any(w[1] and w[1] != w[2] for w in want)
     assert sorted(map(tuple, got.collect()), key=str) == want
+
+
+def test_piece_cache_is_bounded_and_holds_plain_segments(monkeypatch):
+    """A worker's cache keeps the first half of its segments when full (it grew to a million with space marks, two
+    bytes a character, and stayed in idle workers beside the next stage); ids and spans stay the same."""
+    monkeypatch.setattr(sentencepiece_bpe, "CACHE", 8)
+    blob = sentencepiece_bpe.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    small, plain = sentencepiece_bpe.Model(blob), sentencepiece_bpe.Model(blob)
+    text = "the " + " ".join(f"word{i} the" for i in range(40))
+    for t in (text, "", " ", "a▁b c▁ d", "▁▁  x\n\n y", "café 漢 \U0001f600"):
+        ids, ends = small.encode(t)
+        whole = plain.normalize(t)[0]
+        want = [plain.ids.get(p) for s in plain.cut.findall(whole) for p in plain.merge(s)]
+        if None not in want:
+            assert ids.tolist() == [*want, plain.eos]
+        assert ends[-1] == len(t.encode()) and ids.dtype == ends.dtype == "int32"
+        assert len(small.segments) <= 8
+    small.encode(text)
+    assert " the" in small.segments and small.segments[" the"] == small.segment("▁the")
