@@ -33,7 +33,6 @@ PIVOT_WORDS = 2          # rarest words by which the first round looks
 HOT_LINES = 2            # words of more lines of a class get the second look
 CLASSES = 8
 PARTS = 3                # shares of the words that the second round joins one after the other (bounds disk)
-BLANKS = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 200_000
 
 
@@ -58,15 +57,24 @@ def lines(rows: DataFrame) -> DataFrame:
     return rows.select("doc", "row_hash", F.posexplode(F.split("text", "\n")).alias("line", "content"))
 
 
+def spaced(text: Column) -> Column:
+    """Tabs, VT, FF and CR as spaces: words are then cut at one plain character, at a third of a pattern's cost."""
+    return reduce(lambda c, blank: F.replace(c, F.lit(blank), F.lit(" ")), "\t\x0b\x0c\r", text)
+
+
 def word_set(content: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(content), SPACES)), "")
 
 
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
 def rarity(rows: DataFrame) -> bytes:
     """A byte for each bucket of hashed words: twice the binary logarithm of its count, from 33.
-    Counted in the words' own case: the order serves the filters, not the result."""
-    words = rows.select(F.explode(F.split("text", SPACES)).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+    Counted in the words' own case, and runs of blanks as words: the order serves the filters, not the result."""
+    words = rows.select(F.explode(F.split(F.replace(spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.count("*").alias("n"))
     level = counts.select("bucket", F.least(F.lit(93), F.floor(2 * F.log2("n"))).cast("int").alias("level")).toPandas()
     out = bytearray([33]) * BUCKETS
     for bucket, value in zip(level["bucket"], level["level"]):
@@ -77,25 +85,29 @@ def rarity(rows: DataFrame) -> bytes:
 def occurrences(rows: DataFrame, levels: bytes, min_words: int = MIN_WORDS) -> DataFrame:
     """doc, row_hash, line, a and b (two hashes of the set), n (its size), its parity signature, prefix (the
     rarest words that the longer line of a pair needs, as 32-bit hashes)."""
-    table = F.lit(levels)
-    level = lambda h: F.ascii(F.substring(table, (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int"), F.lit(1)).cast("string"))
-    hashes = F.transform(F.split(F.btrim(F.lower("content"), F.lit(BLANKS)), SPACES), lambda w: F.xxhash64(w))
-    code = F.transform("h", lambda h: F.shiftleft(level(h).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
-    some = F.btrim("content", F.lit(BLANKS)) != "" if min_words < 2 else F.length("content") >= 2 * min_words - 1
+    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<tinyint>")      # folded to a literal
+    rows = rows.select("doc", "row_hash", spaced(F.lower("text")).alias("text"))
+    cut = F.split(F.trim("content"), " ")
+    hashes = F.transform(F.when(F.contains("content", F.lit("  ")), F.array_remove(cut, "")).otherwise(cut), lambda w: F.xxhash64(w))
+    code = F.transform("h", lambda h: F.shiftleft(F.get(table, _bucket(h)).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
+    some = F.trim("content") != "" if min_words < 2 else F.length("content") >= 2 * min_words - 1
     found = lines(rows).where(some).withColumn("h", hashes)
     found = found.withColumn("code", F.sort_array(F.array_distinct(code))).withColumn("n", F.size("code"))
     one = F.lit(1).cast("bigint")
     bit = lambda c: F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int"))
 
-    def parity(half: int) -> Column:
-        """Parity of the words on each of 64 bits, of the words whose next bit is ``half``."""
-        return F.aggregate("code", F.lit(0).cast("bigint"), lambda acc, c: F.when(
-            c.bitwiseAND(F.lit(64)) == 64 * half, acc.bitwiseXOR(bit(c))).otherwise(acc))
+    def parity(value) -> Column:
+        return F.aggregate("code", F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseXOR(value(c)))
+
+    # parity of the words on each of 64 bits: of those whose next bit is set, and of all
+    marked = parity(lambda c: F.call_function("shiftleft", F.shiftright(c, 6).bitwiseAND(one), c.bitwiseAND(F.lit(63)).cast("int")))
+    every = parity(bit)
 
     prefix = F.transform(F.slice("code", F.lit(1), F.col("n") - _ceil(NUM * F.col("n"), DEN) + 1), lambda c: F.hash(c))
     # no filter on n here: pushed down, it would compute the codes of every line once more
     return found.select(
-        "doc", "row_hash", "line", F.xxhash64("code").alias("a"), F.xxhash64("code", F.lit(1)).alias("b"), "n", parity(0).alias("parity0"), parity(1).alias("parity1"), prefix.alias("prefix"))
+        "doc", "row_hash", "line", F.xxhash64("code").alias("a"), F.xxhash64("code", F.lit(1)).alias("b"), "n", every.alias("every"), marked.alias("marked"), prefix.alias("prefix")).select(
+        "doc", "row_hash", "line", "a", "b", "n", F.col("every").bitwiseXOR(F.col("marked")).alias("parity0"), F.col("marked").alias("parity1"), "prefix")
 
 
 def _postings(reps: DataFrame, length: Column) -> DataFrame:

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from hopvec.llm import merkle_manifest, sentencepiece_bpe, shingle_product, spelling_variants
+from hopvec.llm import line_join, merkle_manifest, sentencepiece_bpe, shingle_product, spelling_variants
 from hopvec.llm.common import documents
 from hopvec.llm.queries import op12_merkle_manifest
 
@@ -204,6 +204,22 @@ def test_spelling_variants_are_brute_force(spark, docs, damage, hot, monkeypatch
     assert sorted(map(tuple, got.collect()), key=str) == want
 
 
+def test_line_join_cuts_words_at_any_blank(spark):
+    """Tabs, VT, FF, CR and runs of blanks cut words alike, for counting words too, and leave no empty word."""
+    rows = [(1, "Alpha beta gamma delta"), (2, "\talpha\x0bBETA  gamma\x0cdelta \r"), (3, " \t\r\x0b\x0c \n   "), (4, "alpha  beta")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r._removed) for r in line_join.dedup_lines(df, min_words=1).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("", 1), 3: (rows[2][1], 0), 4: (rows[3][1], 0)}
+    keyed = line_join.keyed(df)
+    occ = {(r.doc, r.line): r.n for r in line_join.occurrences(keyed, line_join.rarity(keyed), 1).collect()}
+    assert occ == {(1, 0): 4, (2, 0): 4, (4, 0): 2}
+    # delta occurs twice (level 33 + 2 log2 2), whatever blank stands beside it
+    bucket = df.select(F.xxhash64(F.lit("delta")).bitwiseAND(F.lit(line_join.BUCKETS - 1))).first()[0]
+    assert line_join.rarity(keyed)[bucket] == 33 + 2
+    # cut at plain spaces: a pattern took most of the stage's time
+    assert line_join.SPACES not in line_join.occurrences(keyed, line_join.rarity(keyed), 1)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_piece_cache_is_bounded_and_holds_plain_segments(monkeypatch):
     """A worker's cache keeps the first half of its segments when full (it grew to a million with space marks, two
     bytes a character, and stayed in idle workers beside the next stage); ids and spans stay the same."""
