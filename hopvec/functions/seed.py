@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,6 +97,69 @@ def sparse_seed(id_col, d: int, sparsity: int = 3, rng: str = "java", seed: int
         lambda r: F.when(r < F.lit(lo), F.lit(coeff)).when(r < F.lit(hi), F.lit(-coeff)).otherwise(F.lit(0.0)))
 
 
+SEED_DRAWS = 1 << 16     # draws made at a time
+
+
+def _hash_uniforms(ids: np.ndarray, dims: np.ndarray, seed: int) -> np.ndarray:
+    """Draws ``dims`` of ``rng="hash"``: Spark's xxhash64 of a long, an int and an int (or a long, if ``seed`` needs one)."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turn(x, k):
+        return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+
+    def mix(h):
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return h ^ (h >> np.uint64(32))
+
+    def of_long(x, h):
+        return mix(turn((h + p5 + np.uint64(8)) ^ (turn(x * p2, 31) * p1), 27) * p1 + p4)
+
+    def of_int(x, h):
+        return mix(turn((h + p5 + np.uint64(4)) ^ ((x & np.uint64(0xFFFFFFFF)) * p1), 23) * p2 + p3)
+
+    h = of_long(ids.astype(np.int64).view(np.uint64)[:, None], np.full((1, 1), 42, np.uint64))
+    h = of_int(dims.astype(np.uint64)[None, :], h)
+    last = np.full((1, 1), seed, np.int64).view(np.uint64)
+    h = (of_int if -2**31 <= seed < 2**31 else of_long)(last, h)
+    return (h & np.uint64((1 << 53) - 1)).astype(np.float64) * _TWO_M53
+
+
+def seed_block(ids: np.ndarray, low: int, high: int, sparsity: int = 3, rng: str = "java", seed: int = 42) -> np.ndarray:
+    """Dimensions ``low`` to ``high`` of ``sparse_seed`` of ``ids``, a row for each, in numpy."""
+    if high <= 0 or sparsity <= 0:
+        raise ValueError("dimensions and sparsity must be positive")
+    coeff, lo, hi = math.sqrt(sparsity), 0.5 / sparsity, 1.0 / sparsity
+    out = np.zeros((len(ids), high - low))
+    size = max(1, SEED_DRAWS // max(1, high - low))
+    if rng == "hash":
+        for a in range(0, len(ids), size):
+            r = _hash_uniforms(ids[a:a + size], np.arange(low, high), seed)
+            out[a:a + size] = np.where(r < lo, coeff, np.where(r < hi, -coeff, 0.0))
+        return out
+    if rng != "java":
+        raise ValueError(f"unknown rng {rng!r}")
+    a_lo, a_hi, cs = (np.array(t, np.uint64) for t in _lcg_tables(2 * high))
+    factor, step = a_lo + (a_hi << np.uint64(24)), cs
+    # products wrap at 2^64, a multiple of the generator's 2^48
+    mask = np.uint64(LCG_MASK)
+    start = (ids.astype(np.int64).view(np.uint64) ^ np.uint64(LCG_MULTIPLIER)) & mask
+    tops, bottoms = slice(2 * low, 2 * high, 2), slice(2 * low + 1, 2 * high + 1, 2)
+    bound = [math.ceil(t * 2 ** 53) for t in (lo, hi)]      # of the 53 bits of a draw
+    for a in range(0, len(ids), size):
+        s = start[a:a + size, None]
+        top = ((s * factor[tops] + step[tops]) & mask) >> np.uint64(22)
+        some = out[a:a + size]
+        some[top < (bound[1] >> 27)] = -coeff
+        some[top < (bound[0] >> 27)] = coeff
+        # the first 26 bits decide but at a bound
+        for i, j in zip(*np.nonzero((top == (bound[0] >> 27)) | (top == (bound[1] >> 27)))):
+            bottom = ((int(s[i, 0]) * int(factor[bottoms][j]) + int(step[bottoms][j])) & LCG_MASK) >> 21
+            draw = (int(top[i, j]) << 27) + bottom
+            some[i, j] = coeff if draw < bound[0] else -coeff if draw < bound[1] else 0.0
+    return out
+
+
 def dense_seed(id_col, d: int, rng: str = "java", seed: int = 42) -> Column:
     """Gaussian entries by Box-Muller from draws 2k and 2k+1 (same distribution as
     ``nextGaussian``, different values)."""

@@ -6,48 +6,49 @@ Per hop ``t``::
     x_t(v) = x_{t-1}(v)                                  (v without in-edges)
     result = r0 * norm(x_0) + sum_t weights[t-1] * norm(x_t)
 
-A vector is ``ceil(d / CHUNK)`` rows of flat doubles, whatever ``d``. Hops treat each dimension alone, so a hop runs chunk
-after chunk over one grid of packed edges (``edge_cells``): edges are never repeated for chunks, and one chunk's sums are
-on disk at a time. Each chunk is a Parquet table ``(id, cells, v0 .., a0 ..)``, ``a0 ..`` being its share of the result so far;
-the table before is deleted. Plan of a chunk's hop:
-
-* vectors go to the cells that hold edges of their source (one exchange; never more rows than edges);
-* a cell scales and sums in numpy (one group of bounded size, cogrouped with its packed edges);
-* sums are added up by vertex (second exchange) and joined with the old state, which is written as Parquet: a lost executor
-  replays one chunk of one hop, and plans stay of one hop's size;
-* the norm of a vector of several chunks is a sum of squares per id, after the last chunk of a hop: hops of weight 0 have
-  none. The next hop adds the normalised vectors to the result.
-
-``neighbor_mean`` is a single hop by joins (see ``explain_hop``): the state is hash-partitioned by ``(id, c)`` and the edges by
-``(src, c)``, so the edges are not shuffled again; hot sources are salted (``edge_layout``).
+Vertices lie in blocks, edges as packs between blocks (``edge_blocks``). Chunk after chunk of dimensions goes through all hops:
+a block's sources meet its packs, numpy sums, and the sums are added up in the block of their ends. Only the states of
+hops with a weight are kept, of vertices with in-edges; other vectors follow from the ids or the given vectors. At the end
+the chunks of a few thousand vertices at a time are put together, normalised and added to the result. Tables that
+nothing reads any more are deleted; each is Parquet, so a lost executor replays one chunk of one hop.
+
+``neighbor_mean`` is a single hop by joins (see ``explain_hop``), a vector being ``ceil(d / CHUNK)`` rows of flat doubles: the state is
+hash-partitioned by ``(id, c)`` and the edges by ``(src, c)``, so the edges are not shuffled again; hot sources are salted
+(``edge_layout``).
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.seed import sparse_seed
+from ..functions.vectors import vec_norm
 from ..session import conf_override, default_parallelism, discard, stored, stored_input, table_path
-from .edge_cells import cell_means, cells, reached
+from . import edge_blocks as B
 from .edge_layout import EdgeLayout, compress_edges, lay_out
 from .graph import complete_vertices
 
 MODES = ("carry", "freeze")
 
 
+def given_vectors(x_col: str, d: int) -> Column:
+    """The given vector, null where there is none; its length must be ``d``."""
+    given = F.col(x_col).cast("array<double>")
+    return F.when(given.isNull() | (F.size(given) == F.lit(d)), given).otherwise(
+        F.raise_error(F.lit(f"initial vectors must have {d} dimensions")))
+
+
 def init_vectors(vertices: DataFrame, d: int, sparsity: int = 3, init: bool = True,
                  x_col: str = "x", rng: str = "java", seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(id, x)``: the given vector when ``init`` and present, else a sparse random seed.
     Given vectors must have length ``d``. Columns in ``keep`` follow."""
     seeded = sparse_seed("id", d, sparsity, rng, seed)
     if init and x_col in vertices.columns:
-        given = F.col(x_col).cast("array<double>")
-        checked = F.when(F.size(given) == F.lit(d), given).otherwise(
-            F.raise_error(F.lit(f"initial vectors must have {d} dimensions")))
-        x = F.when(given.isNotNull(), checked).otherwise(seeded)
+        x = F.coalesce(given_vectors(x_col, d), seeded)
     else:
         x = seeded
     return vertices.select(F.col("id").cast("bigint").alias("id"), x.alias("x"), *keep)
@@ -122,7 +123,6 @@ def neighbor_mean(state: DataFrame, edges: DataFrame, d: int | None = None, shar
 
 
 TARGET_PARTITION_BYTES = 512 * 1024 * 1024
-SEED_BYTES = 64 * 1024 * 1024       # initial vectors of a task
 
 
 def hop_partitions(spark, n_edges: int, d: int, num_partitions: int | None = None) -> int:
@@ -136,10 +136,6 @@ def hop_partitions(spark, n_edges: int, d: int, num_partitions: int | None = Non
     return max(default_parallelism(spark), need, 1)
 
 
-def _square(d: int) -> Column:
-    return sum((F.col(v) * F.col(v) for v in _names("v", d)), F.lit(0.0))
-
-
 def _chunk_tables(vectors: DataFrame, d: int, path: str) -> list[DataFrame]:
     """``(id, c, v0 .., other columns)`` of each chunk of ``vectors (id, x, ..)``, from one table at ``path``; ``c`` is 0 in
     all: a chunk is one vector to its hop."""
@@ -158,26 +154,6 @@ def _numbered(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _norms(tables: list[DataFrame], d: int) -> DataFrame:
-    """``(id, norm)`` of whole vectors."""
-    q = _numbered([t.select("id", _square(d).alias("q")) for t in tables])
-    return q.groupBy("id").agg(F.sqrt(F.sum("q")).alias("norm"))
-
-
-def _add_normalized(table: DataFrame, norms: DataFrame | None, weight: float, d: int, only: Column | None = None) -> DataFrame:
-    """``table (id, v0 .., ..)`` of a chunk with ``weight`` times the normalised vectors (where ``only`` holds) added to
-    ``a0 ..``, which start at 0. ``norms``: of whole vectors, if they have several chunks."""
-    rows = table.withColumn("norm", F.sqrt(_square(d))) if norms is None else table.join(norms, "id")
-    factor = F.when(F.col("norm") != 0, F.lit(weight) / F.col("norm")).otherwise(F.lit(weight))
-    if only is not None:
-        factor = F.when(only, factor).otherwise(F.lit(0.0))
-    rows = rows.withColumn("factor", factor)
-    step = [F.col(f"v{i}") * F.col("factor") for i in range(width(d))]
-    if "a0" in table.columns:
-        step = [F.col(f"a{i}") + t for i, t in enumerate(step)]
-    return rows.withColumns({f"a{i}": t for i, t in enumerate(step)}).drop("norm", "factor")
-
-
 def fastrp(vertices: DataFrame, edges: DataFrame, d: int, weights, sparsity: int = 3,
            r0: float = 0.0, init: bool = True, mode: str = "carry", rng: str = "java",
            x_col: str = "x", num_partitions: int | None = None,
@@ -188,8 +164,8 @@ def fastrp(vertices: DataFrame, edges: DataFrame, d: int, weights, sparsity: int
     ``mode="carry"``: a vertex without in-edges keeps its vector and adds
     ``weights[t] * norm(x_0)`` every hop. ``mode="freeze"``: such a vertex only gets
     ``r0 * norm(x_0)``. Both agree when every vertex has an in-edge. A null weight counts as 1.0;
-    of several vertex rows of an id one stays (see ``complete_vertices``). ``share``: rows of a source and
-    chunk that may lie in one task, by default an even share of all.
+    of several vertex rows of an id one stays (see ``complete_vertices``). ``share``: edges of a source that may lie in one
+    task. ``num_partitions``: tasks that may run at once, by default the cluster's cores.
     """
     weights = [float(w) for w in weights]
     if not weights:
@@ -199,64 +175,58 @@ def fastrp(vertices: DataFrame, edges: DataFrame, d: int, weights, sparsity: int
     spark = edges.sparkSession
     while weights and weights[-1] == 0.0:   # trailing zero hops add nothing
         weights.pop()
-
-    # the input edge table (often a join or a union) is computed and compressed once; the vertex
-    # set and the cells read this copy
-    edges = stored_input(compress_edges(edges))
-    several, w, names = n_chunks(d) > 1, width(d), _names("v", d)
-    verts = complete_vertices(vertices if x_col in vertices.columns else vertices.select("id"), edges)
     terms = [r0, *weights]
     added = sum(t != 0.0 for t in terms)
-    if added > 1 or (added and several):    # terms and norms meet by id
-        verts = verts.where("id is not null")
-    verts = stored_input(verts)
-    n_verts = verts.count()
-    only, rest, at = None, [], None
-    if mode == "freeze":
-        has_in = edges.select(F.col("dst").alias("id")).distinct().withColumn("has_in", F.lit(True))
-        verts = verts.join(has_in, "id", "left").withColumn("has_in", F.coalesce("has_in", F.lit(False)))
-        only, rest = F.col("has_in"), ["has_in"]
-    if weights:
-        at = cells(edges, n_verts, w, num_partitions or default_parallelism(spark), share)
-        verts, rest = verts.join(reached(edges, at), "id", "left"), [*rest, "cells"]
-    # vertices are small, their vectors are not: the number of tasks follows the vectors
-    tasks = max(default_parallelism(spark), math.ceil(n_verts * 8 * d / SEED_BYTES))
-    x0 = init_vectors(verts.repartition(tasks), d, sparsity, init, x_col, rng, keep=tuple(rest))
-    # a share of the shuffle partitions stays empty, so that cells seldom meet in one task
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 3 * at.rows * at.columns if at else 1)
-    # HotSpot compiles no method above 8,000 bytes: such stages run faster without whole-stage code
-    with conf_override(spark, {"spark.sql.codegen.maxFields": CHUNK_FIELDS, "spark.sql.codegen.hugeMethodLimit": 8000,
-                               "spark.sql.shuffle.partitions": parts}):
-        seeds, paths = table_path(spark), []
-        tables = _chunk_tables(x0, d, seeds)
-        for t, term in enumerate(terms):
-            norms, old = None, [] if t else [seeds]
-            if several and term != 0.0:
-                old.append(table_path(spark))
-                norms = stored(_norms(tables, d), old[-1])
-            for k, table in enumerate(tables):
-                rows = table
-                if term != 0.0:     # freeze: only vertices that receive messages are updated after x_0
-                    rows = _add_normalized(table, norms, term, d, only if t else None)
-                sums = [c for c in rows.columns if c.startswith("a")]
-                if t == len(weights):
-                    rows = rows.select("id", *(sums or [F.lit(0.0).alias(f"a{i}") for i in range(w)]))
-                else:
-                    rows = rows.join(cell_means(table, at, w), "id", "left")
-                    rows = rows.select("id", *[F.coalesce(f"m{i}", v).alias(v) for i, v in enumerate(names)], *sums, *rest)
+    known, graph, ends, table, packed, result = (table_path(spark) for _ in range(6))
+
+    # the input edge table (often a join or a union) is computed and compressed once; all that follows reads this copy
+    edges = stored_input(compress_edges(edges), graph)
+    found = stored_input(B.edge_ends(edges), ends)
+    both = found.select(F.col("id").alias("src"), F.col("id").alias("dst"))
+    verts = complete_vertices(vertices if x_col in vertices.columns else vertices.select("id"), both)
+    given = [given_vectors(x_col, d).alias("x")] if init and x_col in vertices.columns else []
+    verts = verts.select(F.col("id").cast("bigint").alias("id"), *given).join(found, "id", "left")
+    verts = stored_input(verts.select("id", *[F.coalesce(k, F.lit(0)).cast("bigint").alias(k) for k in ("n", "ins", "outs")],
+                                      F.coalesce("fed", F.lit(False)).alias("fed"), *(["x"] if given else [])), known)
+    whole = verts.where("id is not null")
+    size = whole.agg(*[F.coalesce(c, F.lit(0)) for c in (F.count_if(F.col("outs") > 0), F.count_if(F.col("ins") > 0), F.sum("outs"), F.max("outs"))]).first()
+    plan = B.sizes(d, *size[:3], num_partitions or default_parallelism(spark), math.ceil(size[3] / share) if share else 1)
+    plan.apart, plan.seeds, plan.given = share is not None, (sparsity, rng, 42), bool(given)
+    plan.counts, plan.outs = np.zeros((plan.parts, 4), np.int64), np.zeros(plan.parts, np.int64)
+    for p, c, k, out in whole.groupBy(B.part_of("id", plan.parts), B.class_of()).agg(F.count("*"), F.sum("outs")).collect():
+        plan.counts[p, c], plan.outs[p] = k, plan.outs[p] + out
+    blocks = B.blocks(whole, plan, table)
+    states, kept = [[] for _ in weights], []
+    if weights and size[2]:
+        packs = B.packs(edges, blocks, plan, packed)
+        for path in (graph, ends):
+            discard(spark, path)
+        for chunks in plan.groups():
+            state = before = None
+            for t, weight in enumerate(weights):
                 path = table_path(spark)
-                tables[k] = stored(rows, path)
-                if t:
-                    discard(spark, paths[k])
-                    paths[k] = path
-                else:
-                    paths.append(path)
-            for path in old:
-                discard(spark, path)
-        if at:
-            discard(spark, at.path)
-        out = stored(joined_chunks(_numbered(tables), d, "a"))
-    for path in paths:
+                state = B.hop(blocks, packs, state, plan, chunks, path, plan.waves(len(chunks)))
+                if weight != 0.0:
+                    states[t].append(state)
+                    kept.append(path)
+                if before:
+                    discard(spark, before)
+                before = None if weight != 0.0 else path
+        discard(spark, packed)
+    counting = [t for t, weight in enumerate(weights) if weight != 0.0]
+    final = B.finish(plan, r0, weights, [weights[t] for t in counting], mode == "freeze")
+    for wave in plan.waves(1, lambda p: 8 * d * (len(counting) + 1) * plan.size(p)):
+        out = B.vectors(blocks, [states[t] for t in counting], plan, wave, final, result)
+        for path in kept:
+            for p in wave:
+                discard(spark, f"{path}/part={p}")
+    if not (added > 1 or (added and n_chunks(d) > 1)):    # terms and norms meet by id
+        total = r0 + (sum(weights) if mode == "carry" else 0.0)
+        lost = init_vectors(verts.where("id is null"), d, sparsity, init, "x", rng)
+        norm = vec_norm("x")
+        factor = F.when(norm != 0, F.lit(total) / norm).otherwise(F.lit(total))
+        out = stored(lost.select("id", F.transform("x", lambda v: F.coalesce(v, F.lit(0.0)) * factor).alias("x")), result, mode="append")
+    for path in (known, graph, ends, table, *kept):
         discard(spark, path)
     return out
 

@@ -137,16 +137,17 @@ def table_path(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, path: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+def stored(df: DataFrame, path: str | None = None, by: tuple[str, ...] = (), options: dict | None = None, mode: str = "errorifexists") -> DataFrame:
     """``df`` written as Parquet into the session's shared folder and read again: cuts the lineage,
     survives the loss of executors and computes ``df`` once (a reliable checkpoint computes its
     last stage twice and is not compressed). Shuffle files of the write are dropped at its end.
-    ``path``: a ``table_path`` that the caller discards later. ``by``: columns whose values get folders of their own.
+    ``path``: a ``table_path`` that the caller discards later. ``by``: columns whose values get folders of their own. ``options``, ``mode``:
+    of the writer; "append" adds to the table at ``path``.
     """
     spark = df.sparkSession
     path = path or table_path(spark)
     with conf_override(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
-        df.write.partitionBy(*by).parquet(path)
+        df.write.partitionBy(*by).mode(mode).options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -162,11 +163,11 @@ FINE = 32       # shuffle partitions for each core, before adaptive execution me
 ADVISORY = "16m"    # shuffled bytes that it merges into one task: some two million edges
 
 
-def stored_input(df: DataFrame) -> DataFrame:
+def stored_input(df: DataFrame, path: str | None = None) -> DataFrame:
     """``stored(df)`` for input of any size: planned with adaptive execution over many shuffle partitions, which it
     merges to ``ADVISORY`` bytes, so what a task holds does not grow with the input."""
     spark = df.sparkSession
     parts = max(FINE * default_parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     with conf_override(spark, {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "true",
                                "spark.sql.adaptive.advisoryPartitionSizeInBytes": ADVISORY, "spark.sql.shuffle.partitions": parts}):
-        return stored(df)
+        return stored(df, path)
