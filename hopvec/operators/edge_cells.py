@@ -1,4 +1,4 @@
-"""Edges in a grid of cells: by hash of the source into ``rows``, by hash of the end into ``columns``.
+"""The form before ``edge_blocks``, which ``fastrp`` uses now. Edges in a grid of cells: by hash of the source into ``rows``, by hash of the end into ``columns``.
 
 A hop sends the vector of a source once to each cell with an edge of it, sums there in numpy, and adds up at most ``rows``
 sums for each end. So a hop moves at most ``columns`` copies of the state and ``rows`` copies of the result, and never more
