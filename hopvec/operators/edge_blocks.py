@@ -30,7 +30,7 @@ JOB_BYTES = 1024 * 1024 * 1024  # vectors that a job shuffles: one chunk and one
 ROW_BYTES = 1024 * 1024             # vectors in a row
 VERTEX_BYTES = 8 * 1024 * 1024     # whole vectors that are put together at a time
 SPLIT_EDGES = 1 << 20               # edges dealt to pairs of blocks at a time
-SLICE_EDGES = 1 << 20               # edges of a pair of blocks between some of their ends; twice as many are sorted at a time
+SLICE_EDGES = 1 << 19               # edges of a pair of blocks between some of their ends; twice as many are sorted at a time
 PACK_EDGES = 1 << 17
 INDEX_EDGES = 4_000_000             # edges that a task indexes
 TASK_EDGES = 32_000_000             # edges that a task sums, of a chunk
